@@ -1,0 +1,5 @@
+"""No streaming operator is in scope: reads arrive as warehouse tables.
+
+"Sliding" and "expanding" windows in this project are row-position folds; see
+``readsift.operators.folds``.
+"""
