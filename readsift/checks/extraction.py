@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from readsift.checks.registering import Book
 from readsift.checks.warehouse_sql import PROBES, SINCE as SINCE_SQL, extraction, lookup, warehouse_query
 from readsift.functions import calendar
 from readsift.functions.comments import not_automatic, rule_flags, says_accepted
@@ -13,22 +14,13 @@ from readsift.operators.asof import asof_backward, asof_forward, asof_second_bac
 from readsift.operators.interval import earliest_by_day, join_in_force, time_span
 from readsift.plans import reads
 from readsift.sources.derived import SINCE, derived_warehouse
+from readsift.sources.given import given
 
 _KEY = ["meter_id", "channel_id", "read_dtm"]
 _LINE = _KEY[:2]
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def register(function):
-        QUERIES[function.__name__] = function
-        if oracle is not None:
-            ORACLES[function.__name__] = oracle
-        return function
-
-    return register
+BOOK = Book()
+query = BOOK.query
 
 
 def _since():
@@ -277,7 +269,7 @@ def meter_extremes(spark, sf_dir):
 )
 def fn_calendar_parts(spark, sf_dir):
     ts = F.col("ts")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     return events.select(
         "event_id", F.year(ts).alias("yyyy"), F.month(ts).alias("mm"), F.dayofmonth(ts).alias("dd")
     )
@@ -285,7 +277,7 @@ def fn_calendar_parts(spark, sf_dir):
 
 @query("SELECT event_id, upper(strftime(ts, '%a')) AS dow FROM events")
 def fn_day_name(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     return events.select("event_id", calendar.day_name(F.col("ts")).alias("dow"))
 
 
@@ -294,7 +286,7 @@ def fn_day_name(spark, sf_dir):
 )
 def fn_clock_parts(spark, sf_dir):
     ts = F.col("ts")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     return events.select(
         "event_id", calendar.clock_hour(ts).alias("hh"), F.minute(ts).alias("mi"),
         calendar.clock_second(ts).alias("ss"),
@@ -303,7 +295,7 @@ def fn_clock_parts(spark, sf_dir):
 
 @query("SELECT event_id, CAST(ts AS DATE) AS day FROM events")
 def fn_truncate_day(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     return events.select("event_id", calendar.day_of(F.col("ts")).alias("day"))
 
 
@@ -311,7 +303,7 @@ def fn_truncate_day(spark, sf_dir):
     "SELECT event_id, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(ts)) / 86400000000.0 AS days FROM events"
 )
 def fn_fractional_days(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     mark = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     return events.select("event_id", calendar.days_between(F.col("ts"), mark).alias("days"))
 
@@ -320,17 +312,16 @@ def fn_fractional_days(spark, sf_dir):
     "SELECT event_id, round((epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(ts)) / 86400000000.0) AS days FROM events"
 )
 def fn_rounded_days(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     mark = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     return events.select("event_id", calendar.rounded_days(F.col("ts"), mark).alias("days"))
 
 
 @query(
     warehouse_query(
-        "SELECT count(*) AS n_rows, sum(CASE WHEN comments IS NULL THEN 1 ELSE 0 END) AS n_null, "
+        "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(comments) AS BIGINT) AS n_null, "
         "CAST(sum(strpos(comments, 'HiLo:')) AS BIGINT) AS hilo_positions FROM registerreadcomments"
-    ).replace("count(*) AS n_rows, sum(CASE WHEN comments IS NULL THEN 1 ELSE 0 END)",
-              "CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(comments) AS BIGINT)")
+    )
 )
 def fn_instr(spark, sf_dir):
     notes = derived_warehouse(spark, sf_dir).registerreadcomments

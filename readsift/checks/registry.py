@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from readsift.checks import extraction
+from readsift.checks import extraction, frames, scoring, splits
 from readsift.session import tune
 
-_MODULES = (extraction,)
+_MODULES = (extraction, frames, splits, scoring)
 
 
 def _tuned(function):
@@ -17,8 +17,8 @@ def _tuned(function):
 
 
 def queries():
-    return {name: _tuned(f) for module in _MODULES for name, f in module.QUERIES.items()}
+    return {name: _tuned(f) for module in _MODULES for name, f in module.BOOK.queries.items()}
 
 
 def oracles():
-    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+    return {name: sql for module in _MODULES for name, sql in module.BOOK.oracles.items()}

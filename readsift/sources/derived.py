@@ -13,6 +13,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from readsift.sources.given import given
 from readsift.sources.tables import Warehouse
 
 SINCE = datetime(2024, 1, 3)
@@ -49,7 +50,7 @@ def _ntz(value: datetime):
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = given(spark, sf_dir, "events")
     kind = F.col("event_type")
     return events.select(
         "event_id",
@@ -95,7 +96,7 @@ def derived_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
 
     week = F.explode(F.array(*[F.lit(7 * k) for k in range(5)]))
     opening = F.lit("2024-01-01").cast("date")
-    schedule = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", week.alias("shift")).select(
+    schedule = given(spark, sf_dir, "nation").select("n_nationkey", week.alias("shift")).select(
         F.col("n_nationkey").alias("billing_cycle"),
         F.date_add(opening, F.col("shift")).alias("period_start_dt"),
         F.date_add(opening, F.col("shift") + F.when(F.col("n_nationkey") % 3 == 0, 5).otherwise(7)).alias("period_end_dt"),
@@ -113,7 +114,7 @@ def derived_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
         registerreadcomments=all_comments.where(~deleted).drop("event_id"),
         registerreadcomments_deleted=all_comments.where(deleted).drop("event_id"),
         meter_location_xref=xref,
-        locations=spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        locations=given(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("location_no"),
             F.col("c_mktsegment").alias("location_class"),
             F.col("c_nationkey").alias("billing_cycle"),
