@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from readsift.checks import extraction, frames, scoring, splits
+from readsift.checks import extraction, frames, learning, scoring, splits
 from readsift.session import tune
 
-_MODULES = (extraction, frames, splits, scoring)
+_MODULES = (extraction, frames, splits, scoring, learning)
 
 
 def _tuned(function):

@@ -176,9 +176,6 @@ def seeded_shuffle(spark, sf_dir):
     return seeded_rank(indexed(spark, sf_dir), "row_idx", 7).select("row_idx", "rank")
 
 
-_SIZES = [18, 37, 56, 75, 94, 113, 132, 151, 169, 188]
-
-
 @query(
     _sql(
         "SELECT CAST(s.size AS BIGINT) AS size, CAST(i AS INT) AS fold, CASE WHEN row_idx < m - (10 - i) * (m // 11) THEN 'train' ELSE 'test' END AS role, "
@@ -190,18 +187,4 @@ def learning_curve_sizes(spark, sf_dir):
     """Expanding folds inside growing prefixes: size + 1 rows each, as the curve uses."""
     df = indexed(spark, sf_dir)
     n = df.count()
-    cells = []
-    for k in range(1, 20):
-        size = n * k // 20
-        for fold in folds.expanding_folds(size + 1, 10):
-            for role, rows in (("train", fold.train), ("test", fold.test)):
-                cells.append((size, fold.number, role, rows))
-    counted = df.agg(*[F.count(F.when(rows, 1)).alias(f"c{i}") for i, (_, _, _, rows) in enumerate(cells)])
-    structs = [
-        F.struct(
-            F.lit(size).cast("bigint").alias("size"), F.lit(number).alias("fold"), F.lit(role).alias("role"),
-            F.col(f"c{i}").alias("n_rows"),
-        )
-        for i, (size, number, role, _) in enumerate(cells)
-    ]
-    return counted.select(F.explode(F.array(*structs)).alias("c")).select("c.*").where("n_rows > 0")
+    return folds.expanding_fold_sizes(df, [n * k // 20 for k in range(1, 20)], 10)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import floor
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from readsift.config import Experiment
 from readsift.operators.rank import seeded_rank
@@ -141,6 +141,33 @@ def fold_membership(df: DataFrame, folds: list[Fold], index: str = INDEX) -> Dat
     )
 
 
+def expanding_fold_sizes(df: DataFrame, sizes: list[int], folds: int, index: str = INDEX) -> DataFrame:
+    """Rows per (size, fold, role) when each prefix of size + 1 rows is cut into
+    expanding folds: one pass counts rows per test window, the train part of a fold
+    is the sum of the windows before its own."""
+    windows = []
+    for size in sizes:
+        n = size + 1
+        width = n // (folds + 1)
+        window = F.floor((F.col(index) - (n - folds * width)) / width).cast("int")
+        windows.append(
+            F.when(
+                F.col(index) < n,
+                F.struct(F.lit(size).cast("bigint").alias("size"), F.greatest(window, F.lit(-1)).alias("fold")),
+            )
+        )
+    counted = (
+        df.select(F.explode(F.array(*windows)).alias("w"))
+        .where(F.col("w").isNotNull())
+        .groupBy("w.size", "w.fold")
+        .agg(F.count(F.lit(1)).alias("test"))
+    )
+    earlier = Window.partitionBy("size").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    both = counted.withColumn("train", F.sum("test").over(earlier)).where(F.col("fold") >= 0)
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("n_rows")) for r in ("train", "test")])
+    return both.select("size", "fold", F.explode(roles).alias("r")).select("size", "fold", "r.*")
+
+
 def permute_labels(df: DataFrame, label: str, seed: int, index: str = INDEX) -> DataFrame:
     """Give each row the label of another row, by a seeded permutation of positions."""
     donors = seeded_rank(df.select(index, label), index, seed, (), "_to").select("_to", label)
