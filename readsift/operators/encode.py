@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
@@ -36,12 +36,18 @@ def standardised(df: DataFrame, columns, fitted_on: DataFrame | None = None) ->
     )
 
 
+def _token(position: int) -> str:
+    """Prefix that keeps equal values of different columns apart."""
+    return f"{position}="
+
+
 @dataclass(frozen=True)
 class Encoding:
     """Fitted encoding; ``transform`` adds three views of the same features.
 
     ``features``: sparse vector, one-hot block, then numerics, then the rest;
-    ``hot``: slot of each categorical, ``width_hot`` where the value is unknown;
+    ``hot``: active slots in rising order, padded with ``width_hot``, one per
+    categorical column;
     ``numbers``: standardised numerics and passed-through columns.
     """
 
@@ -64,18 +70,12 @@ class Encoding:
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, self.spec.features)
-        coded = self.stages.transform(df)
-        hot, offset = [], 0
-        for column, values in zip(self.spec.categorical, self.labels):
-            index = F.col(f"{column}__i")
-            hot.append(F.when(index < len(values), index + offset).otherwise(self.width_hot).cast("int"))
-            offset += len(values)
-        numbers = [F.col(f"{c}__z") for c in (*self.spec.numerical, *self.spec.passthrough)]
-        temporary = [c for c in coded.columns if c.endswith(("__s", "__i", "__z", "__h"))]
+        active = F.unwrap_udt("_onehot")["indices"] if self.width_hot else F.array().cast("array<int>")
+        missing = len(self.spec.categorical) - F.size(active)
         return (
-            coded.withColumn("hot", F.array(*hot) if hot else F.array().cast("array<int>"))
-            .withColumn("numbers", F.array(*numbers) if numbers else F.array().cast("array<double>"))
-            .drop(*temporary)
+            self.stages.transform(df)
+            .withColumn("hot", F.concat(active, F.array_repeat(F.lit(self.width_hot), missing)))
+            .drop("_tokens", "_onehot", "_numbers")
         )
 
 
@@ -106,30 +106,28 @@ def fit_encoding(train: DataFrame, spec: FeatureSpec, vocabulary_from: DataFrame
         row["column"]: (row["mean"] or 0.0, row["std"] or 1.0) for row in moments(train, spec.numerical).collect()
     } if spec.numerical else {}
 
-    texts = [f"CAST(`{c}` AS STRING) AS `{c}__s`" for c in spec.categorical]
-    scaled = [
-        f"(CAST(`{c}` AS DOUBLE) - ({stats[c][0]!r}D)) / {stats[c][1]!r}D AS `{c}__z`" for c in spec.numerical
-    ]
-    passed = [f"CAST(`{c}` AS DOUBLE) AS `{c}__z`" for c in spec.passthrough]
-    stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(texts + scaled + passed)} FROM __THIS__")]
-    assembled = [f"{c}__z" for c in (*spec.numerical, *spec.passthrough)]
-    if spec.categorical:
-        # An empty vocabulary (no training value) still needs one label.
-        stages.append(
-            StringIndexerModel.from_arrays_of_labels(
-                [list(v) or [""] for v in labels],
-                [f"{c}__s" for c in spec.categorical],
-                [f"{c}__i" for c in spec.categorical],
-                handleInvalid="keep",
-            )
-        )
-        # "keep" gives unknown values the last index, which dropLast then omits.
-        encoder = OneHotEncoder(
-            inputCols=[f"{c}__i" for c in spec.categorical],
-            outputCols=[f"{c}__h" for c in spec.categorical],
-            dropLast=True,
-        )
-        stages.append(encoder.fit(PipelineModel(stages).transform(train)))
-        assembled = [f"{c}__h" for c in spec.categorical] + assembled
+    tokens = ", ".join(f"CONCAT('{_token(i)}', CAST(`{c}` AS STRING))" for i, c in enumerate(spec.categorical))
+    scaled = [f"(CAST(`{c}` AS DOUBLE) - ({stats[c][0]!r}D)) / {stats[c][1]!r}D" for c in spec.numerical]
+    passed = [f"CAST(`{c}` AS DOUBLE)" for c in spec.passthrough]
+    statement = (
+        f"SELECT *, FILTER(ARRAY({tokens}), t -> t IS NOT NULL) AS _tokens, "
+        f"CAST(ARRAY({', '.join(scaled + passed)}) AS ARRAY<DOUBLE>) AS numbers FROM __THIS__"
+    )
+    # A value names its slot by its place in the vocabulary; a binary count vector
+    # over the row's tokens is the one-hot block, and unknown tokens count nothing.
+    words = [f"{_token(i)}{value}" for i, values in enumerate(labels) for value in values]
+    stages: list = [SQLTransformer(statement=statement)]
+    assembled = []
+    if words:
+        one_hot = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_onehot")
+        stages.append(one_hot.setBinary(True))
+        assembled.append("_onehot")
+    if spec.numerical or spec.passthrough:
+        pieces = ", ".join(f"numbers[{i}] AS _n{i}" for i in range(len(scaled) + len(passed)))
+        names = [f"_n{i}" for i in range(len(scaled) + len(passed))]
+        stages.append(SQLTransformer(statement=f"SELECT *, {pieces} FROM __THIS__"))
+        assembled += names
     stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
+    if spec.numerical or spec.passthrough:
+        stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(names)}) FROM __THIS__"))
     return Encoding(spec, labels, stats, PipelineModel(stages))

@@ -1,8 +1,8 @@
 """Exact nearest neighbours of mixed rows, pruned by pivots.
 
 The distance is the Euclidean one over one-hot categoricals and scaled numbers,
-taken from the compact columns ``hot`` and ``numbers``: two known categories that
-differ cost 2, a known against an unknown one costs 1.
+taken from the compact columns ``hot`` and ``numbers``: a category only one of two
+rows has costs 1, so two known ones that differ cost 2.
 
 Base rows fall into cells round a bounded number of pivots. A query first
 searches the cells nearest to it, which bounds its k-th distance; the triangle
@@ -32,17 +32,30 @@ def _matrix(column, kind) -> np.ndarray:
 
 
 def squared_distances(hot_a, num_a, hot_b, num_b, unknown: int) -> np.ndarray:
-    total = np.zeros((len(hot_a), len(hot_b)))
-    for j in range(hot_a.shape[1]):
-        a, b = hot_a[:, j][:, None], hot_b[:, j][None, :]
-        known = (a != unknown).astype(np.int8) + (b != unknown).astype(np.int8)
-        total += np.where(a != b, known, 0)
+    """All distances between two blocks of rows.
+
+    Rows that share s of their a and b known categories differ by a + b - 2s; the
+    shared ones are counted by a product of 0/1 matrices over the common slots.
+    """
+    known_a, known_b = hot_a != unknown, hot_b != unknown
+    common = np.intersect1d(hot_a[known_a], hot_b[known_b])
+    shared = _membership(hot_a, common) @ _membership(hot_b, common).T
+    total = known_a.sum(axis=1)[:, None] + known_b.sum(axis=1)[None, :] - 2.0 * shared
     for j in range(num_a.shape[1]):
         gap = num_a[:, j][:, None] - num_b[:, j][None, :]
         total += gap * gap
     return total
 
 
+def _membership(hot: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    member = np.zeros((len(hot), len(slots)), dtype=np.float32)
+    if len(slots):
+        at = np.searchsorted(slots, hot)
+        inside = (at < len(slots)) & (slots[np.minimum(at, len(slots) - 1)] == hot)
+        member[np.nonzero(inside)[0], at[inside]] = 1.0
+    return member
+
+
 def _best_of_block(k: int, unknown: int, exclude_self: bool):
     def best(_key, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         columns = ["query_id", "neighbour_id", "d2", "label"]
