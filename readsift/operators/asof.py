@@ -14,8 +14,10 @@ one task:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from readsift.functions.calendar import day_of
 
@@ -36,17 +38,19 @@ def neighbour_instants(
 ) -> DataFrame:
     """Distinct probe keys with ``prev_<on>``, ``prev2_<on>`` and ``next_<on>``.
 
-    ``slice_of`` must be monotone in ``on``. Missing neighbours are NULL.
+    ``slice_of`` must be monotone in ``on``. Missing neighbours are NULL; a probe
+    with a NULL key has none and is left out.
     """
     keys = [*by, on]
-    # One flag column, read on both branches below, keeps their exchange equal
-    # and so shared.
+    # Both branches below read the same columns of the sliced timeline and, with
+    # the NULL tests stated here, push the same filters down: they share its exchange.
     timeline = (
         base.select(*keys, F.lit(_BASE).alias("_role"))
         .unionByName(probes.select(*keys, F.lit(_PROBE).alias("_role")))
         .groupBy(*keys)
         .agg(F.bit_or("_role").alias("_role"))
         .withColumn("_slice", slice_of(F.col(on)))
+        .where(reduce(and_, [F.col(c).isNotNull() for c in (*keys, "_slice")]))
         .withColumn("_at", F.when(F.col("_role").bitwiseAND(_BASE) > 0, F.col(on)))
     )
     sliced = [*by, "_slice"]
@@ -61,6 +65,7 @@ def neighbour_instants(
         F.min("_at").alias("_first"),
         F.max("_at").alias("_last"),
         F.max_by("_prev", "_at").alias("_second_last"),
+        F.bit_or("_role").alias("_roles"),
     )
     carried = (
         summary.withColumn("_c_prev", _over("lag(_last, 1)", by, "_slice"))
@@ -70,6 +75,7 @@ def neighbour_instants(
             F.when(F.col("_last").isNotNull(), F.coalesce("_second_last", "_c_prev")),
         )
         .withColumn("_c_prev2", _over("lag(_second_so_far, 1)", by, "_slice"))
+        .where(F.col("_roles").bitwiseAND(_PROBE) > 0)
         .select(*sliced, "_c_prev", "_c_prev2", "_c_next")
     )
 

@@ -10,6 +10,7 @@ import itertools
 import time
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
@@ -46,9 +47,14 @@ def _fold_rows(
     ]
 
 
-def _run(tasks: list[Callable[[], list[tuple]]], spark, parallelism: int) -> DataFrame:
+def _threads(tasks: list[Callable], spark, parallelism: int) -> list:
+    """Results of the tasks, in order; each thread submits its own Spark jobs."""
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = [r for part in pool.map(lambda t: inheritable_thread_target(spark)(t)(), tasks) for r in part]
+        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
+
+
+def _run(tasks: list[Callable[[], list[tuple]]], spark, parallelism: int) -> DataFrame:
+    rows = [row for part in _threads(tasks, spark, parallelism) for row in part]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
@@ -82,6 +88,7 @@ def out_of_fold(
     spec: FeatureSpec,
     vocabulary_from: DataFrame | None = None,
     index: str = INDEX,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Every row predicted once, by the model of the fold that tests it.
 
@@ -90,17 +97,12 @@ def out_of_fold(
     tested = sum((F.when(f.test, 1).otherwise(0) for f in folds), F.lit(0))
     if df.where(tested != 1).take(1):
         raise ValueError("pooled predictions need folds that test every row exactly once")
-    parts = [
-        scored_columns(
-            fit(learner, df.where(f.train), spec, vocabulary_from).transform(df.where(f.test)).withColumn("fold", F.lit(f.number)),
-            index, "fold",
-        )
-        for f in folds
-    ]
-    pooled = parts[0]
-    for part in parts[1:]:
-        pooled = pooled.unionByName(part)
-    return pooled
+
+    def one(f: Fold) -> DataFrame:
+        scored = fit(learner, df.where(f.train), spec, vocabulary_from).transform(df.where(f.test))
+        return scored_columns(scored.withColumn("fold", F.lit(f.number)), index, "fold")
+
+    return reduce(DataFrame.unionByName, _threads([lambda f=f: one(f) for f in folds], df.sparkSession, parallelism))
 
 
 def holdout(df: DataFrame, n: int, experiment: Experiment, index: str = INDEX) -> tuple[DataFrame, DataFrame]:
