@@ -121,33 +121,51 @@ class LinearModel:
         )
 
 
+_PART_SCHEMA = "w array<double>, n double, loss double, held double, hits double"
+
+
 def _one_round(start: np.ndarray, width_hot: int, rule: Rule, seen_before: float):
+    """Task of one round: judge the starting weights on held-out rows, train on the rest."""
+
     def run(batches):
-        w, rows, loss = Weights.of(start, width_hot), 0, 0.0
+        shared, w = Weights.of(start, width_hot), Weights.of(start, width_hot)
+        rows, loss, held, hits = 0, 0.0, 0, 0
         for pdf in batches:
             hot = np.array(pdf["hot"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
             numbers = np.array(pdf["numbers"].tolist(), dtype=float).reshape(len(pdf), -1)
             side = 2.0 * pdf["label"].to_numpy() - 1.0
-            for at in range(0, len(pdf), _BATCH):
+            out = pdf["held_out"].to_numpy(dtype=bool)
+            if out.any():
+                held += int(out.sum())
+                hits += int(((shared.margin(hot[out], numbers[out]) > 0) == (side[out] > 0)).sum())
+                hot, numbers, side = hot[~out], numbers[~out], side[~out]
+            for at in range(0, len(side), _BATCH):
                 cut = slice(at, at + _BATCH)
                 loss += rule(w, hot[cut], numbers[cut], side[cut], seen_before + rows)
                 rows += len(side[cut])
-        if rows:
-            yield pd.DataFrame({"w": [w.flat().tolist()], "n": [float(rows)], "loss": [loss]})
+        yield pd.DataFrame(
+            {"w": [w.flat().tolist()], "n": [float(rows)], "loss": [loss], "held": [float(held)], "hits": [float(hits)]}
+        )
 
     return run
 
 
-def _mixed(parts: DataFrame) -> tuple[np.ndarray, float]:
+def _mixed(parts: DataFrame):
     """Row-weighted mean of the partitions' weights; one row per weight arrives here."""
     mean = (
-        parts.select(F.posexplode("w").alias("i", "x"), "n", "loss")
+        parts.select(F.posexplode("w").alias("i", "x"), "n", "loss", "held", "hits")
         .groupBy("i")
-        .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), (F.sum("loss") / F.sum("n")).alias("loss"))
+        .agg(
+            F.sum(F.col("x") * F.col("n")).alias("x"),
+            *[F.sum(c).alias(c) for c in ("n", "loss", "held", "hits")],
+        )
         .orderBy("i")
         .collect()
     )
-    return np.array([r["x"] for r in mean]), mean[0]["loss"]
+    first = mean[0]
+    n = max(first["n"], 1.0)
+    accuracy = first["hits"] / first["held"] if first["held"] else None
+    return np.array([r["x"] for r in mean]) / n, first["loss"] / n, accuracy
 
 
 @dataclass(frozen=True)
@@ -166,33 +184,39 @@ class OnlineLinear:
         if len(counts) == 1:
             return DummyModel("most_frequent", float(next(iter(counts))), 0, "")
         digest = seeded_key(self.seed, self.key)
-        # Rows are spread by digest, so each partition sees a random mix.
-        spread = stage(
-            encoded.select("hot", "numbers", "label", digest.alias("digest")).repartition("digest"), "online"
-        ).withColumn("u", F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(16**8))
-        held_out = spread.where(F.col("u") < self.validation_share) if self.validation_share else None
-        train = spread.where(F.col("u") >= self.validation_share).select("hot", "numbers", "label")
-
+        draw = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(16**8)
+        # Rows are spread by digest, so each partition sees a random mix; the copy
+        # is read back every round.
+        train = stage(
+            encoded.select("hot", "numbers", "label", digest.alias("digest"))
+            .withColumn("held_out", draw < self.validation_share)
+            .repartition("digest")
+            .drop("digest"),
+            "online",
+        )
         flat = Weights.zero(encoding.width_hot, encoding.width_numbers).flat()
-        best_flat, best, stale, seen, rounds = flat, None, 0, 0.0, 0
+        best_flat, best, stale, rounds = flat, None, 0, 0
         per_partition = sum(counts.values()) / max(1, train.rdd.getNumPartitions())
         for rounds in range(1, self.max_rounds + 1):
+            start = flat
             parts = train.mapInPandas(
-                _one_round(flat, encoding.width_hot, self.rule, seen), "w array<double>, n double, loss double"
+                _one_round(start, encoding.width_hot, self.rule, per_partition * (rounds - 1)), _PART_SCHEMA
             )
-            flat, loss = _mixed(parts)
-            seen += per_partition
-            value = -loss
-            if held_out is not None:
-                guess = self._model(flat, encoding.width_hot, rounds).transform(held_out)
-                value = guess.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+            flat, loss, accuracy = _mixed(parts)
+            if accuracy is None:
+                value, judged = -loss, flat
+            elif rounds == 1:
+                continue  # the zero weights were judged, not a trained model
+            else:
+                value, judged = accuracy, start
             gain = (self.tolerance or 0.0) if best is not None else 0.0
             stale = 0 if best is None or value > best + gain else stale + 1
             if best is None or value > best:
-                best, best_flat = value, flat
+                best, best_flat = value, judged
             if self.tolerance is not None and stale >= self.patience:
                 break
-        return self._model(best_flat if held_out is not None else flat, encoding.width_hot, rounds)
+        chosen = best_flat if self.validation_share and best is not None else flat
+        return self._model(chosen, encoding.width_hot, rounds)
 
     @staticmethod
     def _model(flat: np.ndarray, width_hot: int, rounds: int) -> LinearModel:

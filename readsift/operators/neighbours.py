@@ -89,6 +89,10 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    return _top(found, k).select("query_id", "neighbour_id", "rank", F.sqrt("d2").alias("distance"), "label")
+
+
 def _lookup(values: dict[int, int], key):
     return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), key)
 
@@ -128,11 +132,13 @@ def nearest(
     seed: int = 0,
     block_rows: int = 2048,
     chunk_rows: int = 2048,
+    prune_from: int = 32,
 ) -> DataFrame:
     """(query_id, neighbour_id, rank, distance, label) of the k nearest base rows.
 
     Both frames need ``id`` (unique bigint), ``hot`` and ``numbers``; ``base`` may
-    carry ``label``. Equal distances rank by id.
+    carry ``label``. Equal distances rank by id. Pivots come in once the base
+    fills ``prune_from`` blocks.
     """
     if "label" not in base.columns:
         base = base.withColumn("label", F.lit(None).cast("double"))
@@ -152,6 +158,14 @@ def nearest(
     if n == 0:
         return base.sparkSession.createDataFrame([], result_schema)
 
+    if n < prune_from * block_rows:
+        # So few blocks that visiting all of them costs less than sorting them out.
+        everywhere = queries.withColumn("cell", F.lit(0))
+        count = ceil(n / block_rows)
+        cells = base.withColumn("cell", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
+        found = _search(everywhere, cells, {0: count}, k, unknown, exclude_self, chunk_rows)
+        return _ranked(found, k) if found is not None else base.sparkSession.createDataFrame([], result_schema)
+
     wanted = max(1, min(MAX_PIVOTS, n // block_rows))
     pivots = base.orderBy(seeded_key(seed, "id"), "id").limit(wanted).collect()
     pivot_hot = np.array([p["hot"] for p in pivots], dtype=np.int64).reshape(len(pivots), -1)
@@ -221,6 +235,4 @@ def nearest(
         far_found = _search(stage(far_visits, "neighbour-visits"), *args)
         if far_found is not None:
             found = found.unionByName(far_found)
-    return _top(found, k).select(
-        "query_id", "neighbour_id", "rank", F.sqrt("d2").alias("distance"), "label"
-    )
+    return _ranked(found, k)
