@@ -286,7 +286,41 @@ def _holdout_scores(name: str, **params):
     return run
 
 
-for _name in ("tree", "logit", "bayes", "network", "perceptron", "passive_aggressive", "linear_svm"):
+def _bayes_sql() -> str:
+    """Gaussian naive Bayes from counts, for the hold-out rows."""
+    xs = [f"z_{c}" for c in _NUMS] + list(_BINS)
+    numbers = "numbers AS (" + " UNION ALL ".join(
+        f"SELECT row_idx, Status, {i} AS j, CAST({x} AS DOUBLE) AS x FROM scaled" for i, x in enumerate(xs)
+    ) + ")"
+    train = f"(SELECT * FROM numbers, size WHERE row_idx < {_TRAIN})"
+    return _sql(
+        "SELECT row_idx, Status AS label, CASE WHEN max(CASE WHEN c = 1 THEN total END) > max(CASE WHEN c = 0 THEN total END) THEN 1 ELSE 0 END AS prediction "
+        "FROM (SELECT t.row_idx, t.Status, k.c, k.const + h.change + g.fit AS total FROM frame t, size, constants k, "
+        "(SELECT l.row_idx, s.c, sum(s.change) AS change FROM long l JOIN vocabulary USING (i, value) JOIN shares s USING (slot) GROUP BY 1, 2) h, "
+        "(SELECT x.row_idx, q.c, -sum((x.x - q.m) * (x.x - q.m) / (2 * q.v)) AS fit FROM numbers x JOIN spread q USING (j) GROUP BY 1, 2) g "
+        f"WHERE t.row_idx >= {_TRAIN} AND h.row_idx = t.row_idx AND g.row_idx = t.row_idx AND h.c = k.c AND g.c = k.c) GROUP BY 1, 2",
+        _LONG, _VOCABULARY, _scaled_sql(f"row_idx < {_TRAIN}"), numbers,
+        f"known AS (SELECT row_idx, Status, i, value FROM frame JOIN long USING (row_idx), size WHERE row_idx < {_TRAIN})",
+        f"sides AS (SELECT Status AS c, CAST(count(*) AS DOUBLE) AS k FROM frame, size WHERE row_idx < {_TRAIN} GROUP BY 1)",
+        "hits AS (SELECT Status AS c, slot, count(*) AS n FROM known JOIN vocabulary USING (i, value) GROUP BY 1, 2)",
+        "overall AS (SELECT slot, sum(n) / (SELECT sum(k) FROM sides) AS p FROM hits GROUP BY slot)",
+        f"floors AS (SELECT 1e-9 * greatest((SELECT max(p * (1 - p)) FROM overall), (SELECT max(v) FROM (SELECT j, var_pop(x) AS v FROM {train} GROUP BY j))) AS f)",
+        "shares AS (SELECT c, slot, p, v, (p * p - (1 - p) * (1 - p)) / (2 * v) AS change FROM (SELECT s.c, w.slot, coalesce(n, 0) / k AS p, "
+        "coalesce(n, 0) / k * (1 - coalesce(n, 0) / k) + f AS v FROM sides s CROSS JOIN vocabulary w CROSS JOIN floors LEFT JOIN hits USING (c, slot)))",
+        f"spread AS (SELECT Status AS c, j, avg(x) AS m, var_pop(x) + f AS v FROM {train}, floors GROUP BY Status, j, f)",
+        "constants AS (SELECT c, ln(k / (SELECT sum(k) FROM sides)) + (SELECT sum(-0.5 * ln(2 * pi() * v) - p * p / (2 * v)) FROM shares WHERE shares.c = sides.c) "
+        "+ (SELECT sum(-0.5 * ln(2 * pi() * v)) FROM spread WHERE spread.c = sides.c) AS const FROM sides)",
+    )
+
+
+@query(_bayes_sql())
+def bayes_predictions(spark, sf_dir):
+    df, _, train, test = _split(spark, sf_dir)
+    scored = experiment.holdout_test(train, test, learner("bayes"), SPEC, vocabulary_from=df)[1]
+    return scored.select("row_idx", "label", "prediction")
+
+
+for _name in ("tree", "logit", "network", "perceptron", "passive_aggressive", "linear_svm"):
     query()(_holdout_scores(_name))
 
 

@@ -58,5 +58,6 @@ def scored_columns(df: DataFrame, *keep: str) -> DataFrame:
 
 def table_sum(table: list[float], hot: str = "hot"):
     """Sum of ``table[slot]`` over the slots of a row, as a JVM expression."""
-    values = F.array(*[F.lit(float(v)) for v in table])
+    # One parsed expression: a call per entry would cost more than the scoring.
+    values = F.expr("ARRAY(" + ", ".join(f"{float(v)!r}D" for v in table) + ")")
     return F.aggregate(F.transform(hot, lambda s: F.get(values, s)), F.lit(0.0), lambda a, x: a + x)

@@ -100,12 +100,15 @@ def folds_of_column(folds: int, name: str = "fold", first_number: int = 0) -> li
 def repeated_stratified(
     df: DataFrame, label: str, folds: int, repeats: int, seed: int, key: str = INDEX
 ) -> tuple[DataFrame, list[Fold]]:
-    """``repeats`` independent stratified deals, one fold column each."""
-    made: list[Fold] = []
+    """``repeats`` independent stratified deals, one fold column each.
+
+    The deals are made on key and label alone and join the frame once.
+    """
+    deals, made = df.select(key, label), []
     for r in range(repeats):
-        df = stratified_fold_column(df, label, folds, seed + r, key, f"fold_{r}")
+        deals = stratified_fold_column(deals, label, folds, seed + r, key, f"fold_{r}")
         made += folds_of_column(folds, f"fold_{r}", r * folds)
-    return df, made
+    return df.join(deals.drop(label), key), made
 
 
 def fold_scheme(

@@ -25,6 +25,7 @@ from readsift.session import stage
 
 _DIGITS = 9  # Distances equal to this many places count as ties, broken by id.
 MAX_PIVOTS = 256
+_SLACK = 1e-6  # Keeps a cell whose bound misses the reach by rounding alone.
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -199,40 +200,40 @@ def nearest(
     enough = k + int(exclude_self)
 
     def route(batches):
+        """Home cells of a query: the nearest ones that hold enough rows together."""
+        for pdf in batches:
+            order = to_pivots(pdf)[:, numbers].argsort(axis=1, kind="stable")
+            need = (sizes[order].cumsum(axis=1) < enough).sum(axis=1) + 1
+            yield pdf.assign(home=[numbers[o[:c]].astype("int32").tolist() for o, c in zip(order, need)])
+
+    def reach_out(batches):
+        """The other cells that may hold a row nearer than the k-th found so far."""
         for pdf in batches:
             away = to_pivots(pdf)[:, numbers]
-            order = away.argsort(axis=1, kind="stable")
-            reached = np.take_along_axis(np.broadcast_to(sizes, away.shape), order, 1).cumsum(axis=1)
-            need = (reached < enough).sum(axis=1) + 1
             lower = np.maximum(np.maximum(away - far, near - away), 0.0)
-            home = [numbers[o[:c]].astype("int32").tolist() for o, c in zip(order, need)]
-            bounds = lower.tolist()
-            yield pdf.assign(home=home, lower=bounds)
-
-    routed = stage(
-        queries.mapInPandas(
-            route, "id long, hot array<int>, numbers array<double>, home array<int>, lower array<double>"
-        ),
-        "neighbour-routes",
-    )
+            open_cells = lower <= pdf["reach"].to_numpy()[:, None] + _SLACK
+            for row, home in enumerate(pdf["home"]):
+                open_cells[row, np.isin(numbers, home)] = False
+            row, at = np.nonzero(open_cells)
+            yield pdf[["id", "hot", "numbers"]].iloc[row].assign(cell=numbers[at].astype("int32"))
+
+    query_schema = "id long, hot array<int>, numbers array<double>"
+    routed = stage(queries.mapInPandas(route, f"{query_schema}, home array<int>"), "neighbour-routes")
     args = (cells, blocks, k, unknown, exclude_self, chunk_rows)
-    found = _search(routed.withColumn("cell", F.explode("home")).drop("home", "lower"), *args)
+    found = _search(routed.withColumn("cell", F.explode("home")).drop("home"), *args)
     if found is None:
         return base.sparkSession.createDataFrame([], result_schema)
     if len(stats) > 1:
         found = stage(_top(found, k).drop("rank"), "neighbour-found")
+        # A query with fewer than k rows so far may have to look anywhere.
         reach = found.groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).otherwise(F.lit(float("inf"))).alias("reach")
-        )
-        # A query that met only itself has no reach yet and stays unbounded.
-        far_visits = (
-            routed.join(reach, routed["id"] == reach["query_id"], "left")
-            .withColumn("reach", F.coalesce("reach", F.lit(float("inf"))) + 1e-6)
-            .withColumn("v", F.explode(F.arrays_zip(F.array(*[F.lit(int(c)) for c in numbers]).alias("cell"), "lower")))
-            .where((F.col("v.lower") <= F.col("reach")) & ~F.array_contains("home", F.col("v.cell")))
-            .select("id", "hot", "numbers", F.col("v.cell").alias("cell"))
+            F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("reach")
         )
-        far_found = _search(stage(far_visits, "neighbour-visits"), *args)
-        if far_found is not None:
-            found = found.unionByName(far_found)
+        bounded = routed.join(reach, routed["id"] == reach["query_id"], "left").withColumn(
+            "reach", F.coalesce("reach", F.lit(float("inf")))
+        ).select("id", "hot", "numbers", "home", "reach")
+        visits = stage(bounded.mapInPandas(reach_out, f"{query_schema}, cell int"), "neighbour-visits")
+        further = _search(visits, *args)
+        if further is not None:
+            found = found.unionByName(further)
     return _ranked(found, k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from readsift import config
+from readsift.operators.rank import spread_sort
 
 # Identifiers that never reach a learner.
 IDENTIFIERS = ("METER_ID", "LOCATION_NO", "BILLING_CYCLE", "COMMENTS", "DAYS_FROM_BILLDT")
@@ -45,7 +46,7 @@ def time_series_features(df: DataFrame, tie_break: tuple[str, ...] = (), sort: b
     A bad date raises under ANSI mode.
     """
     made = without(df, IDENTIFIERS).withColumn(config.DATE_COLUMN, F.make_date("YEAR", "MONTH", "DAY"))
-    return made.orderBy(config.DATE_COLUMN, *tie_break) if sort else made
+    return spread_sort(made, config.DATE_COLUMN, *tie_break) if sort else made
 
 
 def checked(df: DataFrame, schema) -> DataFrame:

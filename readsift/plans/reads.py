@@ -11,6 +11,7 @@ from readsift.functions.calendar import calendar_columns, clock_hour, clock_seco
 from readsift.functions.comments import not_automatic, rule_flags, says_accepted
 from readsift.operators.asof import neighbour_instants
 from readsift.operators.interval import earliest_by_day, join_in_force, time_span
+from readsift.operators.rank import spread_sort
 from readsift.schemas import exception_columns
 from readsift.session import stage
 from readsift.sources.tables import Warehouse
@@ -174,7 +175,7 @@ _LOWER = {"METER_ID", "LOCATION_NO", "LOCATION_CLASS", "BILLING_CYCLE", "COMMENT
 
 
 def in_time_order(df: DataFrame, sort: bool) -> DataFrame:
-    return df.orderBy("read_dtm").drop("read_dtm") if sort else df
+    return spread_sort(df, "read_dtm").drop("read_dtm") if sort else df
 
 
 def _extract(exceptions, wh, version, sort) -> DataFrame:
