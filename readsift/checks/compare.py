@@ -27,7 +27,7 @@ def _cell(value):
     if isinstance(value, bool):
         return value
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 9) + 0.0
+        return "nan" if math.isnan(value) else value
     if isinstance(value, (list, tuple)):
         return tuple(_cell(v) for v in value)
     return value

@@ -202,7 +202,10 @@ def histogram_sql(source: str, columns) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(extraction("labelled", 2, histogram_sql("wide", config.NUMERICAL_COLUMNS)))
+@query(
+    extraction("labelled", 2, histogram_sql("wide", config.NUMERICAL_COLUMNS)),
+    rounded=('lo', 'hi'),
+)
 def profile_histograms(spark, sf_dir):
     return profile.histograms(labelled(spark, sf_dir), config.NUMERICAL_COLUMNS)
 
@@ -229,7 +232,8 @@ def category_vocabulary(spark, sf_dir):
         " UNION ALL ".join(
             f"SELECT '{c}' AS \"column\", avg({c}) AS mean, stddev_pop({c}) AS std FROM wide" for c in config.NUMERICAL_COLUMNS
         ),
-    )
+    ),
+    rounded=('mean', 'std'),
 )
 def numeric_moments(spark, sf_dir):
     return profile.moments(labelled(spark, sf_dir), config.NUMERICAL_COLUMNS)

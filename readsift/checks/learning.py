@@ -63,7 +63,10 @@ def _scaled_sql(where: str = "TRUE") -> str:
     )
 
 
-@query(_sql("SELECT row_idx, " + ", ".join(f"z_{c} AS {c}" for c in _NUMS) + " FROM scaled", _scaled_sql()))
+@query(
+    _sql("SELECT row_idx, " + ", ".join(f"z_{c} AS {c}" for c in _NUMS) + " FROM scaled", _scaled_sql()),
+    rounded=_NUMS,
+)
 def standardised_numbers(spark, sf_dir):
     return standardised(frame(spark, sf_dir).select("row_idx", *_NUMS), _NUMS)
 
@@ -80,7 +83,8 @@ def _positions_sql() -> str:
 
 
 @query(
-    _sql(_positions_sql(), _LONG, _VOCABULARY, _scaled_sql(), "width AS (SELECT count(*) AS w FROM vocabulary)")
+    _sql(_positions_sql(), _LONG, _VOCABULARY, _scaled_sql(), "width AS (SELECT count(*) AS w FROM vocabulary)"),
+    rounded=('value',),
 )
 def encoded_vectors(spark, sf_dir):
     """Non-zero entries of the assembled vector: one-hot, numerics, passed through."""
@@ -130,7 +134,8 @@ def _split(spark, sf_dir, setting=_ORDERED):
         f"SELECT CAST(i AS INT) AS fold, role AS split, {_HIT} AS value FROM "
         "(SELECT i, frame.*, CASE WHEN row_idx < n - (10 - i) * (n // 11) THEN 'train' ELSE 'test' END AS role "
         "FROM frame, size, range(10) g(i) WHERE row_idx < n - (9 - i) * (n // 11)) GROUP BY 1, 2"
-    )
+    ),
+    rounded=('value',),
 )
 def cross_validation_of_rule(spark, sf_dir):
     """Expanding-window scores of a fixed rule, fold by fold."""
@@ -163,14 +168,20 @@ def _confusion_sql(source: str) -> str:
     return f"SELECT {', '.join(counts + shares)} FROM {source}"
 
 
-@query(_sql(_confusion_sql("frame")))
+@query(
+    _sql(_confusion_sql("frame")),
+    rounded=('tn_share', 'fp_share', 'fn_share', 'tp_share'),
+)
 def out_of_fold_confusion(spark, sf_dir):
     df = frame(spark, sf_dir)
     dealt, cuts = folds.fold_scheme(df, 0, _SHUFFLED, config.TARGET_COLUMN)
     return metrics.confusion(experiment.out_of_fold(stage(dealt, "dealt"), cuts, _BetweenNeighbours(), SPEC))
 
 
-@query(_sql(_confusion_sql(f"frame, size WHERE row_idx >= {_TRAIN}")))
+@query(
+    _sql(_confusion_sql(f"frame, size WHERE row_idx >= {_TRAIN}")),
+    rounded=('tn_share', 'fp_share', 'fn_share', 'tp_share'),
+)
 def holdout_confusion_of_rule(spark, sf_dir):
     _, _, train, test = _split(spark, sf_dir)
     return metrics.confusion(experiment.holdout_test(train, test, _BetweenNeighbours(), SPEC)[1])
@@ -187,7 +198,8 @@ def _utilities(spark, sf_dir):
     warehouse_query(
         _confusion_sql("(SELECT *, label AS Status FROM wide WHERE METER_ID % 2 = 1)"),
         PROBES["labelled"], context_ctes("labelled"),
-    )
+    ),
+    rounded=('tn_share', 'fp_share', 'fn_share', 'tp_share'),
 )
 def cross_dataset_confusion_of_rule(spark, sf_dir):
     even, odd = _utilities(spark, sf_dir)
@@ -221,7 +233,8 @@ def _distance_sql(a: str, b: str) -> str:
         f"row_number() OVER (PARTITION BY a.row_idx ORDER BY {_distance_sql('a', 'b')}, b.row_idx) AS nth "
         f"FROM scaled a, scaled b, size WHERE a.row_idx >= {_TRAIN} AND b.row_idx < {_TRAIN}) WHERE nth <= 5 GROUP BY q, label",
         _scaled_sql(f"row_idx < {_TRAIN}"),
-    )
+    ),
+    rounded=('p1',),
 )
 def neighbour_predictions(spark, sf_dir):
     """Five-neighbour vote on the hold-out, categories taken over all rows."""
@@ -240,7 +253,8 @@ _DRAW = "CAST('0x' || substr(md5(concat('0', ':', CAST(i AS VARCHAR))), 1, 12) A
         f"CAST(row_number() OVER (PARTITION BY i ORDER BY {_distance_sql('a', 'b')}, b.row_idx) AS INT) AS rank "
         f"FROM range(10) g(i), size, scaled a, scaled b WHERE a.row_idx = {_DRAW} % n AND b.row_idx <> a.row_idx) WHERE rank <= 5",
         _scaled_sql(),
-    )
+    ),
+    rounded=('distance',),
 )
 def neighbour_audit(spark, sf_dir):
     df = frame(spark, sf_dir)
@@ -254,7 +268,8 @@ def neighbour_audit(spark, sf_dir):
         "CAST(count(*) FILTER (sqrt(d2) <= CAST(3.0 AS DOUBLE)) AS DOUBLE) / count(*) AS rate FROM ("
         f"SELECT a.row_idx, min({_distance_sql('a', 'b')}) AS d2 FROM scaled a, scaled b WHERE a.row_idx <> b.row_idx GROUP BY a.row_idx)",
         _scaled_sql(),
-    )
+    ),
+    rounded=('rate',),
 )
 def near_duplicates(spark, sf_dir):
     df = frame(spark, sf_dir)
@@ -408,7 +423,8 @@ def learning_curve_shuffled(spark, sf_dir):
         f"CASE WHEN row_idx < m - (5 - i) * (m // 6) THEN 'train' ELSE 'test' END AS split, {_HIT} AS value "
         "FROM (SELECT (n * k) // 5 AS size, (n * k) // 5 + 1 AS m FROM size, range(1, 5) h(k)) s, frame, range(5) g(i) "
         "WHERE row_idx < m - (4 - i) * (m // 6) GROUP BY ALL) GROUP BY 1, 2"
-    )
+    ),
+    rounded=('mean', 'std'),
 )
 def learning_curve_expanding_of_rule(spark, sf_dir):
     df = frame(spark, sf_dir)

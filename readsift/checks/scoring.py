@@ -29,7 +29,10 @@ def scored(spark, sf_dir):
     )
 
 
-@query(_SCORED + "SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored")
+@query(
+    _SCORED + "SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored",
+    rounded=('accuracy',),
+)
 def metric_accuracy(spark, sf_dir):
     return metrics.scores(scored(spark, sf_dir))
 
@@ -37,7 +40,8 @@ def metric_accuracy(spark, sf_dir):
 @query(
     _SCORED + "SELECT model, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, "
     "CAST(sum(label * prediction) AS DOUBLE) / sum(prediction) AS precision, "
-    "CAST(sum(label * prediction) AS DOUBLE) / sum(label) AS recall FROM scored GROUP BY model"
+    "CAST(sum(label * prediction) AS DOUBLE) / sum(label) AS recall FROM scored GROUP BY model",
+    rounded=('accuracy', 'precision', 'recall'),
 )
 def metric_precision_recall(spark, sf_dir):
     return metrics.scores(scored(spark, sf_dir), ("accuracy", "precision", "recall"), ["model"])
@@ -52,7 +56,8 @@ _CELLS = (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
     + ", " + ", ".join(
         f"CAST(count(*) FILTER (label = {y} AND prediction = {p}) AS DOUBLE) / count(*) AS {c}_share" for c, y, p in _CELLS
     )
-    + " FROM scored GROUP BY model"
+    + " FROM scored GROUP BY model",
+    rounded=('tn_share', 'fp_share', 'fn_share', 'tp_share'),
 )
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(scored(spark, sf_dir), ["model"])
@@ -68,7 +73,10 @@ def prediction_counts(spark, sf_dir):
     return metrics.prediction_counts(scored(spark, sf_dir))
 
 
-@query(_SCORED + "SELECT model, avg((p1 - label) * (p1 - label)) AS brier FROM scored GROUP BY model")
+@query(
+    _SCORED + "SELECT model, avg((p1 - label) * (p1 - label)) AS brier FROM scored GROUP BY model",
+    rounded=('brier',),
+)
 def brier_score(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("model").agg(metrics.brier_of().alias("brier"))
 
@@ -79,7 +87,8 @@ def _bin_sql(edges) -> str:
 
 @query(
     _SCORED + f"SELECT model, CAST({_bin_sql(metrics.reliability_edges(10))} AS INT) AS bin, avg(p1) AS mean_predicted, "
-    "avg(CAST(label AS DOUBLE)) AS fraction_positive, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY 1, 2"
+    "avg(CAST(label AS DOUBLE)) AS fraction_positive, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY 1, 2",
+    rounded=('mean_predicted', 'fraction_positive'),
 )
 def calibration_curve(spark, sf_dir):
     return metrics.calibration_curve(scored(spark, sf_dir), 10, ["model"])
@@ -101,20 +110,27 @@ _SURE = (
 )
 
 
-@query(_SCORED + f"SELECT model, {_SURE} FROM scored GROUP BY model")
+@query(
+    _SCORED + f"SELECT model, {_SURE} FROM scored GROUP BY model",
+    rounded=('positive_mean', 'negative_mean', 'positive_std', 'negative_std'),
+)
 def confidence_summary(spark, sf_dir):
     return metrics.confidence_summary(scored(spark, sf_dir), ["model"])
 
 
 @query(
     _SCORED + "SELECT model, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy, "
-    f"avg((p1 - label) * (p1 - label)) AS brier, {_SURE} FROM scored GROUP BY model"
+    f"avg((p1 - label) * (p1 - label)) AS brier, {_SURE} FROM scored GROUP BY model",
+    rounded=('accuracy', 'brier', 'positive_mean', 'negative_mean', 'positive_std', 'negative_std'),
 )
 def model_comparison(spark, sf_dir):
     return metrics.compare_models(scored(spark, sf_dir))
 
 
-@query("SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, l_returnflag, l_linestatus FROM lineitem GROUP BY ALL")
+@query(
+    "SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, l_returnflag, l_linestatus FROM lineitem GROUP BY ALL",
+    rounded=('mean', 'std'),
+)
 def fold_score_summary(spark, sf_dir):
     """Mean and population deviation per group, as fold scores are summarised."""
     lines = given(spark, sf_dir, "lineitem")
