@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, functions as F
 
 from readsift.config import FeatureSpec
-from readsift.operators.encode import Encoding, fit_encoding
+from readsift.operators.encode import Categories, Encoding, fit_encoding
 
 
 class Model(Protocol):
@@ -42,7 +42,7 @@ def labelled(df: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 
 def fit(
-    learner: Learner, train: DataFrame, spec: FeatureSpec, vocabulary_from: DataFrame | None = None
+    learner: Learner, train: DataFrame, spec: FeatureSpec, vocabulary_from: DataFrame | Categories | None = None
 ) -> Fitted:
     """Encode the training rows and train on them."""
     encoding = fit_encoding(train, spec, vocabulary_from)

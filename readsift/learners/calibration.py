@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from readsift.config import FeatureSpec
 from readsift.learners.base import Fitted, Learner, fit, labelled
+from readsift.operators.encode import Categories, known_categories
 from readsift.operators.folds import Fold
+from readsift.session import in_threads
 
 
 @dataclass(frozen=True)
@@ -101,14 +103,16 @@ class Calibrated:
 
 def fit_calibrated(
     learner: Learner, train: DataFrame, folds: list[Fold], spec: FeatureSpec, method: str = "isotonic",
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None, parallelism: int = 4,
 ) -> Calibrated:
     """Per fold: train on its train part, calibrate on the scores of its test part."""
     if method not in METHODS:
         raise ValueError(f"unknown calibration method {method}")
-    members = []
-    for fold in folds:
-        model = fit(learner, train.where(fold.train), spec, vocabulary_from)
-        scored = model.transform(train.where(fold.test)).select("score", "label")
-        members.append((model, METHODS[method](scored)))
+    known = known_categories(vocabulary_from, spec)
+
+    def member(fold: Fold):
+        model = fit(learner, train.where(fold.train), spec, known)
+        return model, METHODS[method](model.transform(train.where(fold.test)).select("score", "label"))
+
+    members = in_threads([lambda f=f: member(f) for f in folds], train.sparkSession, parallelism)
     return Calibrated(tuple(members), spec)

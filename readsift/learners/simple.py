@@ -87,25 +87,34 @@ class NaiveBayes:
     name: str = "bayes"
 
     def fit(self, encoded: DataFrame, encoding) -> BayesModel:
-        counts = class_counts(encoded)
+        cells = range(encoding.width_numbers)
+        number = [F.get("numbers", F.lit(i)) for i in cells]
+        per_class = {
+            r["label"]: r
+            for r in encoded.groupBy("label").agg(
+                F.count(F.lit(1)).alias("rows"),
+                *[F.avg(x).alias(f"m{i}") for i, x in enumerate(number)],
+                *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(number)],
+            ).collect()
+        }
+        if not per_class:
+            raise ValueError("no training rows")
+        counts = {c: r["rows"] for c, r in per_class.items()}
         n = sum(counts.values())
         hits = {
             (r["label"], r["slot"]): r["n"]
             for r in encoded.select("label", F.explode("hot").alias("slot"))
             .groupBy("label", "slot").agg(F.count(F.lit(1)).alias("n")).collect()
         }
-        cells = range(encoding.width_numbers)
-        number = [F.get("numbers", F.lit(i)) for i in cells]
-        aggregates = [F.avg(x).alias(f"m{i}") for i, x in enumerate(number)] + [
-            F.var_pop(x).alias(f"v{i}") for i, x in enumerate(number)
-        ]
-        per_class = {r["label"]: r for r in encoded.groupBy("label").agg(*aggregates).collect()} if number else {}
-        overall = encoded.agg(*aggregates).first() if number else None
+
+        def overall_variance(i: int) -> float:
+            mean = sum(counts[c] * per_class[c][f"m{i}"] for c in counts) / n
+            return sum(counts[c] * (per_class[c][f"v{i}"] + (per_class[c][f"m{i}"] - mean) ** 2) for c in counts) / n
 
         slots = range(encoding.width_hot)
         overall_share = [sum(hits.get((c, s), 0) for c in counts) / n for s in slots]
         largest = max(
-            [p * (1 - p) for p in overall_share] + [overall[f"v{i}"] for i in cells], default=0.0
+            [p * (1 - p) for p in overall_share] + [overall_variance(i) for i in cells], default=0.0
         )
         floor = self.smoothing * largest
 

@@ -79,7 +79,12 @@ class Encoding:
         )
 
 
-def _categories(df: DataFrame, columns) -> tuple[tuple[str, ...], ...]:
+Categories = tuple[tuple[str, ...], ...]
+
+
+def categories(df: DataFrame, spec: FeatureSpec) -> Categories:
+    """Sorted values of each categorical column; find them once for many fits."""
+    columns = spec.categorical
     if not columns:
         return ()
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
@@ -94,14 +99,22 @@ def _categories(df: DataFrame, columns) -> tuple[tuple[str, ...], ...]:
     return tuple(tuple(sorted(by_column[c], key=float if c in numeric else str)) for c in columns)
 
 
-def fit_encoding(train: DataFrame, spec: FeatureSpec, vocabulary_from: DataFrame | None = None) -> Encoding:
+def known_categories(vocabulary_from: DataFrame | Categories | None, spec: FeatureSpec) -> Categories | None:
+    """Resolve a frame to its categories; pass found ones, and None, through."""
+    return categories(vocabulary_from, spec) if isinstance(vocabulary_from, DataFrame) else vocabulary_from
+
+
+def fit_encoding(
+    train: DataFrame, spec: FeatureSpec, vocabulary_from: DataFrame | Categories | None = None
+) -> Encoding:
     """Learn categories and moments.
 
-    Categories come from ``vocabulary_from`` (say, all rows) when given, else from
-    the training rows; a value outside them encodes as all zeros.
+    Categories come from ``vocabulary_from`` (say, all rows, or categories found
+    before) when given, else from the training rows; a value outside them encodes
+    as all zeros.
     """
     require(train, spec.features)
-    labels = _categories(vocabulary_from if vocabulary_from is not None else train, spec.categorical)
+    labels = known_categories(vocabulary_from if vocabulary_from is not None else train, spec)
     stats = {
         row["column"]: (row["mean"] or 0.0, row["std"] or 1.0) for row in moments(train, spec.numerical).collect()
     } if spec.numerical else {}

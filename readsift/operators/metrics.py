@@ -99,25 +99,30 @@ def probability_histogram(
     return counted.select(*by, F.explode(cells).alias("c")).select(*by, "c.bin", "c.n")
 
 
-def confidence_summary(df: DataFrame, by: Sequence[str] = (), probability: str = "p1") -> DataFrame:
-    """Mean and deviation of the scores above one half, per predicted side."""
+def _confidence_of(probability: str) -> list[Column]:
     p1 = F.col(probability)
     p0 = F.lit(1.0) - p1
     sure = {"positive": F.when(p1 > 0.5, p1), "negative": F.when(p0 > 0.5, p0)}
-    return df.groupBy(*by).agg(
+    return [
         *[F.avg(c).alias(f"{side}_mean") for side, c in sure.items()],
         *[F.stddev_pop(c).alias(f"{side}_std") for side, c in sure.items()],
-    )
+    ]
+
+
+def confidence_summary(df: DataFrame, by: Sequence[str] = (), probability: str = "p1") -> DataFrame:
+    """Mean and deviation of the scores above one half, per predicted side."""
+    return df.groupBy(*by).agg(*_confidence_of(probability))
 
 
 def compare_models(
     df: DataFrame, by: Sequence[str] = ("model",), label: str = "label", probability: str = "p1"
 ) -> DataFrame:
-    """Accuracy, Brier score and confidence of several scored models, side by side."""
-    scored = df.groupBy(*by).agg(
-        accuracy_of(label).alias("accuracy"), brier_of(label, probability).alias("brier")
+    """Accuracy, Brier score and confidence of several scored models, in one pass."""
+    return df.groupBy(*by).agg(
+        accuracy_of(label).alias("accuracy"),
+        brier_of(label, probability).alias("brier"),
+        *_confidence_of(probability),
     )
-    return scored.join(confidence_summary(df, by, probability), list(by))
 
 
 def mean_and_deviation(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:

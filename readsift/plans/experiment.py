@@ -9,19 +9,19 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Callable, Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.util import inheritable_thread_target
 
 from readsift.config import Experiment, FeatureSpec
 from readsift.learners.base import Fitted, Learner, fit, scored_columns
 from readsift.learners.calibration import fit_calibrated
 from readsift.operators import folds as fold_ops, metrics as metric_ops
 from readsift.operators.folds import INDEX, Fold
+from readsift.operators.encode import Categories, known_categories
 from readsift.operators.rank import seeded_rank
 from readsift.plans.features import align_to
+from readsift.session import in_threads
 
 RESULT_SCHEMA = (
     "classifier string, params map<string,string>, size bigint, fold int, split string, "
@@ -47,14 +47,8 @@ def _fold_rows(
     ]
 
 
-def _threads(tasks: list[Callable], spark, parallelism: int) -> list:
-    """Results of the tasks, in order; each thread submits its own Spark jobs."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
-
-
 def _run(tasks: list[Callable[[], list[tuple]]], spark, parallelism: int) -> DataFrame:
-    rows = [row for part in _threads(tasks, spark, parallelism) for row in part]
+    rows = [row for part in in_threads(tasks, spark, parallelism) for row in part]
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
@@ -65,10 +59,11 @@ def cross_validate(
     spec: FeatureSpec,
     metrics: Sequence[str] = ("accuracy",),
     train_scores: bool = True,
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
     parallelism: int = 4,
 ) -> DataFrame:
     """Scores of one learner on every fold."""
+    vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = [
         lambda f=f: _fold_rows(df, f, learner, spec, metrics, train_scores, vocabulary_from, {}, None) for f in folds
     ]
@@ -86,7 +81,7 @@ def out_of_fold(
     folds: Sequence[Fold],
     learner: Learner,
     spec: FeatureSpec,
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
     index: str = INDEX,
     parallelism: int = 4,
 ) -> DataFrame:
@@ -97,12 +92,13 @@ def out_of_fold(
     tested = sum((F.when(f.test, 1).otherwise(0) for f in folds), F.lit(0))
     if df.where(tested != 1).take(1):
         raise ValueError("pooled predictions need folds that test every row exactly once")
+    vocabulary_from = known_categories(vocabulary_from, spec)
 
     def one(f: Fold) -> DataFrame:
         scored = fit(learner, df.where(f.train), spec, vocabulary_from).transform(df.where(f.test))
         return scored_columns(scored.withColumn("fold", F.lit(f.number)), index, "fold")
 
-    return reduce(DataFrame.unionByName, _threads([lambda f=f: one(f) for f in folds], df.sparkSession, parallelism))
+    return reduce(DataFrame.unionByName, in_threads([lambda f=f: one(f) for f in folds], df.sparkSession, parallelism))
 
 
 def holdout(df: DataFrame, n: int, experiment: Experiment, index: str = INDEX) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +111,7 @@ def holdout(df: DataFrame, n: int, experiment: Experiment, index: str = INDEX) -
 
 
 def holdout_test(
-    train: DataFrame, test: DataFrame, learner: Learner, spec: FeatureSpec, vocabulary_from: DataFrame | None = None
+    train: DataFrame, test: DataFrame, learner: Learner, spec: FeatureSpec, vocabulary_from: DataFrame | Categories | None = None
 ) -> tuple[Fitted, DataFrame]:
     """Fit on train; return the model and the scored test rows."""
     fitted = fit(learner, train, spec, vocabulary_from)
@@ -137,9 +133,10 @@ def calibration_test(
     folds: Sequence[Fold],
     spec: FeatureSpec,
     method: str = "isotonic",
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
 ) -> DataFrame:
     """Test rows scored by the plain and the calibrated model, told apart by ``model``."""
+    vocabulary_from = known_categories(vocabulary_from, spec)
     plain = fit(learner, train, spec, vocabulary_from).transform(test)
     calibrated = fit_calibrated(learner, train, list(folds), spec, method, vocabulary_from).transform(test)
     return scored_columns(plain.withColumn("model", F.lit(f"Uncalibrated {learner.name}")), "model").unionByName(
@@ -183,10 +180,11 @@ def grid_search(
     spec: FeatureSpec,
     metrics: Sequence[str] = ("accuracy",),
     train_scores: bool = True,
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
     parallelism: int = 4,
 ) -> DataFrame:
     """Scores of every setting on every fold."""
+    vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = [
         lambda s=s, f=f: _fold_rows(df, f, make(**s), spec, metrics, train_scores, vocabulary_from, s, None)
         for s in settings
@@ -216,12 +214,13 @@ def learning_curve(
     spec: FeatureSpec,
     metrics: Sequence[str] = ("accuracy",),
     seed: int = 0,
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
     index: str = INDEX,
     parallelism: int = 4,
 ) -> DataFrame:
     """Scores after training on growing shares of each fold's train rows, taken in
     seeded random order; ``size`` is the number of rows trained on."""
+    vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []
     for f in folds:
         ranked = seeded_rank(df.where(f.train).select(index), index, seed, (), "_rank")
@@ -244,11 +243,12 @@ def expanding_learning_curve(
     learner: Learner,
     spec: FeatureSpec,
     metrics: Sequence[str] = ("accuracy",),
-    vocabulary_from: DataFrame | None = None,
+    vocabulary_from: DataFrame | Categories | None = None,
     index: str = INDEX,
     parallelism: int = 4,
 ) -> DataFrame:
     """Expanding-window validation on growing prefixes; a size of s takes s + 1 rows."""
+    vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []
     for size in sizes:
         prefix = df.where(F.col(index) <= size)

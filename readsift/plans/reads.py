@@ -96,8 +96,11 @@ def _payload_at(reads: DataFrame, instants: DataFrame, wanted: list[str]) -> Dat
         .where(F.col("read_dtm").isNotNull())
         .distinct()
     )
-    found = reads.select(*READ_KEY, "read_value", "uom", "status").join(needed, READ_KEY, "left_semi")
-    return stage(found, "neighbour-reads")
+    # The ends of the wanted instants prune the scan before the join does.
+    ends = instants.agg(F.min(F.least(*wanted)).alias("lo"), F.max(F.greatest(*wanted)).alias("hi")).first()
+    lo, hi = (F.lit(ends[c]).cast("timestamp_ntz") for c in ("lo", "hi"))
+    held = reads.where(F.col("read_dtm").between(lo, hi)).select(*READ_KEY, "read_value", "uom", "status")
+    return stage(held.join(needed, READ_KEY, "left_semi"), "neighbour-reads")
 
 
 def with_read_context(

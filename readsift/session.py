@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -52,3 +55,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{staging_root(spark).rstrip('/')}/readsift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_threads(tasks: list[Callable], spark: SparkSession, parallelism: int) -> list:
+    """Results of the tasks, in order; each driver thread submits its own Spark jobs."""
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        return list(pool.map(lambda task: inheritable_thread_target(spark)(task)(), tasks))
