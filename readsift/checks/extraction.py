@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,7 +25,7 @@ query = BOOK.query
 
 
 def _since():
-    return F.col("read_dtm") >= F.lit(SINCE).cast("timestamp_ntz")
+    return F.col("read_dtm") >= calendar.ntz(SINCE)
 
 
 _TABLES = (
@@ -304,7 +305,7 @@ def fn_truncate_day(spark, sf_dir):
 )
 def fn_fractional_days(spark, sf_dir):
     events = given(spark, sf_dir, "events")
-    mark = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    mark = calendar.ntz(datetime(2024, 1, 20))
     return events.select("event_id", calendar.days_between(F.col("ts"), mark).alias("days"))
 
 
@@ -313,7 +314,7 @@ def fn_fractional_days(spark, sf_dir):
 )
 def fn_rounded_days(spark, sf_dir):
     events = given(spark, sf_dir, "events")
-    mark = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    mark = calendar.ntz(datetime(2024, 1, 20))
     return events.select("event_id", calendar.rounded_days(F.col("ts"), mark).alias("days"))
 
 

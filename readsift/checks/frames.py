@@ -10,7 +10,6 @@ from readsift import config
 from readsift.checks.registering import Book
 from readsift.checks.warehouse_sql import extraction
 from readsift.operators import profile
-from readsift.operators.rank import row_index
 from readsift.plans import features, reads
 from readsift.plans.frame import experiment_frame
 from readsift.schemas import EXCEPTION_SCHEMA

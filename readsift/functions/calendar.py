@@ -6,12 +6,23 @@ influence.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, functions as F
 
 _EPOCH = "1970-01-01"
 _MICROS_PER_DAY = 86_400_000_000
 
 
+def ntz(value: datetime | None) -> Column:
+    """Literal of a wall-clock time.
+
+    It goes by text, as a datetime literal would pass through the zones of the
+    driver and of the session.
+    """
+    return F.lit(None if value is None else value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def day_of(ts: Column) -> Column:
     """Calendar day, time of day cut off."""
     return F.to_date(ts)

@@ -11,6 +11,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from readsift.functions.calendar import ntz
+
 
 def time_span(df: DataFrame, on: str) -> tuple[datetime | None, datetime | None]:
     """Smallest and largest value of a column: one row, two values."""
@@ -32,7 +34,7 @@ def join_in_force(
     ``span`` bounds the probes (see :func:`time_span`); it limits how many
     monthly slices an open-ended interval is spread over.
     """
-    lo, hi = (F.lit(v).cast("timestamp_ntz") for v in span)
+    lo, hi = (ntz(v) for v in span)
     first = F.trunc(F.greatest(F.col(start), lo).cast("date"), "MM")
     last = F.trunc(F.least(F.col(end), hi).cast("date"), "MM")
     spread = (
@@ -63,7 +65,7 @@ def earliest_by_day(
     Periods are closed and compare with the day at midnight, as a period that
     starts later on its first day does not cover that day.
     """
-    lo, hi = (F.lit(v).cast("timestamp_ntz").cast("date") for v in span)
+    lo, hi = (ntz(v).cast("date") for v in span)
     start_day = F.col(start).cast("date")
     opens = F.when(start_day.cast("timestamp_ntz") < F.col(start).cast("timestamp_ntz"), F.date_add(start_day, 1))
     first = F.greatest(opens.otherwise(start_day), lo)

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from readsift import config
-from readsift.functions.calendar import calendar_columns, clock_hour, clock_second, day_of, rounded_days
+from readsift.functions.calendar import calendar_columns, clock_hour, clock_second, day_of, ntz, rounded_days
 from readsift.functions.comments import not_automatic, rule_flags, says_accepted
 from readsift.operators.asof import neighbour_instants
 from readsift.operators.interval import earliest_by_day, join_in_force, time_span
@@ -21,7 +21,7 @@ _TIMELINE = READ_KEY[:2]
 
 
 def _since(since: datetime):
-    return F.col("read_dtm") >= F.lit(since).cast("timestamp_ntz")
+    return F.col("read_dtm") >= ntz(since)
 
 
 def failed_keys(wh: Warehouse, since: datetime = config.DEFAULT_SINCE) -> DataFrame:
@@ -98,8 +98,7 @@ def _payload_at(reads: DataFrame, instants: DataFrame, wanted: list[str]) -> Dat
     )
     # The ends of the wanted instants prune the scan before the join does.
     ends = instants.agg(F.min(F.least(*wanted)).alias("lo"), F.max(F.greatest(*wanted)).alias("hi")).first()
-    lo, hi = (F.lit(ends[c]).cast("timestamp_ntz") for c in ("lo", "hi"))
-    held = reads.where(F.col("read_dtm").between(lo, hi)).select(*READ_KEY, "read_value", "uom", "status")
+    held = reads.where(F.col("read_dtm").between(ntz(ends["lo"]), ntz(ends["hi"]))).select(*READ_KEY, "read_value", "uom", "status")
     return stage(held.join(needed, READ_KEY, "left_semi"), "neighbour-reads")
 
 

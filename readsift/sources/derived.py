@@ -13,6 +13,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from readsift.functions.calendar import ntz
 from readsift.sources.given import given
 from readsift.sources.tables import Warehouse
 
@@ -45,10 +46,6 @@ def _int(value: int):
     return F.lit(value).cast("int")
 
 
-def _ntz(value: datetime):
-    return F.lit(value).cast("timestamp_ntz")
-
-
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = given(spark, sf_dir, "events")
     kind = F.col("event_type")
@@ -86,11 +83,11 @@ def derived_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     moves = ev.groupBy("meter_id").agg(F.min(F.when(event_id % 5 == 2, F.col("read_dtm"))).alias("edge"))
     xref = moves.select(
         "meter_id", F.col("meter_id").alias("location_no"),
-        _ntz(_OPENED).alias("active_dt"), F.col("edge").alias("inactive_dt"),
+        ntz(_OPENED).alias("active_dt"), F.col("edge").alias("inactive_dt"),
     ).unionByName(
         moves.select(
             "meter_id", (F.col("meter_id") + 1).alias("location_no"),
-            F.col("edge").alias("active_dt"), _ntz(_CLOSED).alias("inactive_dt"),
+            F.col("edge").alias("active_dt"), ntz(_CLOSED).alias("inactive_dt"),
         )
     )
 

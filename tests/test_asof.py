@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from readsift.operators.asof import asof_backward, neighbour_instants

@@ -78,6 +78,37 @@ def test_clock_and_rounding(spark):
     assert got.us == 1704283200500000
 
 
+def test_since_ignores_the_zones(spark):
+    from datetime import datetime
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = spark.range(1).select(calendar.ntz(datetime(2024, 3, 10, 2, 30, 0, 5)).alias("t")).first().t
+        assert got == datetime(2024, 3, 10, 2, 30, 0, 5)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert spark.range(1).select(calendar.ntz(None).alias("t")).first().t is None
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from readsift.session import staging_root
+
+    class Context:
+        master = "yarn"
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        staging_root(Session())
+    assert staging_root(spark)
+
+
 def test_expressions_ignore_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00' AS t")
