@@ -55,7 +55,7 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class Experiment:
-    """Knobs of a training and evaluation run."""
+    """Settings of a training and evaluation run; the ``do_`` fields switch its parts."""
 
     seed: int = 0
     train_share: float = 0.8
@@ -69,4 +69,12 @@ class Experiment:
     metrics: tuple[str, ...] = ("accuracy",)
     train_scores: bool = True
     shuffle_targets: bool = False
+    curve_steps: int = 20
+    do_learning_curve: bool = True
+    do_cross_validation: bool = True
+    do_validation_curve: bool = False
+    do_tuning: bool = False
+    do_calibration: bool = False
+    do_pooled_confusion: bool = False
+    do_test_set: bool = False
     spec: FeatureSpec = field(default_factory=FeatureSpec)

@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from readsift.learners import fit, learner
 from readsift.learners.calibration import fit_calibrated, fit_isotonic, fit_sigmoid
 from readsift.learners.spark_ml import tree_nodes
 from readsift.operators import folds, metrics
-from readsift.plans import experiment
+from readsift.plans import experiment, run
 
 SPEC = FeatureSpec(("c",), ("x", "z"), ("b",), "y")
 
@@ -146,3 +147,39 @@ def test_learning_curves_train_on_the_stated_rows(separable):
     dealt = folds.stratified_fold_column(separable, "y", 2, 0)
     shuffled = experiment.learning_curve(dealt, folds.folds_of_column(2), learner("bayes"), [0.5, 1.0], SPEC)
     assert sorted({r.size for r in shuffled.collect()}) == [150, 300]
+
+
+def test_curve_sizes_take_nine_tenths_in_equal_steps():
+    sizes = run.curve_sizes(41970, 20)
+    assert (len(sizes), sizes[0], sizes[1], sizes[-1]) == (20, 1888, 3777, 37773)
+
+
+def test_whole_experiment_in_time_order(separable):
+    settings = Experiment(
+        folds=2, curve_steps=2, do_calibration=True, do_test_set=True, spec=SPEC, metrics=("accuracy", "recall")
+    )
+    out = run.run_experiment(separable, settings, "bayes", other=separable)
+    assert set(out) == {
+        "targets", "learning_curve", "calibration", "calibration_curve", "calibration_histogram", "cross_validation",
+        "cross_scores", "cross_confusion", "test_scores", "test_confusion",
+    }
+    assert out["targets"].agg(F.sum("n")).first()[0] == 480
+    assert out["test_scores"].first()["accuracy"] > 0.95
+    assert {r.size for r in out["learning_curve"].collect()} == {216, 432}
+    assert out["calibration"].count() == 2
+    with pytest.raises(ValueError):
+        run.run_experiment(
+            separable, Experiment(folds=2, do_learning_curve=False, do_pooled_confusion=True, spec=SPEC), "bayes"
+        )
+
+
+def test_whole_experiment_shuffled_and_with_permuted_targets(separable):
+    settings = Experiment(
+        folds=3, time_series=False, do_learning_curve=False, do_pooled_confusion=True, spec=SPEC
+    )
+    out = run.run_experiment(separable, settings, "bayes")
+    assert out["pooled_predictions"].agg(F.sum("n")).first()[0] == 480
+    honest = out["cross_validation"].where("split = 'test'").first()["mean"]
+    blind = run.run_experiment(separable, replace(settings, shuffle_targets=True, do_pooled_confusion=False), "bayes")
+    assert honest > 0.95
+    assert abs(blind["cross_validation"].where("split = 'test'").first()["mean"] - 0.5) < 0.15
