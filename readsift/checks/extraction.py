@@ -344,7 +344,8 @@ def reads_in_time_order(spark, sf_dir):
     from readsift.operators.rank import row_index
 
     r = derived_warehouse(spark, sf_dir).registerreads
-    return row_index(r, ["read_dtm", "meter_id", "channel_id", "read_value", "uom", "read_version", "status"]).orderBy("row_idx")
+    order = ["read_dtm", "meter_id", "channel_id", "read_value", "uom", "read_version", "status"]
+    return row_index(r, order, from_scan=True).orderBy("row_idx")
 
 
 @query(extraction("accepted"))

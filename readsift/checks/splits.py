@@ -37,7 +37,7 @@ def _ranked(seed: int, alias: str = "ranked", by: str = "l_linestatus", source:
 
 
 def indexed(spark, sf_dir):
-    lines = row_index(given(spark, sf_dir, "lineitem"), _ORDER)
+    lines = row_index(given(spark, sf_dir, "lineitem"), _ORDER, from_scan=True)
     return lines.select("row_idx", "l_orderkey", "l_linenumber", "l_linestatus")
 
 

@@ -13,24 +13,30 @@ from readsift.session import stage
 _POSITION_BITS = 33
 
 
-def spread_sort(df: DataFrame, *order_by: str) -> DataFrame:
+def spread_sort(df: DataFrame, *order_by: str, from_scan: bool = False) -> DataFrame:
     """Global sort in which equal keys may fall into several tasks.
 
     A range sort sends equal keys to one task; the number added here as last key
-    lets it cut a mass of ties anywhere.
+    lets it cut a mass of ties anywhere. That number must come out the same when a
+    lost task runs again, so ``df`` is staged first; ``from_scan`` says that it only
+    filters and projects stored files, whose row order is fixed already.
     """
-    return df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order_by, "_tie").drop("_tie")
+    fixed = df if from_scan else stage(df, "sort-input")
+    return fixed.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order_by, "_tie").drop("_tie")
 
 
-def row_index(df: DataFrame, order_by: Sequence[str], name: str = "row_idx") -> DataFrame:
+def row_index(
+    df: DataFrame, order_by: Sequence[str], name: str = "row_idx", from_scan: bool = False
+) -> DataFrame:
     """Add the position 0..n-1 of each row in the order of ``order_by``.
 
     Rows equal in ``order_by`` are ordered by the remaining columns; which of two
     exact copies is first cannot be seen in the result. The sorted frame is staged:
-    positions stay fixed across later actions.
+    positions stay fixed across later actions. ``from_scan`` as in
+    :func:`spread_sort`.
     """
     rest = [c for c in df.columns if c not in order_by]
-    ordered = spread_sort(df, *order_by, *rest).withColumn("_pos", F.monotonically_increasing_id())
+    ordered = spread_sort(df, *order_by, *rest, from_scan=from_scan).withColumn("_pos", F.monotonically_increasing_id())
     staged = stage(ordered, "row-index").withColumn("_part", F.shiftright("_pos", _POSITION_BITS))
     # One row per Spark partition: the only input of the unpartitioned window.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
