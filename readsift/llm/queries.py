@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import shards
+from readsift.llm import shards, token_counts
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -33,3 +34,16 @@ def op5_feistel_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op9_transducer_counts(spark, sf_dir):
+    """Tokens of every document by the compiled transducer of the piece model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 4096).alias("over_limit"),
+    )
