@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import shards, token_counts
+from readsift.llm import packing, shards, token_counts
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -47,3 +47,10 @@ def op9_transducer_counts(spark, sf_dir):
         "n_tokens",
         (F.col("n_tokens") > 4096).alias("over_limit"),
     )
+
+
+@_query
+def op3_best_fit_packing(spark, sf_dir):
+    """All documents in sequences of at most 1024 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
