@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import packing, shards, token_counts
+from readsift.llm import packing, shards, token_counts, va_file
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -13,9 +13,14 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows hold whole texts or blocks of vectors, so a batch of the usual 10,000 could fill a Python worker.
+ROWS_PER_BATCH = "500"
+
+
 def _query(function):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(tune(spark), sf_dir)
+        tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+        return function(spark, sf_dir)
 
     run.__name__, run.__doc__ = function.__name__, function.__doc__
     QUERIES[function.__name__] = run
@@ -54,3 +59,27 @@ def op3_best_fit_packing(spark, sf_dir):
     """All documents in sequences of at most 1024 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@_query
+def op7_va_file_top_k(spark, sf_dir):
+    """The 5 best inner products of every vector whose id is divisible by 50, over all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return va_file.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+ORACLES["op7_va_file_top_k"] = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM valid q JOIN valid d ON d.vec_id <> q.vec_id AND len(d.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
