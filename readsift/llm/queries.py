@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import packing, shards, token_counts, va_file
+from readsift.llm import decontaminate, packing, shards, token_counts, va_file
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -83,3 +83,39 @@ ranked AS (
   FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@_query
+def op2_positional_decontamination(spark, sf_dir):
+    """Hits of all benchmark items in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.contamination(docs, items).drop("_hash")
+
+
+ORACLES["op2_positional_decontamination"] = """
+WITH lowered AS (
+  SELECT doc_id AS id, 0 AS is_item, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT item_id, 1, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+split AS (
+  SELECT id, is_item, regexp_extract_all(coalesce(t, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM lowered),
+items AS (SELECT id AS item_id, w, least(13, len(w)) AS k FROM split WHERE is_item = 1 AND len(w) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM items)),
+lengths AS (SELECT DISTINCT k FROM items),
+doc_windows AS (
+  SELECT id AS doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM split CROSS JOIN lengths WHERE is_item = 0 AND len(w) >= k)),
+found AS (SELECT doc_id, s, d.k, item_id FROM doc_windows d JOIN item_windows i ON i.phrase = d.phrase AND i.k = d.k),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM (SELECT DISTINCT doc_id, s, k FROM found)) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT s.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM split s LEFT JOIN hit h ON h.doc_id = s.id LEFT JOIN named n ON n.doc_id = s.id WHERE is_item = 0
+"""
