@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, packing, shards, token_counts, va_file
+from readsift.llm import decontaminate, jaccard, packing, shards, token_counts, va_file
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -119,3 +119,34 @@ SELECT s.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM split s LEFT JOIN hit h ON h.doc_id = s.id LEFT JOIN named n ON n.doc_id = s.id WHERE is_item = 0
 """
+
+
+@_query
+def op4_prefix_orders_join(spark, sf_dir):
+    """Components of documents whose 5-word shingle sets agree to 80 per cent."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).drop("_hash")
+
+
+ORACLES["op4_prefix_orders_join"] = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM split WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingle x JOIN shingle y ON x.t = y.t AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+either_way AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reach.doc_id, e.b FROM reach JOIN either_way e ON e.a = reach.r)
+SELECT s.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
+"""
