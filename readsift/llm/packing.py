@@ -21,11 +21,15 @@ from readsift.session import stage
 
 SEPARATOR = "<|endoftext|>"  # fixed value: the special string of the byte-level vocabulary
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_MARKS = frozenset(",.;:!?")
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
 class Words(dict):
-    """Token ids (as bytes) of a word with what stands before it, asked from the library once."""
+    """Token ids (as bytes) of a word with what stands before it, asked from the library once.
+
+    A mark after a letter is a word of its own to the library, so a word with one is looked up without it.
+    """
 
     def __init__(self, encode, before: str, kept: int) -> None:
         super().__init__()
@@ -34,7 +38,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self._kept:
             self.clear()
-        ids = self[word] = self._encode(self._before + word)
+        if word[-1:] in _MARKS and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self._encode(word[-1])
+        else:
+            ids = self._encode(self._before + word)
+        self[word] = ids
         return ids
 
 
@@ -46,7 +54,7 @@ class Encoder:
     and kept; any other text goes to the library whole, as do texts that hold the special string.
     """
 
-    def __init__(self, path: str, kept: int = 250_000) -> None:
+    def __init__(self, path: str, kept: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
