@@ -21,7 +21,7 @@ from readsift.session import stage
 
 SEPARATOR = "<|endoftext|>"  # fixed value: the special string of the byte-level vocabulary
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_MARKS = frozenset(",.;:!?")
+_MARKS = ",.;:!?"
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 
 
@@ -34,12 +34,13 @@ class Words(dict):
     def __init__(self, encode, before: str, kept: int) -> None:
         super().__init__()
         self._encode, self._before, self._kept = encode, before, kept
+        self._marks = {mark: encode(mark) for mark in _MARKS}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self._kept:
             self.clear()
-        if word[-1:] in _MARKS and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self._encode(word[-1])
+        if word[-1:] in self._marks and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self._marks[word[-1]]
         else:
             ids = self._encode(self._before + word)
         self[word] = ids
