@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, jaccard, packing, shards, token_counts, va_file
+from readsift.llm import decontaminate, jaccard, packing, quality, shards, token_counts, va_file
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -150,3 +150,12 @@ SELECT s.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
 FROM split s LEFT JOIN sizes z ON z.doc_id = s.doc_id
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
 """
+
+
+@_query
+def op6_pu_quality(spark, sf_dir):
+    """Quality of every document, learnt from the labelled positives of the training folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, model, threshold=0.3)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
