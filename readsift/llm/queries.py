@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, jaccard, packing, quality, shards, token_counts, va_file
+from readsift.llm import decontaminate, jaccard, packing, quality, shards, substrings, token_counts, va_file
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -159,3 +159,11 @@ def op6_pu_quality(spark, sf_dir):
     model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     scored = quality.score(docs, model, threshold=0.3)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op1_paragraph_minhash(spark, sf_dir):
+    """Repeated passages of 50 words or more in all documents, and the document that keeps each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = substrings.repeated_spans(docs).drop("_hash").withColumnsRenamed({"start": "start_char", "end": "end_char"})
+    return spans.withColumnRenamed("cluster", "cluster_id")
