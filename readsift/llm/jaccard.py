@@ -61,8 +61,7 @@ def set_digests(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes, halves = [], []
-            for text in batch["text"]:
-                found = shingles.shingle_set(text, size)
+            for found in shingles.shingle_sets(batch["text"], size):
                 sizes.append(len(found))
                 halves.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), ">i8") if len(found) else (None, None))
             yield pd.DataFrame({
@@ -80,7 +79,7 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
 
     def low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(_top(s[: np.searchsorted(s, limit)])) for s in (shingles.shingle_set(t, size) for t in batch["text"])]
+            found = [np.unique(_top(s[: np.searchsorted(s, limit)])) for s in shingles.shingle_sets(batch["text"], size)]
             yield pd.DataFrame({"tokens": [_signed(f) for f in found]})
 
     each = docs.select("text").mapInPandas(low, "tokens array<int>").select(F.explode("tokens").alias("token"))
@@ -102,8 +101,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> D
         often = sent.value
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                found = shingles.shingle_set(text, size)
+            for doc, found in zip(batch["doc_id"], shingles.shingle_sets(batch["text"], size)):
                 n = len(found)
                 if not n:
                     continue
@@ -130,8 +128,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, docs: DataFrame, size: int,
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch["a_text"], batch["b_text"]):
-                x, y = shingles.shingle_set(x, size), shingles.shingle_set(y, size)
+            for x, y in zip(shingles.shingle_sets(batch["a_text"], size), shingles.shingle_sets(batch["b_text"], size)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch[["a", "b"]].assign(linked=linked)
