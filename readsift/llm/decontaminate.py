@@ -194,5 +194,5 @@ def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, in their own columns, that are not contaminated."""
     judged = contamination(docs.select("doc_id", "text"), items, size).where("contaminated")
     bad = stage(judged.select(_id(docs).alias("_id"), "_hash").distinct(), "contaminated")
-    marked = docs.withColumns({"_id": _id(docs), "_hash": F.xxhash64("text")})
-    return marked.join(if_small(bad, SMALL_ROWS), ["_id", "_hash"], "left_anti").select(*docs.columns)
+    packed = docs.select(_id(docs).alias("_id"), F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    return packed.join(if_small(bad, SMALL_ROWS), ["_id", "_hash"], "left_anti").select("_row.*")

@@ -253,7 +253,8 @@ def keep_one_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     if rows repeat it with the same text). Rows without words or id stay."""
     judged = jaccard_components(docs, size, percent).where("n_shingles > 0 AND doc_id <> component_id")
     gone = stage(judged.select("doc_id").distinct(), "near-copies")
-    kept = docs.join(if_small(gone, SMALL_ROWS), "doc_id", "left_anti").select(*docs.columns)
-    repeats = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
-    named = kept.where("doc_id IS NOT NULL").withColumn("_n", F.row_number().over(repeats)).where("_n = 1").drop("_n")
-    return named.unionByName(kept.where("doc_id IS NULL"))
+    packed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    kept = packed.join(if_small(gone, SMALL_ROWS), "doc_id", "left_anti")
+    repeats = Window.partitionBy("doc_id", "_hash").orderBy(F.xxhash64("_row"))
+    named = kept.where("doc_id IS NOT NULL").withColumn("_n", F.row_number().over(repeats)).where("_n = 1")
+    return named.select("_row.*").unionByName(kept.where("doc_id IS NULL").select("_row.*"))

@@ -17,9 +17,15 @@ ORACLES: dict[str, str] = {}
 ROWS_PER_BATCH = "500"
 
 
+def prepared(spark: SparkSession, df: DataFrame | None = None) -> DataFrame | None:
+    """Set what the operators want of a session; returns ``df``."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    return df
+
+
 def _query(function):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+        prepared(spark)
         return function(spark, sf_dir)
 
     run.__name__, run.__doc__ = function.__name__, function.__doc__
