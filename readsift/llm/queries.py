@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, jaccard, packing, quality, shards, substrings, token_counts, va_file
+from readsift.llm import decontaminate, jaccard, packing, quality, shards, substrings, token_counts, va_file, warc
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -173,3 +173,15 @@ def op1_paragraph_minhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = substrings.repeated_spans(docs).drop("_hash").withColumnsRenamed({"start": "start_char", "end": "end_char"})
     return spans.withColumnRenamed("cluster", "cluster_id")
+
+
+@_query
+def op8_warc_round_trip(spark, sf_dir):
+    """All pages written to WARC files and read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType
+    found = warc.pages(warc.read(spark, warc.archive(pages)))
+    return found.select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
