@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, jaccard, packing, quality, shards, substrings, token_counts, va_file, warc
+from readsift.llm import decontaminate, html_text, jaccard, packing, quality, shards, substrings, token_counts, va_file, warc
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -185,3 +185,10 @@ def op8_warc_round_trip(spark, sf_dir):
         F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+@_query
+def op10_template_text(spark, sf_dir):
+    """Main text of every page."""
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
