@@ -192,3 +192,21 @@ def op10_template_text(spark, sf_dir):
     """Main text of every page."""
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+ORACLES["op8_warc_round_trip"] = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digests AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+        -- Hex digits j and j + 1 hold the five bits that start at bit 5 i.
+        ((strpos('0123456789abcdef', substr(hex, 1 + (5 * i) // 4, 1)) - 1) * 16
+          + greatest(strpos('0123456789abcdef', substr(hex, 2 + (5 * i) // 4, 1)) - 1, 0)) // (1 << (3 - (5 * i) % 4))) % 32 AS INT), 1)),
+    'string_agg', '') AS payload_digest
+  FROM payloads),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM digests)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
