@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from readsift.checks import registry  # noqa: E402
-from readsift.session import RECOMMENDED_CONF  # noqa: E402
+from readsift.session import RECOMMENDED_CONF, released  # noqa: E402
 
 HEADLINE = (
     "accepted_reads", "failed_reads", "deleted_reads", "labelled_reads", "neighbour_reads",
@@ -49,7 +49,8 @@ def main() -> None:
     queries["stacked_exceptions"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm the JVM
     for name in wanted:
         began = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with released(spark):
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()

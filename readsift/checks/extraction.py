@@ -115,11 +115,12 @@ _MARKS = (("HILO", "HiLo:"), ("REGISTERINCREASING", "RegisterIncreasing:"), ("SU
     warehouse_query(
         "SELECT meter_id, channel_id, read_dtm, comments, "
         + ", ".join(f"CASE WHEN strpos(comments, '{m}') > 0 THEN 1 ELSE 0 END AS {n}" for n, m in _MARKS)
-        + " FROM registerreadcomments_deleted"
+        + " FROM (SELECT * FROM registerreadcomments UNION ALL SELECT * FROM registerreadcomments_deleted)"
     )
 )
 def rule_flag_columns(spark, sf_dir):
-    notes = derived_warehouse(spark, sf_dir).registerreadcomments_deleted
+    wh = derived_warehouse(spark, sf_dir)
+    notes = wh.registerreadcomments.unionByName(wh.registerreadcomments_deleted)
     return notes.withColumns(rule_flags(F.col("comments")))
 
 
@@ -145,25 +146,29 @@ def deleted_with_comments(spark, sf_dir):
 
 @query(
     warehouse_query(
-        "SELECT meter_id, channel_id, read_dtm, d.read_value, r.meter_tp FROM registerreads_deleted d JOIN meters r USING (meter_id)"
+        "SELECT meter_id, channel_id, read_dtm, d.read_value, r.meter_tp FROM (SELECT meter_id, channel_id, read_dtm, read_value FROM registerreads "
+        "UNION ALL SELECT meter_id, channel_id, read_dtm, read_value FROM registerreads_deleted) d JOIN meters r USING (meter_id)"
     )
 )
 def join_meter_type(spark, sf_dir):
     wh = derived_warehouse(spark, sf_dir)
-    return wh.registerreads_deleted.join(wh.meters, "meter_id").select(*_KEY, "read_value", "meter_tp")
+    values = [*_KEY, "read_value"]
+    every = wh.registerreads.select(*values).unionByName(wh.registerreads_deleted.select(*values))
+    return every.join(wh.meters, "meter_id").select(*values, "meter_tp")
 
 
 def _asof_inputs(spark, sf_dir):
     wh = derived_warehouse(spark, sf_dir)
     base = wh.registerreads.select(*_KEY, "read_value", "status")
-    return wh.registerreads_deleted.select(*_KEY), base
+    probes = wh.registerreads.select(*_KEY).unionByName(wh.registerreads_deleted.select(*_KEY))
+    return probes.distinct(), base
 
 
 def _asof_sql(which: str, looked_up: str) -> str:
     return warehouse_query(
         f"SELECT p.meter_id, p.channel_id, p.read_dtm, {which}_dtm AS {which}_read_dtm, "
         f"b.read_value AS {which}_read_value, b.status AS {which}_status "
-        f"FROM registerreads_deleted p {looked_up} JOIN registerreads b ON b.meter_id = p.meter_id "
+        f"FROM (SELECT DISTINCT meter_id, channel_id, read_dtm FROM ev) p {looked_up} JOIN registerreads b ON b.meter_id = p.meter_id "
         f"AND b.channel_id = p.channel_id AND b.read_dtm = {which}_dtm"
     )
 
@@ -340,12 +345,12 @@ def fn_instr(spark, sf_dir):
     )
 )
 def reads_in_time_order(spark, sf_dir):
-    """Sorted reads; the position shows the order to an order-blind compare."""
+    """Reads with their place in time order; the place shows the order to an order-blind compare."""
     from readsift.operators.rank import row_index
 
     r = derived_warehouse(spark, sf_dir).registerreads
     order = ["read_dtm", "meter_id", "channel_id", "read_value", "uom", "read_version", "status"]
-    return row_index(r, order, from_scan=True).orderBy("row_idx")
+    return row_index(r, order, from_scan=True)
 
 
 @query(extraction("accepted"))

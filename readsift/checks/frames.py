@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from readsift import config
@@ -13,7 +11,7 @@ from readsift.operators import profile
 from readsift.plans import features, reads
 from readsift.plans.frame import experiment_frame
 from readsift.schemas import EXCEPTION_SCHEMA
-from readsift.session import staging_root
+from readsift.session import staged_path
 from readsift.sources import files
 from readsift.sources.derived import SINCE, derived_warehouse
 
@@ -40,13 +38,12 @@ def frame(spark, sf_dir):
 
 @query(
     extraction(
-        "accepted", 2,
+        "labelled", 2,
         "SELECT CHANNEL_ID, CAST(month(READ_DTM) AS INT) AS MONTH, CAST(day(READ_DTM) AS INT) AS DAY, READ_VALUE FROM wide",
     )
 )
 def features_day_month(spark, sf_dir):
-    wh = derived_warehouse(spark, sf_dir)
-    wide = reads.with_read_context(reads.accepted_exceptions(wh, SINCE), wh, keep=("read_dtm", "channel_id"))
+    wide = labelled(spark, sf_dir, keep=("read_dtm", "channel_id"))
     raw = wide.select(
         F.col("read_dtm").alias("READ_DTM"), "METER_ID", F.col("channel_id").alias("CHANNEL_ID"), "READ_VALUE"
     )
@@ -84,12 +81,11 @@ _NO_LOCATION = [c for c in _FEATURES if c != "LOCATION_CLASS"]
 
 
 @query(
-    extraction("labelled", 2, f"SELECT {', '.join(_NO_LOCATION)} FROM wide WHERE METER_ID % 2 = 1")
+    extraction("labelled", 2, f"SELECT {', '.join(_NO_LOCATION)} FROM wide")
 )
 def align_columns(spark, sf_dir):
-    """Frame of the odd meters cut to the columns of a model without location."""
-    odd = labelled(spark, sf_dir).where(F.col("METER_ID") % 2 == 1)
-    return features.align_to(odd, _NO_LOCATION)
+    """The frame cut to the columns of a model without location."""
+    return features.align_to(labelled(spark, sf_dir), _NO_LOCATION)
 
 
 @query(
@@ -134,7 +130,7 @@ def frame_shape(spark, sf_dir):
 
 @query(extraction("labelled", 2, f"SELECT {', '.join(EXCEPTION_SCHEMA.fieldNames())} FROM wide"))
 def csv_round_trip(spark, sf_dir):
-    path = f"{staging_root(spark)}/readsift/csv-{uuid.uuid4().hex}"
+    path = staged_path(spark, "csv")
     files.write_csv(labelled(spark, sf_dir).drop("Status"), path)
     return files.read_csv(spark, path, EXCEPTION_SCHEMA)
 
@@ -142,7 +138,7 @@ def csv_round_trip(spark, sf_dir):
 @query(extraction("labelled", 2, f"SELECT {_FEATURE_SQL}, CAST(READ_DTM AS DATE) AS Date FROM wide"))
 def stage_chain(spark, sf_dir):
     """Raw CSV to interim to processed features, read back from the last stage."""
-    root = f"{staging_root(spark)}/readsift/chain-{uuid.uuid4().hex}"
+    root = staged_path(spark, "chain")
     files.write_csv(labelled(spark, sf_dir).drop("Status"), f"{root}/raw/exceptions.csv")
     build = features.time_series_features
     target = files.run_stages(
@@ -158,7 +154,7 @@ def stage_chain(spark, sf_dir):
 @query(extraction("labelled", 2, f"SELECT {', '.join(EXCEPTION_SCHEMA.fieldNames())} FROM wide WHERE YEAR = 2024 AND MONTH = 1"))
 def parquet_by_month(spark, sf_dir):
     """Parquet sink partitioned by month, read back through partition pruning."""
-    path = f"{staging_root(spark)}/readsift/frame-{uuid.uuid4().hex}"
+    path = staged_path(spark, "frame")
     files.write_frame(labelled(spark, sf_dir).drop("Status"), path)
     stored = spark.read.schema(EXCEPTION_SCHEMA).parquet(path)
     return stored.where((F.col("YEAR") == 2024) & (F.col("MONTH") == 1)).select(*EXCEPTION_SCHEMA.fieldNames())

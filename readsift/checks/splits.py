@@ -127,14 +127,14 @@ def folds_stratified(spark, sf_dir):
 
 @query(
     _sql(
-        "SELECT row_idx, CAST(r0.rank % 10 AS INT) AS fold_0, CAST(r1.rank % 10 AS INT) AS fold_1, CAST(r2.rank % 10 AS INT) AS fold_2 "
-        "FROM r0 JOIN r1 USING (row_idx) JOIN r2 USING (row_idx)",
-        _ranked(0, "r0"), _ranked(1, "r1"), _ranked(2, "r2"),
+        "SELECT row_idx, " + ", ".join(f"CAST(r{i}.rank % 10 AS INT) AS fold_{i}" for i in range(10)) + " FROM r0 "
+        + " ".join(f"JOIN r{i} USING (row_idx)" for i in range(1, 10)),
+        *[_ranked(i, f"r{i}") for i in range(10)],
     )
 )
 def folds_repeated_stratified(spark, sf_dir):
-    dealt, _ = folds.repeated_stratified(indexed(spark, sf_dir), "l_linestatus", 10, 3, 0)
-    return dealt.select("row_idx", "fold_0", "fold_1", "fold_2")
+    dealt, _ = folds.repeated_stratified(indexed(spark, sf_dir), "l_linestatus", 10, 10, 0)
+    return dealt.select("row_idx", *[f"fold_{i}" for i in range(10)])
 
 
 @query(

@@ -1,15 +1,20 @@
 """Linear learners trained by iterative parameter mixing.
 
-Each round starts every partition from the shared weights; a partition runs the
-update rule over its rows in small batches and returns its weights; their average,
+Each round starts every shard of the rows from the shared weights; a shard runs the
+update rule over its rows in a fixed order and returns its weights; their average,
 weighted by rows and taken by Spark, starts the next round (McDonald, Hall and
-Mann, 2010). A task holds one Arrow batch at a time, the driver one weight vector.
+Mann, 2010). Shards follow from the number of rows alone, so neither the session's
+partitions nor the packing of files into tasks changes a fit. A task holds one Arrow
+batch at a time, the driver one weight vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
+from math import ceil
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -21,6 +26,7 @@ from readsift.operators.rank import seeded_key
 from readsift.session import stage
 
 _BATCH = 64
+SHARD_ROWS = 50_000
 
 
 @dataclass
@@ -80,11 +86,19 @@ def perceptron_rule(alpha: float, penalty: str, eta: float) -> Rule:
 
 
 def passive_aggressive_rule(c: float) -> Rule:
+    """One step a row, as large as the row needs and ``c`` allows. An unknown value has no weight, so it adds nothing
+    to the row's norm."""
+
     def update(w, hot, numbers, side, seen):
-        loss = np.maximum(1.0 - side * w.margin(hot, numbers), 0.0)
-        norm = hot.shape[1] + (numbers * numbers).sum(axis=1)
-        w.add(hot, numbers, side * np.minimum(c, loss / np.maximum(norm, 1e-12)) / np.sqrt(len(side)))
-        return float(loss.sum())
+        norm = (hot < len(w.slots) - 1).sum(axis=1) + (numbers * numbers).sum(axis=1)
+        total = 0.0
+        for i in range(len(side)):
+            row = slice(i, i + 1)
+            loss = max(1.0 - side[i] * float(w.margin(hot[row], numbers[row])[0]), 0.0)
+            if loss:
+                w.add(hot[row], numbers[row], side[row] * min(c, loss / max(norm[i], 1e-12)))
+                total += loss
+        return total
 
     return update
 
@@ -125,12 +139,14 @@ _PART_SCHEMA = "w array<double>, n double, loss double, held double, hits double
 
 
 def _one_round(start: np.ndarray, width_hot: int, rule: Rule, seen_before: float):
-    """Task of one round: judge the starting weights on held-out rows, train on the rest."""
+    """Task of one round: judge the starting weights on held-out rows, train each shard's own on the rest.
 
-    def run(batches):
+    A shard is one file, sorted, and not split; a task may read several."""
+
+    def shard(parts):
         shared, w = Weights.of(start, width_hot), Weights.of(start, width_hot)
         rows, loss, held, hits = 0, 0.0, 0, 0
-        for pdf in batches:
+        for pdf in parts:
             hot = np.array(pdf["hot"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
             numbers = np.array(pdf["numbers"].tolist(), dtype=float).reshape(len(pdf), -1)
             side = 2.0 * pdf["label"].to_numpy() - 1.0
@@ -143,10 +159,15 @@ def _one_round(start: np.ndarray, width_hot: int, rule: Rule, seen_before: float
                 cut = slice(at, at + _BATCH)
                 loss += rule(w, hot[cut], numbers[cut], side[cut], seen_before + rows)
                 rows += len(side[cut])
-        yield pd.DataFrame(
+        return pd.DataFrame(
             {"w": [w.flat().tolist()], "n": [float(rows)], "loss": [loss], "held": [float(held)], "hits": [float(hits)]}
         )
 
+    def run(batches):
+        pieces = (piece for pdf in batches for piece in pdf.groupby("shard", sort=False))
+        for _, parts in groupby(pieces, key=itemgetter(0)):
+            yield shard(part for _, part in parts)
+
     return run
 
 
@@ -185,22 +206,24 @@ class OnlineLinear:
             return DummyModel("most_frequent", float(next(iter(counts))), 0, "")
         digest = seeded_key(self.seed, self.key)
         draw = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / float(16**8)
-        # Rows are spread by digest, so each partition sees a random mix; the copy
-        # is read back every round.
+        # Rows are spread by digest, so each shard sees a random mix; the copy is read back every round.
+        shards = ceil(sum(counts.values()) / SHARD_ROWS)
         train = stage(
             encoded.select("hot", "numbers", "label", digest.alias("digest"))
             .withColumn("held_out", draw < self.validation_share)
-            .repartition("digest")
+            .withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("int"))
+            .repartition(shards, "shard")
+            .sortWithinPartitions("shard", "digest")
             .drop("digest"),
             "online",
         )
         flat = Weights.zero(encoding.width_hot, encoding.width_numbers).flat()
         best_flat, best, stale, rounds = flat, None, 0, 0
-        per_partition = sum(counts.values()) / max(1, train.rdd.getNumPartitions())
+        per_shard = sum(counts.values()) / shards
         for rounds in range(1, self.max_rounds + 1):
             start = flat
             parts = train.mapInPandas(
-                _one_round(start, encoding.width_hot, self.rule, per_partition * (rounds - 1)), _PART_SCHEMA
+                _one_round(start, encoding.width_hot, self.rule, per_shard * (rounds - 1)), _PART_SCHEMA
             )
             flat, loss, accuracy = _mixed(parts)
             if accuracy is None:

@@ -36,6 +36,11 @@ def standardised(df: DataFrame, columns, fitted_on: DataFrame | None = None) ->
     )
 
 
+def _number(column: str) -> str:
+    """The column as a number. No learner has an answer for a missing one, so it fails the job by name."""
+    return f"COALESCE(CAST(`{column}` AS DOUBLE), CAST(raise_error('column {column} holds NULL') AS DOUBLE))"
+
+
 def _token(position: int) -> str:
     """Prefix that keeps equal values of different columns apart."""
     return f"{position}="
@@ -120,8 +125,8 @@ def fit_encoding(
     } if spec.numerical else {}
 
     tokens = ", ".join(f"CONCAT('{_token(i)}', CAST(`{c}` AS STRING))" for i, c in enumerate(spec.categorical))
-    scaled = [f"(CAST(`{c}` AS DOUBLE) - ({stats[c][0]!r}D)) / {stats[c][1]!r}D" for c in spec.numerical]
-    passed = [f"CAST(`{c}` AS DOUBLE)" for c in spec.passthrough]
+    scaled = [f"({_number(c)} - ({stats[c][0]!r}D)) / {stats[c][1]!r}D" for c in spec.numerical]
+    passed = [_number(c) for c in spec.passthrough]
     statement = (
         f"SELECT *, FILTER(ARRAY({tokens}), t -> t IS NOT NULL) AS _tokens, "
         f"CAST(ARRAY({', '.join(scaled + passed)}) AS ARRAY<DOUBLE>) AS numbers FROM __THIS__"

@@ -4,7 +4,7 @@ The distance is the Euclidean one over one-hot categoricals and scaled numbers,
 taken from the compact columns ``hot`` and ``numbers``: a category only one of two
 rows has costs 1, so two known ones that differ cost 2.
 
-Base rows fall into cells round a bounded number of pivots. A query first
+Base rows fall into cells round pivots, whose number grows with the square root of the rows. A query first
 searches the cells nearest to it, which bounds its k-th distance; the triangle
 inequality then leaves only the cells that could still hold a nearer row. Cells
 are cut into blocks and the queries that visit a cell into chunks of bounded size,
@@ -14,7 +14,7 @@ one spot. Only the k best of a pair leave it.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,6 @@ from readsift.operators.rank import seeded_key
 from readsift.session import stage
 
 _DIGITS = 9  # Distances equal to this many places count as ties, broken by id.
-MAX_PIVOTS = 256
 _SLACK = 1e-6  # Keeps a cell whose bound misses the reach by rounding alone.
 
 
@@ -133,13 +132,12 @@ def nearest(
     seed: int = 0,
     block_rows: int = 2048,
     chunk_rows: int = 2048,
-    prune_from: int = 32,
 ) -> DataFrame:
     """(query_id, neighbour_id, rank, distance, label) of the k nearest base rows.
 
     Both frames need ``id`` (unique bigint), ``hot`` and ``numbers``; ``base`` may
-    carry ``label``. Equal distances rank by id. Pivots come in once the base
-    fills ``prune_from`` blocks.
+    carry ``label``. Equal distances rank by id. There are as many pivots as blocks, up to the
+    square root of the base rows.
     """
     if "label" not in base.columns:
         base = base.withColumn("label", F.lit(None).cast("double"))
@@ -159,15 +157,7 @@ def nearest(
     if n == 0:
         return base.sparkSession.createDataFrame([], result_schema)
 
-    if n < prune_from * block_rows:
-        # So few blocks that visiting all of them costs less than sorting them out.
-        everywhere = queries.withColumn("cell", F.lit(0))
-        count = ceil(n / block_rows)
-        cells = base.withColumn("cell", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)))
-        found = _search(everywhere, cells, {0: count}, k, unknown, exclude_self, chunk_rows)
-        return _ranked(found, k) if found is not None else base.sparkSession.createDataFrame([], result_schema)
-
-    wanted = max(1, min(MAX_PIVOTS, n // block_rows))
+    wanted = max(1, min(isqrt(n), n // block_rows))
     pivots = base.orderBy(seeded_key(seed, "id"), "id").limit(wanted).collect()
     pivot_hot = np.array([p["hot"] for p in pivots], dtype=np.int64).reshape(len(pivots), -1)
     pivot_num = np.array([p["numbers"] for p in pivots], dtype=float).reshape(len(pivots), -1)

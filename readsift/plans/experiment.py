@@ -21,16 +21,16 @@ from readsift.operators.folds import INDEX, Fold
 from readsift.operators.encode import Categories, known_categories
 from readsift.operators.rank import seeded_rank
 from readsift.plans.features import align_to
-from readsift.session import in_threads
+from readsift.session import in_threads, stage
 
 RESULT_SCHEMA = (
     "classifier string, params map<string,string>, size bigint, fold int, split string, "
-    "metric string, value double, fit_seconds double"
+    "metric string, value double, fit_seconds double, setting int"
 )
 
 
 def _fold_rows(
-    df: DataFrame, fold: Fold, learner: Learner, spec: FeatureSpec, metrics, train_scores, vocabulary_from, params, size
+    df: DataFrame, fold: Fold, learner: Learner, spec: FeatureSpec, metrics, train_scores, vocabulary_from, params, size, setting=0
 ) -> list[tuple]:
     began = time.monotonic()
     fitted = fit(learner, df.where(fold.train), spec, vocabulary_from)
@@ -43,7 +43,7 @@ def _fold_rows(
     found = metric_ops.scores(fitted.transform(wanted), metrics, ["split"]).collect()
     text = {k: str(v) for k, v in params.items()}
     return [
-        (learner.name, text, size, fold.number, row["split"], m, float(row[m]), seconds) for row in found for m in metrics
+        (learner.name, text, size, fold.number, row["split"], m, float(row[m]), seconds, setting) for row in found for m in metrics
     ]
 
 
@@ -187,18 +187,20 @@ def grid_search(
     """Scores of every setting on every fold."""
     vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = [
-        lambda s=s, f=f: _fold_rows(df, f, make(**s), spec, metrics, train_scores, vocabulary_from, s, None)
-        for s in settings
+        lambda i=i, s=s, f=f: _fold_rows(df, f, make(**s), spec, metrics, train_scores, vocabulary_from, s, None, i)
+        for i, s in enumerate(settings)
         for f in folds
     ]
     return _run(tasks, df.sparkSession, parallelism)
 
 
 def best_settings(results: DataFrame) -> DataFrame:
-    """Per classifier and metric the setting with the best mean test score."""
-    tested = summary(results.where(F.col("split") == "test"))
-    return tested.groupBy("classifier", "metric").agg(
-        F.max_by("params", F.struct("mean", "params")).alias("params"), F.max("mean").alias("mean")
+    """Per classifier and metric the setting with the best mean test score; of equals the first in grid order."""
+    tested = results.where(F.col("split") == "test")
+    first = tested.groupBy(F.to_json("params").alias("params")).agg(F.min("setting").alias("setting"))
+    ranked = summary(tested).join(first, "params")
+    return ranked.groupBy("classifier", "metric").agg(
+        F.max_by("params", F.struct("mean", -F.col("setting"))).alias("params"), F.max("mean").alias("mean")
     )
 
 
@@ -220,14 +222,17 @@ def learning_curve(
     parallelism: int = 4,
 ) -> DataFrame:
     """Scores after training on growing shares of each fold's train rows, taken in
-    seeded random order; ``size`` is the number of rows trained on."""
+    seeded random order; ``size`` is the number of rows trained on. All folds use the sizes
+    that the smallest one allows, so a size's mean is over every fold."""
     vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []
-    for f in folds:
-        ranked = seeded_rank(df.where(f.train).select(index), index, seed, (), "_rank")
-        n = ranked.count()
-        shuffled = df.join(ranked, index, "left")
-        for size in sorted({max(1, int(share * n)) for share in fractions}):
+    ranks = [stage(seeded_rank(df.where(f.train).select(index), index, seed, (), "_rank"), "curve-ranks") for f in folds]
+    n = min(r.count() for r in ranks)
+    sizes = sorted({max(1, int(share * n)) for share in fractions})
+    for f, ranked in zip(folds, ranks):
+        # Read by every size of the fold, so the join is done once.
+        shuffled = stage(df.join(ranked, index, "left"), "curve-rows")
+        for size in sizes:
             part = Fold(f.number, F.col("_rank") < size, f.test)
             tasks.append(
                 lambda p=part, s=size, d=shuffled: _fold_rows(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from readsift import config
 from readsift.functions.calendar import calendar_columns, clock_hour, clock_second, day_of, ntz, rounded_days
@@ -18,6 +19,8 @@ from readsift.sources.tables import Warehouse
 
 READ_KEY = ["meter_id", "channel_id", "read_dtm"]
 _TIMELINE = READ_KEY[:2]
+#: Rows (meter, channel) of 12 bytes that are sent to every task to prune the reads.
+MAX_BROADCAST_LINES = 500_000
 
 
 def _since(since: datetime):
@@ -107,18 +110,26 @@ def with_read_context(
     wh: Warehouse,
     version: int = 2,
     keep: tuple[str, ...] = (),
+    slice_of: Callable[[Column], Column] = day_of,
 ) -> DataFrame:
     """Widen exceptions by neighbour reads, location, meter type, billing and flags.
 
     An exception without a previous, second-previous or (version 2) next read,
     without a location in force or (version 2) a meter type is dropped; several
-    matches fan out. ``keep`` names extra input columns to carry, in front.
+    matches fan out. ``keep`` names extra input columns to carry, in front. ``slice_of`` cuts
+    the timelines, days by default; a key with many reads a day wants a finer one.
     """
     columns = exception_columns(version)
     exceptions = stage(exceptions, "exceptions")
     span = time_span(exceptions, "read_dtm")
 
-    instants = neighbour_instants(exceptions, wh.registerreads, _TIMELINE, "read_dtm")
+    # Only timelines that hold an exception can matter. Few of them prune the reads before any shuffle; where
+    # there are more than a broadcast should carry, most timelines matter and all reads go the same way.
+    lines = stage(exceptions.select(*_TIMELINE).distinct(), "timelines")
+    base = wh.registerreads
+    if lines.count() <= MAX_BROADCAST_LINES:
+        base = base.join(F.broadcast(lines), _TIMELINE, "left_semi")
+    instants = neighbour_instants(exceptions, base, _TIMELINE, "read_dtm", slice_of)
     wanted = ["prev_read_dtm", "prev2_read_dtm"] + (["next_read_dtm"] if version == 2 else [])
     complete = instants
     for c in wanted:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.util import inheritable_thread_target
@@ -44,15 +45,45 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+# Folders written by ``stage``, per shared root, in the order of writing.
+_STAGED: list[str] = []
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, which :func:`released` takes away again."""
+    path = f"{staging_root(spark).rstrip('/')}/readsift/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged copies written after the first ``since`` ones. Frames built on them can't be read any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_STAGED) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Owns what is staged inside: write or collect results before the block ends. Blocks of one process nest;
+    threads that stage side by side share the block around them."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the copy.
 
     Later uses read the stored columns they need, never recompute the lineage,
     and see the true size, from which adaptive execution picks join strategies.
-    The copy outlives any executor.
+    The copy outlives any executor; :func:`released` removes it.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/readsift/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,26 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from readsift.plans.features import checked
 
+FILES_PER_PART = 8
 PROCESSED_SUFFIX = "_time_series"
+_CSV = {
+    "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Scan CSV with a header line; a header that disagrees with the schema fails."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
+    """Scan CSV with a header line; a header that disagrees with the schema fails.
+
+    Quotes inside a field are doubled, and a quoted field may hold line breaks, so a file is one task's work: keep
+    files small (:func:`write_csv` writes one per partition). Blanks around a value belong to it, an empty field is
+    NULL and a quoted empty one is the empty text."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, **_CSV)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True, **_CSV)
 
 
 def write_frame(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("YEAR", "MONTH")) -> None:
-    """Parquet sink laid out by calendar month, so later scans prune by date."""
-    writer = df.write.mode("overwrite")
+    """Parquet sink laid out by calendar month, so later scans prune by date.
+
+    Rows of a month meet in few tasks first, so that a month is not one small file per task; the spread keeps a large
+    month from being one task's."""
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_PART))
+    writer = (df.repartition(*partition_by, spread) if partition_by else df).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

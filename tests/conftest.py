@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from readsift.session import tune  # noqa: E402
+from readsift.session import release, tune  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -21,7 +21,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return tune(session)
+    yield tune(session)
+    release(session)
 
 
 @pytest.fixture(scope="session")

@@ -67,15 +67,15 @@ def _brute(queries, base, k, exclude_self):
 
 
 @pytest.mark.parametrize("exclude_self", [False, True])
-@pytest.mark.parametrize("prune_from", [1, 1000])
-def test_search_equals_brute_force(spark, exclude_self, prune_from):
+@pytest.mark.parametrize("block_rows", [20, 100_000])
+def test_search_equals_brute_force(spark, exclude_self, block_rows):
     rng = np.random.default_rng(11)
     base = _mixed(rng, 400)
     queries = base[:120] if exclude_self else _mixed(rng, 120, 1000)
     schema = "id long, hot array<int>, numbers array<double>, label double"
     got = nearest(
         spark.createDataFrame(queries, schema), spark.createDataFrame(base, schema), 4, 9, exclude_self,
-        block_rows=20, chunk_rows=16, prune_from=prune_from,
+        block_rows=block_rows, chunk_rows=16,
     ).collect()
     found = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
