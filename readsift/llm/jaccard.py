@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 If two shingle sets have a Jaccard similarity of t, then under *any* order of all shingles the first
-``n - ceil(t n) + 1`` shingles of both meet. Each order is a filter of its own; a pair is compared
+``n - ceil(t n) + 1`` shingles of both meet, and of the smaller one already the first
+``n - ceil(2 t n / (1 + t)) + 1`` do. Each order is a filter of its own; a pair is compared
 only if it passes all of them:
 
 * the first order puts shingles that many documents hold last (else by hash), so the lists of
@@ -31,9 +32,7 @@ from readsift.session import stage
 SHINGLE = 5
 PERCENT = 80
 SMALL_ROWS = 200_000
-#: Share of the hash range in which shingles are counted; prefixes seldom reach beyond it.
-COUNTED = 0.35
-#: Held by so many documents, a counted shingle is common ...
+#: Held by so many documents, a shingle is common ...
 COMMON = 16
 #: ... unless more than this many are; then only the most frequent ones are. Sent to all tasks (4 bytes each).
 MAX_COMMON = 500_000
@@ -74,15 +73,14 @@ def set_digests(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _counts(docs: DataFrame, size: int) -> DataFrame:
-    """Shingles (upper half of their hash, from the counted range) that several documents hold: (token, n)."""
-    limit = np.uint64(int(COUNTED * 2.0**64))
+    """Shingles (upper half of their hash) that several documents hold: (token, n)."""
 
-    def low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(_top(s[: np.searchsorted(s, limit)])) for s in shingles.shingle_sets(batch["text"], size)]
-            yield pd.DataFrame({"tokens": [_signed(f) for f in found]})
+            found = [np.unique(_top(s)) for s in shingles.shingle_sets(batch["text"], size)]
+            yield pd.DataFrame({"token": _signed(np.concatenate(found) if found else np.zeros(0, np.uint32))})
 
-    each = docs.select("text").mapInPandas(low, "tokens array<int>").select(F.explode("tokens").alias("token"))
+    each = docs.select("text").mapInPandas(each_once, "token int")
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
@@ -94,7 +92,6 @@ def _common(counts: DataFrame) -> np.ndarray:
 
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, n, first array<bigint>, further array<array<int>>): prefixes under all orders."""
-    limit = np.uint64(int(COUNTED * 2.0**64))
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,11 +103,10 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> D
                 if not n:
                     continue
                 length = n - _needed(n, percent) + 1
-                counted = found[: np.searchsorted(found, limit)]
                 is_common = np.zeros(n, bool)
                 if len(often):
-                    at = np.minimum(np.searchsorted(often, _top(counted)), len(often) - 1)
-                    is_common[: len(counted)] = often[at] == _top(counted)
+                    top = _top(found)
+                    is_common = often[np.minimum(np.searchsorted(often, top), len(often) - 1)] == top
                 first = np.concatenate([found[~is_common], found[is_common]])[:length]
                 further = [_signed(_top(np.sort(shingles.mix(found ^ seed))[:length])) for seed in _ORDERS]
                 rows.append((doc, n, first.view(np.int64), further))
@@ -175,15 +171,12 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     chain of similar pairs connects. ``docs`` has doc_id and text, one row for each set."""
     counts = stage(_counts(docs, size), "shingle-counts")
     prefixes = stage(_prefixes(docs, _common(counts), size, percent), "prefixes")
-    postings = prefixes.select("doc_id", "n", F.explode("first").alias("token"))
-    # A shingle of the counted range that one document holds has no list.
-    half = F.shiftright("token", 32).cast("int")
-    limit = int(COUNTED * 2.0**32)
-    counted = F.when(half >= 0, half).otherwise(half.cast("bigint") + 2**32) < limit - 1
-    shared = postings.where(counted).withColumn("_half", half).join(
-        counts.select(F.col("token").alias("_half")), "_half", "left_semi"
-    ).drop("_half")
-    lists = stage(shared.unionByName(postings.where(~counted)), "lists")
+    postings = prefixes.select("doc_id", "n", F.posexplode("first").alias("_pos", "token"))
+    as_smaller = F.col("_pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    # A shingle that one document holds has no list.
+    postings = postings.select("doc_id", "n", "token", as_smaller.alias("early"), F.shiftright("token", 32).cast("int").alias("_half"))
+    shared = postings.join(counts.select(F.col("token").alias("_half")), "_half", "left_semi").drop("_half")
+    lists = stage(shared, "lists")
 
     tried, links = None, None
     for _ in range(STAR_ROUNDS):
@@ -211,9 +204,13 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     largest = size_of.groupBy("token").agg(F.max(F.struct("_in", "component")).alias("_largest"))
     few = stage(open_lists, "open-lists")
     side = few.join(largest, "token").where("component <> _largest.component")
-    side = side.select("token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    # Sizes of similar sets differ by the threshold at most.
+    side = side.select(
+        "token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"), F.col("early").alias("x_early")
+    )
+    # Sizes of similar sets differ by the threshold at most, and the smaller set has a shared shingle early.
+    early = F.when(F.col("n") < F.col("x_n"), F.col("early")).when(F.col("n") > F.col("x_n"), F.col("x_early"))
     alike = (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (F.col("component") != F.col("x_component"))
+    alike = alike & F.coalesce(early, F.col("early") | F.col("x_early"))
     rest = few.join(side, "token").where(alike).select(*_pair("doc_id", "x")).distinct()
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
