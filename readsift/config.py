@@ -74,6 +74,9 @@ class Experiment:
     do_cross_validation: bool = True
     do_validation_curve: bool = False
     do_tuning: bool = False
+    tuned: tuple[str, ...] = ("neighbours", "tree", "logit")
+    do_learning_analysis: bool = False
+    do_calibrated_validation: bool = False
     do_calibration: bool = False
     do_pooled_confusion: bool = False
     do_test_set: bool = False

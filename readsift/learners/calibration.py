@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from readsift.config import FeatureSpec
 from readsift.learners.base import Fitted, Learner, fit, labelled
 from readsift.operators.encode import Categories, known_categories
-from readsift.operators.folds import Fold
-from readsift.session import in_threads
+from readsift.operators.folds import INDEX, Fold, folds_of_column, stratified_fold_column
+from readsift.session import in_threads, stage
 
 
 @dataclass(frozen=True)
@@ -101,6 +101,51 @@ class Calibrated:
         )
 
 
+@dataclass(frozen=True)
+class CalibratedModel:
+    """Members (model, calibrator) over one encoding; ``p1`` is the mean of their probabilities."""
+
+    members: tuple[tuple[object, object], ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        kept, chained, parts = df.columns, df, []
+        for i, (model, calibrator) in enumerate(self.members):
+            out = calibrator.apply(model.transform(chained))
+            parts.append(f"_cal_{i}")
+            chained = out.select(*kept, *parts[:-1], F.col("_cal").alias(parts[-1]))
+        mean = sum((F.col(c) for c in parts), F.lit(0.0)) / len(parts)
+        found = chained.withColumn("p1", mean)
+        return found.withColumns({"score": F.col("p1"), "prediction": (F.col("p1") > 0.5).cast("int")}).drop(*parts)
+
+
+@dataclass(frozen=True)
+class CalibratedLearner:
+    """A learner like any other: its rows are dealt to stratified folds, each fold's model is trained on the others and
+    calibrated on the fold's own scores."""
+
+    base: Learner
+    folds: int = 5
+    method: str = "isotonic"
+    seed: int = 0
+    key: str = INDEX
+
+    @property
+    def name(self) -> str:
+        return f"calibrated_{self.base.name}"
+
+    def fit(self, encoded: DataFrame, encoding) -> CalibratedModel:
+        if self.method not in METHODS:
+            raise ValueError(f"unknown calibration method {self.method}")
+        name = "_calibration_fold"
+        dealt = stage(stratified_fold_column(encoded, "label", self.folds, self.seed, self.key, name), "calibration-folds")
+
+        def member(fold: Fold):
+            model = self.base.fit(dealt.where(fold.train), encoding)
+            return model, METHODS[self.method](model.transform(dealt.where(fold.test)).select("score", "label"))
+
+        return CalibratedModel(tuple(member(f) for f in folds_of_column(self.folds, name)))
+
+
 def fit_calibrated(
     learner: Learner, train: DataFrame, folds: list[Fold], spec: FeatureSpec, method: str = "isotonic",
     vocabulary_from: DataFrame | Categories | None = None, parallelism: int = 4,

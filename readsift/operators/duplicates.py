@@ -26,6 +26,15 @@ def neighbour_audit(
     )
 
 
+def audited_rows(audit: DataFrame, rows: DataFrame, index: str = INDEX) -> DataFrame:
+    """The audit with the rows themselves: every column of ``rows`` as ``query_<name>`` and ``neighbour_<name>``."""
+    found = audit
+    for side in ("query", "neighbour"):
+        own = rows.select(F.col(index).alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != index])
+        found = found.join(own, f"{side}_id")
+    return found
+
+
 def near_duplicate_rate(encoded: DataFrame, unknown: int, within: float, index: str = INDEX) -> DataFrame:
     """Rows, and those whose nearest other row is at most ``within`` away."""
     ready = encoded.withColumn("id", F.col(index))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 
 from readsift.config import Experiment
-from readsift.learners import learner
+from readsift.learners import fit, learner
+from readsift.learners.calibration import CalibratedLearner
+from readsift.learners.spark_ml import tree_nodes
 from readsift.operators import folds as fold_ops, metrics
+from readsift.operators.duplicates import audited_rows, neighbour_audit
 from readsift.operators.encode import categories
 from readsift.operators.folds import INDEX
 from readsift.operators.profile import value_counts
@@ -62,13 +65,24 @@ def run_experiment(
 
     out = {"targets": value_counts(train, [spec.label])}
     if settings.do_tuning:
-        if name not in parts.TUNING_GRIDS:
-            raise ValueError(f"no grid is declared for {name}")
-        found = parts.grid_search(
-            train, cuts, make, parts.TUNING_GRIDS[name], spec, settings.metrics, settings.train_scores, **options
-        )
+        # The same learners whichever one the experiment is about.
+        unknown = [t for t in settings.tuned if t not in parts.TUNING_GRIDS]
+        if unknown:
+            raise ValueError(f"no grid is declared for {', '.join(unknown)}")
+        found = reduce(DataFrame.unionByName, [
+            parts.grid_search(
+                train, cuts, partial(learner, t), parts.TUNING_GRIDS[t], spec, settings.metrics, settings.train_scores, **options
+            )
+            for t in settings.tuned
+        ])
         out["tuning"] = parts.summary(found)
         out["best"] = parts.best_settings(found)
+    if settings.do_learning_analysis:
+        fitted = fit(chosen, train, spec, known)
+        if name == "tree":
+            out["tree_nodes"] = tree_nodes(df.sparkSession, fitted.model)
+        audit = neighbour_audit(fitted.encoding.transform(train), size, fitted.encoding.width_hot, seed=settings.seed)
+        out["neighbour_audit"] = audited_rows(stage(audit, "audit"), train.select(INDEX, *spec.features, spec.label))
     if settings.do_learning_curve:
         if settings.time_series and settings.expanding:
             curve = parts.expanding_learning_curve(
@@ -106,6 +120,11 @@ def run_experiment(
         out["cross_validation"] = parts.summary(
             parts.cross_validate(train, cuts, chosen, spec, settings.metrics, settings.train_scores, **options)
         )
+    if settings.do_calibrated_validation:
+        calibrated = CalibratedLearner(chosen, settings.folds, settings.calibration_method, settings.seed)
+        out["calibrated_validation"] = parts.summary(
+            parts.cross_validate(train, cuts, calibrated, spec, settings.metrics, settings.train_scores, **options)
+        )
     if settings.do_pooled_confusion:
         pooled = stage(parts.out_of_fold(train, cuts, chosen, spec, **options), "pooled")
         out["pooled_predictions"] = metrics.prediction_counts(pooled)

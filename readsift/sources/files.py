@@ -12,8 +12,10 @@ from readsift.plans.features import checked
 
 FILES_PER_PART = 8
 PROCESSED_SUFFIX = "_time_series"
+# An unquoted empty field is NULL whatever this is; as "" it would take quoted empty fields along.
+_NO_VALUE = "\x01no value\x01"
 _CSV = {
-    "quote": '"', "escape": '"', "emptyValue": '""', "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "quote": '"', "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
 
@@ -23,11 +25,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     Quotes inside a field are doubled, and a quoted field may hold line breaks, so a file is one task's work: keep
     files small (:func:`write_csv` writes one per partition). Blanks around a value belong to it, an empty field is
     NULL and a quoted empty one is the empty text."""
-    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, **_CSV)
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, emptyValue="", nullValue=_NO_VALUE, **_CSV)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, **_CSV)
+    df.write.mode("overwrite").csv(path, header=True, emptyValue='""', nullValue="", **_CSV)
 
 
 def write_frame(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("YEAR", "MONTH")) -> None:
