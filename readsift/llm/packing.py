@@ -28,21 +28,27 @@ _RUNS = ("  ", "\n\n", " \n", "\n ")
 class Words(dict):
     """Token ids (as bytes) of a word with what stands before it, asked from the library once.
 
-    A mark after a letter is a word of its own to the library, so a word with one is looked up without it.
+    A mark after a letter is a word of its own to the library, so a word with one is looked up without it. When full,
+    the words become the old ones; of these, those that are met again come back, and the rest go with the next turn.
     """
 
     def __init__(self, encode, before: str, kept: int) -> None:
         super().__init__()
         self._encode, self._before, self._kept = encode, before, kept
+        self._old: dict[str, bytes] = {}
         self._marks = {mark: encode(mark) for mark in _MARKS}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._kept:
-            self.clear()
-        if word[-1:] in self._marks and word[-2:-1].isalpha():
+        ids = self._old.pop(word, None)
+        if ids is not None:
+            pass
+        elif word[-1:] in self._marks and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self._marks[word[-1]]
         else:
             ids = self._encode(self._before + word)
+        if len(self) >= self._kept:
+            self._old = dict(self)
+            self.clear()
         self[word] = ids
         return ids
 
@@ -55,7 +61,7 @@ class Encoder:
     and kept; any other text goes to the library whole, as do texts that hold the special string.
     """
 
-    def __init__(self, path: str, kept: int = 600_000) -> None:
+    def __init__(self, path: str, kept: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
