@@ -60,6 +60,37 @@ def op9_transducer_counts(spark, sf_dir):
     )
 
 
+_SCRAMBLE = "(((({0} % {p} * a + b) % {p}) * (({0} % {p} * a + b) % {p}) % {p}) * (({0} % {p} * a + b) % {p}) + b) % {p}"
+ORACLES["op5_feistel_shards"] = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n] || list_transform(range(8), lambda i: CAST(0 AS BIGINT)),
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) g(n))),
+digests AS (
+  SELECT doc_id, CAST(strlen(text) AS BIGINT) + 8 AS size, xor(list_reduce([4294967295] || list_transform(
+      regexp_extract_all(hex(encode(text)), '..'),
+      lambda p: CAST(strpos('0123456789ABCDEF', substr(p, 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(p, 2, 1)) - 17 AS BIGINT)),
+    lambda c, b: xor(t[CAST(xor(c % 256, b) + 1 AS BIGINT)], c // 256)), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents), crc),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS x FROM digests),
+sides AS (
+  SELECT n, lefts, CAST(ceil(n / CAST(lefts AS DOUBLE)) AS BIGINT) AS rights
+  FROM (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS lefts FROM documents)),
+keys (i, a, b) AS (VALUES {", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(shards._round_keys(5)))}),
+walk AS (
+  SELECT x, 0 AS k, x // rights AS l, x % rights AS r FROM numbered, sides
+  UNION ALL
+  -- A number outside goes through all rounds again, as it is.
+  SELECT x, i + 1, CASE WHEN i % 2 = 0 THEN (l + {_SCRAMBLE.format("r", p=shards._PRIME)}) % lefts ELSE l END,
+         CASE WHEN i % 2 = 1 THEN (r + {_SCRAMBLE.format("l", p=shards._PRIME)}) % rights ELSE r END
+  FROM walk, sides, keys WHERE i = k % {shards.ROUNDS} AND (k < {shards.ROUNDS} OR l * rights + r >= n)),
+places AS (SELECT x, l * rights + r AS place FROM walk, sides WHERE k = {shards.ROUNDS} AND l * rights + r < n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % 24 AS INT) AS shard, place // 24 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN places USING (x)
+"""
+
+
 @_query
 def op3_best_fit_packing(spark, sf_dir):
     """All documents in sequences of at most 1024 tokens."""
