@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from readsift.config import Experiment
 from readsift.operators.rank import seeded_rank
+from readsift.session import stage
 
 INDEX = "row_idx"
 
@@ -102,11 +103,12 @@ def repeated_stratified(
 ) -> tuple[DataFrame, list[Fold]]:
     """``repeats`` independent stratified deals, one fold column each.
 
-    The deals are made on key and label alone and join the frame once.
+    The deals are made on key and label alone and join the frame once. Each is staged: a deal
+    reads its input twice, which would double with every repeat.
     """
-    deals, made = df.select(key, label), []
+    deals, made = stage(df.select(key, label), "deals"), []
     for r in range(repeats):
-        deals = stratified_fold_column(deals, label, folds, seed + r, key, f"fold_{r}")
+        deals = stage(stratified_fold_column(deals, label, folds, seed + r, key, f"fold_{r}"), "deals")
         made += folds_of_column(folds, f"fold_{r}", r * folds)
     return df.join(deals.drop(label), key), made
 
