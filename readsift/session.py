@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
@@ -56,19 +56,25 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the staged copies written after the first ``since`` ones. Frames built on them can't be read any more."""
+def staged() -> tuple[str, ...]:
+    """Paths of the staged copies that nobody has released yet."""
+    return tuple(_STAGED)
+
+
+def release(spark: SparkSession, kept: Collection[str] = ()) -> None:
+    """Delete all staged copies but the ``kept`` ones. Frames built on them can't be read any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_STAGED) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+    for name in [s for s in _STAGED if s not in kept]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+        _STAGED.remove(name)
 
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Owns what is staged inside: write or collect results before the block ends. Blocks of one process nest;
     threads that stage side by side share the block around them."""
-    before = len(_STAGED)
+    before = set(staged())
     try:
         yield
     finally:
