@@ -139,3 +139,35 @@ def test_large_components_are_multiplied_exactly():
 
 def test_digest_of_nothing():
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def words_of(pick, n):
+    return [b"w%d" % pick.randrange(10**6) for _ in range(n)]
+
+
+def test_equal_sentences_around_other_words_are_no_passage():
+    pick = random.Random(11)
+    for fixed, own in ((35, 45), (25, 40), (40, 20)):
+        head, tail = words_of(pick, fixed), words_of(pick, fixed)
+        a, b = (words_of(pick, 9) + head + words_of(pick, own) + tail + words_of(pick, 9) for _ in range(2))
+        anchors = [(i, i) for i in (9, 9 + fixed - 20, 9 + fixed + own, 9 + fixed + own + fixed - 20)]
+        assert substrings._grow(a, b, anchors) == []
+    # Stretches that are long enough each stay apart.
+    head, tail = words_of(pick, 60), words_of(pick, 70)
+    a, b = (head + words_of(pick, 45) + tail for _ in range(2))
+    assert substrings._grow(a, b, [(5, 5), (110, 110)]) == [(0, 60), (105, 175)]
+
+
+def test_passages_grow_over_edits_to_the_similarity():
+    pick = random.Random(12)
+    for n, edits in ((60, [30]), (80, [40]), (100, [30, 66]), (52, [8]), (300, [40, 90, 140, 190, 240])):
+        kept = words_of(pick, n)
+        for kind in range(3):
+            own = list(kept)
+            for e in reversed(edits):
+                own[e : e + (kind != 1)] = words_of(pick, kind != 2)  # another word, one more, one less
+            around = [words_of(pick, 30) + t + words_of(pick, 30) for t in (own, kept)]
+            longest = max(pairwise([-1, *edits, n]), key=lambda g: g[1] - g[0])[0] + 2
+            shift = (0, 1, -1)[kind] * sum(e < longest for e in edits)
+            spans = substrings._grow(*around, [(30 + longest + shift, 30 + longest)])
+            assert len(spans) == 1 and spans[0] == (30, 30 + len(own))
