@@ -171,3 +171,28 @@ def test_passages_grow_over_edits_to_the_similarity():
             shift = (0, 1, -1)[kind] * sum(e < longest for e in edits)
             spans = substrings._grow(*around, [(30 + longest + shift, 30 + longest)])
             assert len(spans) == 1 and spans[0] == (30, 30 + len(own))
+
+
+def test_near_passages_share_an_anchor_and_are_removed_whole():
+    pick, found, tried = random.Random(13), 0, 0
+    for n, edits in ((50, 1), (60, 1), (80, 1), (100, 2), (150, 3)):
+        for _ in range(40):
+            kept = words_of(pick, n)
+            own = list(kept)
+            for i in range(edits):  # evenly spread, the hardest case
+                own[(i + 1) * n // (edits + 1)] = b"changed"
+            if not substrings._jaccard_reaches(own, kept, 80):
+                continue
+            texts = [words_of(pick, pick.randrange(90)) + t + words_of(pick, pick.randrange(90)) for t in (own, kept)]
+            hashes = [shingles.word_hashes([b" ".join(t).decode()]) for t in texts]
+            places = []
+            for own_hashes, borders in hashes:
+                runs = shingles.rolling(own_hashes, substrings.ANCHOR)
+                starts = substrings.paragraph_starts(own_hashes, borders, substrings.ANCHOR, substrings.ANCHOR_REACH)
+                places.append({int(runs[s]): int(s) for s in starts})
+            anchors = [(places[0][h], places[1][h]) for h in places[0].keys() & places[1].keys()]
+            spans = substrings._grow(*texts, anchors)
+            first = next(i for i in range(len(texts[0])) if texts[0][i : i + n] == own)
+            tried += 1
+            found += spans == [(first, first + n)]
+    assert found == tried >= 150
