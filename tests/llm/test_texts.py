@@ -207,3 +207,21 @@ def test_words_near_each_other(spark, benchmarked):
         spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), within=20
     ).collect()
     assert {r.doc_id for r in found if r["item"] == "10"} >= {1, 9, 10}
+
+
+def test_first_holders_of_a_part_hide_no_repeat(spark):
+    pick = random.Random(14)
+    rows, expected = [], {}
+    for i in range(0, 400, 10):
+        passage = prose(pick, 60)
+        part = " ".join(passage.split()[10:50])
+        rows.append((i + 1, f"{prose(pick, 20)} {part} {prose(pick, 20)}"))
+        if i % 20:
+            # The keeping document holds the part before the whole.
+            rows[-1] = (i + 1, f"{rows[-1][1]} {passage} {prose(pick, 9)}")
+        else:
+            rows.append((i + 2, f"{prose(pick, 25)} {passage} {prose(pick, 9)}"))
+        rows.append((i + 3, f"{prose(pick, 31)} {passage} {prose(pick, 12)}"))
+        expected[i + 3] = (i + (1 if i % 20 else 2), 31, 60)
+    spans = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {s.doc_id: (s.kept_doc, s.first_word, s.n_words) for s in spans} == expected and len(spans) == len(expected)
