@@ -127,6 +127,21 @@ def test_text_of_a_broken_page():
     assert html_text.main_text("<div>a</div><div class='sidebar'>b</div>c", set()) == "a\n\nc"
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="layout has-sidebar">', '<div id="content-with-menu">', '<div class="site header-fixed">', '<section class="social-science">',
+    '<form id="aspnet">', '<div class="sidebar">',
+])
+def test_what_holds_the_article_is_no_boilerplate(around):
+    assert html_text.main_text(f"<html><body>{around}<nav>n</nav><article><p>Own text</article></body></html>", set()) == "Own text"
+
+
+def test_names_that_contain_a_mark_stay_inside_the_article():
+    own = '<div class="related-work">a</div><p class="notice">b</p><ul class="menu"><li>c</ul><section id="social_science">d</section>'
+    gone = '<div class="ad-slot">x</div><div class="related">x</div><div class="share-buttons">x</div><div id="cookie_notice">x</div>'
+    teaser = "<aside><article>x</article></aside>"
+    assert html_text.main_text(f"<body>{teaser}<article>{own}{gone}</article>{teaser}</body>", set()) == "a\n\nb\n\nc\n\nd"
+
+
 def test_templates_nest_classes(spark):
     rows = [(i, "http://a.org/x", f"<html><body><ul>{'<li>x</li>' * i}</ul><article><p>{i}</p></article></body></html>") for i in range(1, 5)]
     rows += [(9, "http://b.org/", "<html><body><p>z</p></body></html>"), (10, None, None)]
