@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,6 +14,7 @@ _TURN = np.uint64(0xBF58476D1CE4E5B9)
 SLICE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_WHITE = re.compile(rb"[ \t-\r]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,14 +53,31 @@ def _slice_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return mix((sums[end] - sums[first]) * _DOWN[first] + (end - first).astype(np.uint64)), first
 
 
+def _word_hash(raw: bytes, first: int, end: int) -> np.ndarray:
+    """Hash of one word of any length, its digits summed slice by slice."""
+    total, power = 0, 1
+    with np.errstate(over="ignore"):
+        for at in range(first, end, SLICE):
+            codes = np.frombuffer(raw, np.uint8, min(SLICE, end - at), at)
+            total += power * int(np.sum(_DIGIT[codes] * _UP[: len(codes)], dtype=np.uint64))
+            power = power * pow(_BASE, len(codes), 1 << 64) % (1 << 64)
+    return mix(np.array([(total + end - first) % (1 << 64)], np.uint64))
+
+
 def _long_hashes(raw: bytes) -> np.ndarray:
-    """Word hashes of one long text, slice by slice, cut after white space. A word longer than a slice goes in parts."""
+    """Word hashes of one long text, slice by slice, cut after white space. A word longer than a slice goes by itself."""
     found, at = [], 0
     while at < len(raw):
         end = min(at + SLICE, len(raw))
         if end < len(raw):
             space = max(raw.rfind(s, at, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            end = space + 1 if space > at else end
+            if space < 0:
+                after = _WHITE.search(raw, end)
+                end = after.start() if after else len(raw)
+                found.append(_word_hash(raw, at, end))
+                at = end
+                continue
+            end = space + 1
         found.append(_slice_hashes(raw[at:end])[0])
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)

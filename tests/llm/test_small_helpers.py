@@ -196,3 +196,17 @@ def test_near_passages_share_an_anchor_and_are_removed_whole():
             tried += 1
             found += spans == [(first, first + n)]
     assert found == tried >= 150
+
+
+def test_words_longer_than_a_slice_have_one_hash(monkeypatch):
+    pick = random.Random(15)
+    texts = ["x" * 5000, "x" * 4999 + "y", "a " + "é" * 3000 + " b c", " " + "z" * 100, "z" * 200 + " " * 250 + "q" * 101, "\n" * 350]
+    texts += ["".join(pick.choice("abcdefghijk" * 9 + " \t") for _ in range(2000)) for _ in range(30)]
+    whole = shingles.word_hashes(texts)
+    assert np.diff(whole[1]).tolist() == [len(shingles.split(t)) for t in texts]
+    for size in (100, 64, 7):
+        monkeypatch.setattr(shingles, "SLICE", size)
+        sliced = shingles.word_hashes(texts)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, sliced))
+    monkeypatch.undo()
+    assert [len(s) for s in shingles.shingle_sets(["w" * (6 << 20)], 5)] == [1]
