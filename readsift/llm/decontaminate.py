@@ -56,11 +56,11 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return each.withColumn("term", lower_ascii(F.col("term"))).join(if_small(terms, SMALL_ROWS), "term")
 
 
-def _rarest_pairs(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+def _rarest_pairs(items: DataFrame, counts: DataFrame, size: int, whole: bool = True) -> DataFrame:
     """The two rarest places of every window, as distinct rows (item, item_words, p0, term, p1, term1).
 
-    A window with a term that no document holds cannot occur and is left out; one of a single word has no second
-    place."""
+    A window with a term that no document holds cannot occur and is left out, or without ``whole`` gives the rarest of its
+    other terms; one of a single word has no second place."""
     n = F.size("item_words")
     starts = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
     each = items.select("item", "item_words", F.explode(starts).alias("start")).select(
@@ -68,10 +68,11 @@ def _rarest_pairs(items: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     )
     window = Window.partitionBy("item", "item_words", "start")
     ranked = (
-        each.join(counts, "term", "left")
+        each.join(counts, "term", "left" if whole else "inner")
         .withColumn("_known", F.count("n").over(window) == F.count(F.lit(1)).over(window))
+        .where("_known")
         .withColumn("_rank", F.row_number().over(window.orderBy("n", "offset")))
-        .where("_known AND _rank <= 2")
+        .where("_rank <= 2")
         .withColumn("p", F.col("start") + F.col("offset"))
     )
     first = lambda c, r: F.max(F.when(F.col("_rank") == r, F.col(c)))
@@ -140,12 +141,12 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Dat
 def proximity_matches(docs: DataFrame, items: DataFrame, within: int, at_least: int = 2) -> DataFrame:
     """Places where rare words of an item stand close together in any order: rows (doc_id, _hash, item, block,
     n_terms), for stretches of ``2 * within`` words, half overlapping, that hold ``at_least`` different ones of the
-    item's rarest terms (those that anchor its windows). Same rules for nulls and repeats as
+    item's rarest terms (of each window the two rarest that documents hold). Same rules for nulls and repeats as
     :func:`phrase_matches`."""
     docs, items = _keyed(docs), stage(_items(items), "items")
     terms = stage(items.select(F.explode("item_words").alias("term")).distinct(), "terms")
     counts = stage(postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
-    pairs = stage(_rarest_pairs(items, counts, WINDOW), "rarest")
+    pairs = stage(_rarest_pairs(items, counts, WINDOW, whole=False), "rarest")
     rare = stage(
         pairs.select("item", "term").union(pairs.select("item", F.col("term1"))).where("term IS NOT NULL").distinct(), "anchors"
     )

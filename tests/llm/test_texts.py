@@ -225,3 +225,23 @@ def test_first_holders_of_a_part_hide_no_repeat(spark):
         expected[i + 3] = (i + (1 if i % 20 else 2), 31, 60)
     spans = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {s.doc_id: (s.kept_doc, s.first_word, s.n_words) for s in spans} == expected and len(spans) == len(expected)
+
+
+def test_reworded_items_are_near_words(spark):
+    pick = random.Random(16)
+    items = [(i, prose(pick, 13)) for i in range(4)]
+    docs = []
+    for i, text in items:
+        own = text.split()[:-1]  # the last word is in no document
+        pick.shuffle(own)
+        docs.append((i, " ".join(own)))
+    found = decontaminate.proximity_matches(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), within=20
+    ).collect()
+    split = {i: text.split() for i, text in [*docs]}
+    counts = Counter(w for words in split.values() for w in set(words))
+    expected = set()
+    for i, text in items:
+        known = sorted((w for w in text.split() if counts[w]), key=lambda w: (sum(x.count(w) for x in split.values()), text.split().index(w)))
+        expected |= {(d, str(i)) for d, words in split.items() if len(set(known[:2]) & set(words)) >= 2}
+    assert {(r.doc_id, r["item"]) for r in found} == expected and len(expected) >= 4
