@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readsift.llm import decontaminate, html_text, jaccard, packing, quality, shards, substrings, token_counts, va_file, warc
+from readsift.llm import (
+    decontaminate, html_text, importance, jaccard, language, middle, packing, quality, shards, substrings, token_counts,
+    va_file, warc,
+)
 from readsift.llm.common import table
 from readsift.session import tune
 
@@ -241,3 +244,88 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM firsts
 """
+
+
+@_query
+def op11_importance_draw(spark, sf_dir):
+    """One document in ten, drawn towards the benchmark texts."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ranked = importance.importance_ranks(docs, target, (10, 100), buckets=10_000, max_run=1, min_words=20, seed=2024)
+    return ranked.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+ORACLES["op11_importance_draw"] = """
+WITH crc AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n] || list_transform(range(8), lambda i: CAST(0 AS BIGINT)),
+      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) g(n))),
+texts AS (SELECT doc_id AS id, 0 AS is_target, text FROM documents UNION ALL SELECT NULL, 1, text FROM benchmark),
+feature AS (
+  SELECT id, is_target, unnest(regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f
+  FROM texts),
+placed AS (
+  SELECT f, CAST(xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(f)), '..'),
+      lambda p: CAST(strpos('0123456789ABCDEF', substr(p, 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(p, 2, 1)) - 17 AS BIGINT)),
+    lambda c, b: xor(t[CAST(xor(c % 256, b) + 1 AS BIGINT)], c // 256)), 4294967295) AS BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM feature), crc),
+counts AS (
+  SELECT bucket, CAST(count(*) FILTER (is_target = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (is_target = 1) AS DOUBLE) AS t
+  FROM feature JOIN placed USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * (S_all + 10000) / ((s + 1) * (T_all + 10000)))) AS BIGINT) AS gain
+  FROM counts, (SELECT sum(s) AS S_all, sum(t) AS T_all FROM counts)),
+weights AS (
+  SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+  FROM feature JOIN placed USING (f) JOIN gains USING (bucket) WHERE is_target = 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(
+      -1000 * ln(-ln((CAST('0x' || substr(sha256(concat('2024:', CAST(doc_id AS VARCHAR))), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights w ON w.id = d.doc_id),
+ordered AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+         count(*) FILTER (n_features >= 20) OVER () AS eligible
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= eligible * 10 // 100 THEN place END AS rank FROM ordered
+"""
+
+
+@_query
+def op12_segment_language(spark, sf_dir):
+    """Language of every document, learnt from the training folds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = language.identify(docs.drop("lang"), model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document cut at two token boundaries and put together in another order, with its way back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = middle.transform(docs, seed=1, per_cent=90, suffix_first=20)
+    sha256 = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"),
+        sha256(middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_middle"] = """
+WITH tokens AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t,
+         sha256(concat('1:', CAST(doc_id AS VARCHAR))) AS d FROM documents),
+drawn AS (
+  SELECT doc_id, text, t, len(t) AS n, list_transform(range(0, 4), lambda i: CAST('0x' || substr(d, 8 * i + 1, 8) AS BIGINT)) AS h FROM tokens),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:n], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
