@@ -11,7 +11,7 @@ from readsift.operators import profile
 from readsift.plans import features, reads
 from readsift.plans.frame import experiment_frame
 from readsift.schemas import EXCEPTION_SCHEMA
-from readsift.session import staged_path
+from readsift.session import stage, staged_path
 from readsift.sources import files
 from readsift.sources.derived import SINCE, derived_warehouse
 
@@ -232,3 +232,18 @@ def category_vocabulary(spark, sf_dir):
 )
 def numeric_moments(spark, sf_dir):
     return profile.moments(labelled(spark, sf_dir), config.NUMERICAL_COLUMNS)
+
+
+@query(
+    extraction(
+        "labelled", 2,
+        "SELECT \"column\", mean, std FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", avg({c}) AS mean, stddev_pop({c}) AS std FROM wide" for c in config.NUMERICAL_COLUMNS
+        ) + ") WHERE mean IS NULL AND std IS NOT NULL",
+    )
+)
+def moments_that_partitions_change(spark, sf_dir):
+    """Moments that differ, in any bit, between two partitionings of all reads: none."""
+    df = stage(labelled(spark, sf_dir).select(*config.NUMERICAL_COLUMNS), "moments")
+    few, many = (profile.moments(df.repartition(k), config.NUMERICAL_COLUMNS) for k in (3, 11))
+    return few.exceptAll(many).unionByName(many.exceptAll(few))

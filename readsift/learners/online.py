@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from readsift.learners.base import table_sum
 from readsift.learners.simple import DummyModel, class_counts
+from readsift.operators.exact import exact_sum
 from readsift.operators.rank import seeded_key
 from readsift.session import stage
 
@@ -172,21 +173,12 @@ def _one_round(start: np.ndarray, width_hot: int, rule: Rule, seen_before: float
 
 
 def _mixed(parts: DataFrame):
-    """Row-weighted mean of the partitions' weights; one row per weight arrives here."""
-    mean = (
-        parts.select(F.posexplode("w").alias("i", "x"), "n", "loss", "held", "hits")
-        .groupBy("i")
-        .agg(
-            F.sum(F.col("x") * F.col("n")).alias("x"),
-            *[F.sum(c).alias(c) for c in ("n", "loss", "held", "hits")],
-        )
-        .orderBy("i")
-        .collect()
-    )
-    first = mean[0]
-    n = max(first["n"], 1.0)
-    accuracy = first["hits"] / first["held"] if first["held"] else None
-    return np.array([r["x"] for r in mean]) / n, first["loss"] / n, accuracy
+    """Row-weighted mean of the shards' weights, by exact sums; one row per weight arrives here."""
+    # Behind the weights stand the loss and the counts.
+    listed = F.concat(F.transform("w", lambda x: x * F.col("n")), F.array("loss", "n", "held", "hits"))
+    total = {r["i"]: r["x"] for r in exact_sum(parts.select(F.posexplode(listed).alias("i", "x")), ["i"], "x", "x").collect()}
+    *flat, loss, n, held, hits = (total[i] for i in range(len(total)))
+    return np.array(flat) / max(n, 1.0), loss / max(n, 1.0), hits / held if held else None
 
 
 @dataclass(frozen=True)

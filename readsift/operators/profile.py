@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from readsift.operators.exact import binned_sums, totals
 from readsift.operators.rank import row_index
 
 
@@ -45,16 +46,13 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and population deviation of every column, in one pass and one row each."""
-    measured = df.agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in columns],
-        *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
-    )
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"))
-        for c in columns
-    ]
-    return measured.select(F.explode(F.array(*rows)).alias("m")).select("m.*")
+    """Mean and population deviation of every column, in one pass and one row each.
+
+    Both come from exact sums, so they are the same on any partitioning, to the last bit.
+    """
+    found = totals(binned_sums(df, columns), columns)
+    rows = [(c, t.mean, t.deviation) for c, t in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, mean double, std double")
 
 
 def bin_number(x: Column, edges: Sequence[Column]) -> Column:
