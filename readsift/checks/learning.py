@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from readsift import config
@@ -16,7 +15,7 @@ from readsift.learners import fit, learner
 from readsift.learners.base import scored_columns
 from readsift.learners.spark_ml import tree_nodes
 from readsift.operators import duplicates, folds, metrics
-from readsift.operators.encode import fit_encoding, one_hot_long, standardised
+from readsift.operators.encode import fit_encoding, nonzero_entries, one_hot_long, standardised
 from readsift.operators.profile import vocabulary
 from readsift.plans import experiment
 from readsift.plans.frame import experiment_frame
@@ -89,10 +88,7 @@ def _positions_sql() -> str:
 def encoded_vectors(spark, sf_dir):
     """Non-zero entries of the assembled vector: one-hot, numerics, passed through."""
     df = frame(spark, sf_dir)
-    dense = fit_encoding(df, SPEC).transform(df).select(
-        "row_idx", F.posexplode(vector_to_array("features")).alias("position", "value")
-    )
-    return dense.where(F.col("value") != 0)
+    return nonzero_entries(fit_encoding(df, SPEC).transform(df), "row_idx")
 
 
 @query(_sql(f"SELECT CAST(count(*) + {len(_NUMS) + len(_BINS)} AS BIGINT) AS width FROM vocabulary", _LONG, _VOCABULARY))

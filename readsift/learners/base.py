@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -57,7 +58,10 @@ def scored_columns(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def table_sum(table: list[float], hot: str = "hot"):
-    """Sum of ``table[slot]`` over the slots of a row, as a JVM expression."""
-    # One parsed expression: a call per entry would cost more than the scoring.
-    values = F.expr("ARRAY(" + ", ".join(f"{float(v)!r}D" for v in table) + ")")
+    """Sum of ``table[slot]`` over the slots of a row, as a JVM expression.
+
+    The table is one constant, parsed once when the plan is made, so its length costs neither the plan nor the generated
+    code anything. Numbers written by ``repr`` come back as they were.
+    """
+    values = F.from_json(F.lit(json.dumps([float(v) for v in table])), "array<double>")
     return F.aggregate(F.transform(hot, lambda s: F.get(values, s)), F.lit(0.0), lambda a, x: a + x)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from readsift.config import FeatureSpec
 from readsift.operators.profile import moments, vocabulary
+from readsift.operators.rank import row_index
 from readsift.plans.features import require
+from readsift.session import stage
 
-# A vocabulary lives in every task as a literal; past this size it is an
-# identifier, not a category.
-MAX_SLOTS = 200_000
+#: Values that are looked up in a task's memory, of the columns with the fewest. The other columns, of any number of
+#: values, find their slots by a join with the vocabulary table; slots are the same either way.
+LOOKED_UP = 50_000
 
 
 def one_hot_long(df: DataFrame, columns, key: str) -> DataFrame:
@@ -46,6 +49,30 @@ def _token(position: int) -> str:
     return f"{position}="
 
 
+@dataclass(frozen=True)
+class Categories:
+    """Vocabulary of the categorical columns: how many values each has, the sorted values of the columns that are looked
+    up, and a staged table (column, value, position) of the others. A value's slot is its column's first slot plus its
+    position among the column's sorted values."""
+
+    columns: tuple[str, ...]
+    sizes: tuple[int, ...]
+    listed: dict[str, tuple[str, ...]]
+    table: DataFrame | None = None
+
+    @property
+    def width(self) -> int:
+        return sum(self.sizes)
+
+    def first_slot(self, column: str) -> int:
+        return sum(self.sizes[: self.columns.index(column)])
+
+    def blocks(self) -> list[tuple[int, tuple[str, ...]]]:
+        """(first slot, columns) of neighbouring columns that are looked up together, and of each joined one."""
+        runs = groupby(self.columns, key=lambda c: None if c in self.listed else c)
+        return [(self.first_slot(run[0]), run) for _, group in runs for run in [tuple(group)]]
+
+
 @dataclass(frozen=True)
 class Encoding:
     """Fitted encoding; ``transform`` adds three views of the same features.
@@ -57,13 +84,18 @@ class Encoding:
     """
 
     spec: FeatureSpec
-    labels: tuple[tuple[str, ...], ...]
+    categories: Categories
     stats: dict[str, tuple[float, float]]
     stages: PipelineModel
 
+    @property
+    def labels(self) -> tuple[tuple[str, ...] | None, ...]:
+        """Sorted values per categorical column; None for a column whose values stay in the table."""
+        return tuple(self.categories.listed.get(c) for c in self.spec.categorical)
+
     @property
     def width_hot(self) -> int:
-        return sum(len(v) for v in self.labels)
+        return self.categories.width
 
     @property
     def width_numbers(self) -> int:
@@ -75,37 +107,77 @@ class Encoding:
 
     def transform(self, df: DataFrame) -> DataFrame:
         require(df, self.spec.features)
-        active = F.unwrap_udt("_onehot")["indices"] if self.width_hot else F.array().cast("array<int>")
-        missing = len(self.spec.categorical) - F.size(active)
-        return (
-            self.stages.transform(df)
-            .withColumn("hot", F.concat(active, F.array_repeat(F.lit(self.width_hot), missing)))
-            .drop("_tokens", "_onehot", "_numbers")
+        known, made, active = self.categories, df, []
+        for k, (first, run) in enumerate(known.blocks()):
+            if run[0] in known.listed:
+                if any(known.listed[c] for c in run):
+                    active.append(F.transform(F.unwrap_udt(f"_onehot_{k}")["indices"], lambda s: s + first))  # called at once
+                continue
+            (column,) = run
+            own = known.table.where(F.col("column") == column).select(
+                F.col("value").alias("_value"), F.col("position").cast("int").alias(f"_position_{k}")
+            )
+            made = made.join(own, F.col(column).cast("string") == F.col("_value"), "left").drop("_value")
+            active.append(F.array_compact(F.array(F.col(f"_position_{k}") + first)))
+        hot = F.concat(*active) if active else F.array().cast("array<int>")
+        missing = len(self.spec.categorical) - F.size("_hot")
+        made = self.stages.transform(made).withColumn("_hot", hot)
+        return made.withColumn("hot", F.concat("_hot", F.array_repeat(F.lit(self.width_hot), missing))).drop(
+            "_numbers", "_hot", *[f"_{kind}_{k}" for k in range(len(known.blocks())) for kind in ("tokens", "onehot", "position", "place")]
         )
 
 
-Categories = tuple[tuple[str, ...], ...]
+def nonzero_entries(encoded: DataFrame, key: str, vector: str = "features") -> DataFrame:
+    """(key, position, value) of the entries of a vector column that are not zero, from its own arrays of indices and
+    values; a vector is never made dense."""
+    v = F.unwrap_udt(vector)
+    pair = lambda i, x: F.struct(i.cast("int").alias("position"), x.alias("value"))
+    sparse = F.zip_with(v["indices"], v["values"], pair)
+    dense = F.transform(v["values"], lambda x, i: pair(i, x))
+    entries = F.when(v["type"] == 0, sparse).otherwise(dense)
+    return encoded.select(key, F.explode(F.filter(entries, lambda e: e["value"] != 0)).alias("e")).select(key, "e.*")
 
 
-def categories(df: DataFrame, spec: FeatureSpec) -> Categories:
-    """Sorted values of each categorical column; find them once for many fits."""
-    columns = spec.categorical
+def categories(df: DataFrame, spec: FeatureSpec, looked_up: int = LOOKED_UP) -> Categories:
+    """Sorted values of each categorical column; find them once for many fits.
+
+    At most ``looked_up`` values come to the driver, however many there are. Numeric columns sort by number.
+    """
+    columns = tuple(spec.categorical)
     if not columns:
-        return ()
+        return Categories((), (), {})
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     distinct = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
-    found = distinct.limit(MAX_SLOTS + 1).collect()
-    if len(found) > MAX_SLOTS:
-        raise ValueError(f"more than {MAX_SLOTS} categories; drop or hash identifier columns first")
     numeric = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
-    by_column: dict[str, list[str]] = {c: [] for c in columns}
+    found, table = distinct.limit(looked_up + 1).collect(), None
+    sizes = dict.fromkeys(columns, 0)
+    if len(found) <= looked_up:
+        small = set(columns)
+        for row in found:
+            sizes[row["column"]] += 1
+    else:
+        distinct = stage(distinct, "values")
+        sizes |= {r["column"]: r["count"] for r in distinct.groupBy("column").count().collect()}
+        small, room = set(), looked_up
+        for c in sorted(columns, key=sizes.get):
+            room -= sizes[c]
+            if room >= 0:
+                small.add(c)
+        found = distinct.where(F.col("column").isin(*small)).collect()
+        number = F.when(F.col("column").isin(*numeric), F.expr("try_cast(value AS DOUBLE)"))
+        rest = distinct.where(~F.col("column").isin(*small)).withColumn("number", number)
+        ranked = stage(row_index(rest, ["column", "number", "value"], "at", from_scan=True), "vocabulary")
+        first = ranked.groupBy("column").agg(F.min("at").alias("first"))
+        table = stage(ranked.join(F.broadcast(first), "column").select("column", "value", (F.col("at") - F.col("first")).alias("position")), "vocabulary")
+    by_column: dict[str, list[str]] = {c: [] for c in columns if c in small}
     for row in found:
         by_column[row["column"]].append(row["value"])
-    return tuple(tuple(sorted(by_column[c], key=float if c in numeric else str)) for c in columns)
+    listed = {c: tuple(sorted(v, key=float if c in numeric else str)) for c, v in by_column.items()}
+    return Categories(columns, tuple(sizes[c] for c in columns), listed, table)
 
 
 def known_categories(vocabulary_from: DataFrame | Categories | None, spec: FeatureSpec) -> Categories | None:
-    """Resolve a frame to its categories; pass found ones, and None, through."""
+    """The categories of a frame; found ones, and None, pass through."""
     return categories(vocabulary_from, spec) if isinstance(vocabulary_from, DataFrame) else vocabulary_from
 
 
@@ -119,33 +191,39 @@ def fit_encoding(
     as all zeros.
     """
     require(train, spec.features)
-    labels = known_categories(vocabulary_from if vocabulary_from is not None else train, spec)
+    known = known_categories(vocabulary_from if vocabulary_from is not None else train, spec)
     stats = {
         row["column"]: (row["mean"] or 0.0, row["std"] or 1.0) for row in moments(train, spec.numerical).collect()
     } if spec.numerical else {}
 
-    tokens = ", ".join(f"CONCAT('{_token(i)}', CAST(`{c}` AS STRING))" for i, c in enumerate(spec.categorical))
     scaled = [f"({_number(c)} - ({stats[c][0]!r}D)) / {stats[c][1]!r}D" for c in spec.numerical]
     passed = [_number(c) for c in spec.passthrough]
-    statement = (
-        f"SELECT *, FILTER(ARRAY({tokens}), t -> t IS NOT NULL) AS _tokens, "
-        f"CAST(ARRAY({', '.join(scaled + passed)}) AS ARRAY<DOUBLE>) AS numbers FROM __THIS__"
-    )
-    # A value names its slot by its place in the vocabulary; a binary count vector
-    # over the row's tokens is the one-hot block, and unknown tokens count nothing.
-    words = [f"{_token(i)}{value}" for i, values in enumerate(labels) for value in values]
-    stages: list = [SQLTransformer(statement=statement)]
-    assembled = []
-    if words:
-        one_hot = CountVectorizerModel.from_vocabulary(words, inputCol="_tokens", outputCol="_onehot")
-        stages.append(one_hot.setBinary(True))
-        assembled.append("_onehot")
-    if spec.numerical or spec.passthrough:
-        pieces = ", ".join(f"numbers[{i}] AS _n{i}" for i in range(len(scaled) + len(passed)))
-        names = [f"_n{i}" for i in range(len(scaled) + len(passed))]
-        stages.append(SQLTransformer(statement=f"SELECT *, {pieces} FROM __THIS__"))
-        assembled += names
-    stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
-    if spec.numerical or spec.passthrough:
+    columns, encoders, assembled = [f"CAST(ARRAY({', '.join(scaled + passed)}) AS ARRAY<DOUBLE>) AS numbers"], [], []
+    for k, (_, run) in enumerate(known.blocks()):
+        if run[0] not in known.listed:
+            # A value outside the vocabulary takes the last place, which is dropped.
+            size = known.sizes[known.columns.index(run[0])]
+            columns.append(f"CAST(COALESCE(_position_{k}, {size}) AS DOUBLE) AS _place_{k}")
+            one = OneHotEncoder(inputCols=[f"_place_{k}"], outputCols=[f"_onehot_{k}"], handleInvalid="keep", dropLast=True)
+            encoders.append(one.fit(train.sparkSession.createDataFrame([(float(size - 1),)], f"_place_{k} double")))
+            assembled.append(f"_onehot_{k}")
+            continue
+        # A value names its slot by its place in the vocabulary; a binary count vector over the row's tokens is the
+        # block, and unknown tokens count nothing.
+        words = [f"{_token(i)}{value}" for i, c in enumerate(run) for value in known.listed[c]]
+        if words:
+            tokens = ", ".join(f"CONCAT('{_token(i)}', CAST(`{c}` AS STRING))" for i, c in enumerate(run))
+            columns.append(f"FILTER(ARRAY({tokens}), t -> t IS NOT NULL) AS _tokens_{k}")
+            block = CountVectorizerModel.from_vocabulary(words, inputCol=f"_tokens_{k}", outputCol=f"_onehot_{k}")
+            encoders.append(block.setBinary(True))
+            assembled.append(f"_onehot_{k}")
+    names = [f"_n{i}" for i in range(len(scaled) + len(passed))]
+    pieces = "".join(f", numbers[{i}] AS {name}" for i, name in enumerate(names))
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), *encoders,
+        SQLTransformer(statement=f"SELECT *{pieces} FROM __THIS__"),
+        VectorAssembler(inputCols=assembled + names, outputCol="features"),
+    ]
+    if names:
         stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(names)}) FROM __THIS__"))
-    return Encoding(spec, labels, stats, PipelineModel(stages))
+    return Encoding(spec, known, stats, PipelineModel(stages))

@@ -1,11 +1,15 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from readsift.config import FeatureSpec
+from readsift.learners import fit, learner
 from readsift.operators.duplicates import near_duplicate_rate
-from readsift.operators.encode import fit_encoding
+from readsift.operators.encode import categories, fit_encoding, nonzero_entries
 from readsift.operators.neighbours import nearest
 
 SPEC = FeatureSpec(("c", "m"), ("x",), ("b",), "y")
@@ -94,3 +98,44 @@ def test_near_duplicate_rate(spark):
     rows = [(0, [0], [0.0]), (1, [0], [0.1]), (2, [1], [9.0])]
     df = spark.createDataFrame(rows, "row_idx long, hot array<int>, numbers array<double>")
     assert near_duplicate_rate(df, 2, 0.5).first()["n_near"] == 2
+
+
+def _many(spark, n):
+    rows = [(i, f"v{i * 7 % 997}", i % 13, math.sin(i), i % 2, i % 2) for i in range(n)]
+    return _rows(spark, rows)
+
+
+@pytest.mark.parametrize("spec", [SPEC, FeatureSpec(("m", "c"), ("x",), ("b",), "y"), FeatureSpec(("c",), ("x",), (), "y")])
+@pytest.mark.parametrize("looked_up", [0, 13, 400])
+def test_joined_columns_encode_like_looked_up_ones(spark, spec, looked_up):
+    train = _many(spark, 700)
+    other = train.unionByName(_rows(spark, [(9000, "new", 4, 1.0, 1, 0), (9001, None, None, 2.0, 0, 0), (9002, "v7", 99, 0.5, 0, 1)]))
+    found = categories(train, spec, looked_up)
+    assert found.table is not None and sum(map(len, found.listed.values())) <= looked_up
+    views = []
+    for vocabulary in (None, found):
+        out = fit_encoding(train, spec, vocabulary).transform(other)
+        assert not [c for c in out.columns if c.startswith("_")]
+        rows = out.select("row_idx", "hot", "numbers", vector_to_array("features").alias("v")).orderBy("row_idx").collect()
+        long = nonzero_entries(out, "row_idx").collect()
+        assert Counter((r.row_idx, r.position, r.value) for r in long) == Counter(
+            (r.row_idx, i, x) for r in rows for i, x in enumerate(r.v) if x
+        )
+        views.append(rows)
+    assert views[0] == views[1]
+
+
+def test_a_quarter_of_a_million_categories_fit(spark):
+    n = 250_000
+    df = spark.range(2 * n).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit("v"), F.col("id") % n).alias("c"), (F.col("id") % 3).cast("int").alias("m"),
+        (F.col("id") % 17).cast("double").alias("x"), F.lit(0).alias("b"), (F.col("id") % 2).cast("int").alias("y"),
+    )
+    encoding = fit_encoding(df, SPEC)
+    assert encoding.width_hot == n + 3 and encoding.labels == (None, ("0", "1", "2"))
+    order = {v: i for i, v in enumerate(sorted(f"v{i}" for i in range(n)))}
+    for r in encoding.transform(df).where("row_idx % 50021 = 7").select("c", "m", "hot").collect():
+        assert r.hot == [order[r.c], n + r.m]
+    # Even ids all carry label 0: the value alone tells it.
+    model = fit(learner("bayes"), df, SPEC).transform(df.where("row_idx % 100 < 3")).agg(F.avg((F.col("label") == F.col("prediction")).cast("int")))
+    assert model.first()[0] == 1.0
