@@ -1,30 +1,32 @@
-"""Exact nearest neighbours of mixed rows, pruned by pivots.
+"""Exact nearest neighbours of mixed rows, by lists of agreeing categories.
 
 The distance is the Euclidean one over one-hot categoricals and scaled numbers,
 taken from the compact columns ``hot`` and ``numbers``: a category only one of two
 rows has costs 1, so two known ones that differ cost 2.
 
-Base rows fall into cells round pivots, whose number grows with the square root of the rows. A query first
-searches the cells nearest to it, which bounds its k-th distance; the triangle
-inequality then leaves only the cells that could still hold a nearer row. Cells
-are cut into blocks and the queries that visit a cell into chunks of bounded size,
-so one (block, chunk) pair is a task's unit, however many rows or queries crowd
-one spot. Only the k best of a pair leave it.
+A few base rows are held by every task. Many are put into inverted lists, one per slot. A query first searches the
+shortest lists it belongs to, which bounds its k-th distance. A nearer row then has to agree with it in so many
+slots that it must share one of its rarest few, as many as the bound leaves open; only their lists are searched
+further. Lists are cut into blocks and the queries that visit a list into chunks of bounded size, so one (block,
+chunk) pair is a task's unit, however many rows or queries crowd one slot. Only the k best of a pair leave it.
 """
 
 from __future__ import annotations
 
-from math import ceil, isqrt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from readsift.operators.rank import seeded_key
 from readsift.session import stage
 
 _DIGITS = 9  # Distances equal to this many places count as ties, broken by id.
-_SLACK = 1e-6  # Keeps a cell whose bound misses the reach by rounding alone.
+_SLACK = 1e-6  # Keeps a list whose bound misses the reach by rounding alone.
+#: Base rows that every task may hold: some 250 bytes each, so about 10 MB. More go through the lists.
+HELD_ROWS = 40_000
+_CELLS = 8_000_000  # distances that a task has in memory at once
+_EVERYWHERE = -1  # the list of all rows, for queries whose bound leaves any row open
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -56,30 +58,36 @@ def _membership(hot: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return member
 
 
+_FOUND = "query_id long, neighbour_id long, d2 double, label double"
+
+
+def _k_best(queries: pd.DataFrame, base: pd.DataFrame, k: int, unknown: int, exclude_self: bool) -> pd.DataFrame:
+    """The k best of ``base``, sorted by id, for each query."""
+    d2 = np.round(
+        squared_distances(
+            _matrix(queries["hot"], np.int64), _matrix(queries["numbers"], float),
+            _matrix(base["hot"], np.int64), _matrix(base["numbers"], float), unknown,
+        ),
+        _DIGITS,
+    )
+    ids, query_ids = base["id"].to_numpy(), queries["id"].to_numpy()
+    if exclude_self:
+        d2[query_ids[:, None] == ids[None, :]] = np.inf
+    kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+    row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
+    found = pd.DataFrame(
+        {"query_id": query_ids[row], "neighbour_id": ids[col], "d2": d2[row, col], "label": base["label"].to_numpy()[col]}
+    ).sort_values(["query_id", "d2", "neighbour_id"])
+    return found[found.groupby("query_id").cumcount() < k]
+
+
 def _best_of_block(k: int, unknown: int, exclude_self: bool):
     def best(_key, queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query_id", "neighbour_id", "d2", "label"]
         if queries.empty or base.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype(
+            return pd.DataFrame({c: [] for c in ("query_id", "neighbour_id", "d2", "label")}).astype(
                 {"query_id": "int64", "neighbour_id": "int64", "d2": "float64", "label": "float64"}
             )
-        base = base.sort_values("id")
-        d2 = np.round(
-            squared_distances(
-                _matrix(queries["hot"], np.int64), _matrix(queries["numbers"], float),
-                _matrix(base["hot"], np.int64), _matrix(base["numbers"], float), unknown,
-            ),
-            _DIGITS,
-        )
-        ids, query_ids = base["id"].to_numpy(), queries["id"].to_numpy()
-        if exclude_self:
-            d2[query_ids[:, None] == ids[None, :]] = np.inf
-        kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-        row, col = np.nonzero((d2 <= kth[:, None]) & np.isfinite(d2))
-        found = pd.DataFrame(
-            {"query_id": query_ids[row], "neighbour_id": ids[col], "d2": d2[row, col], "label": base["label"].to_numpy()[col]}
-        ).sort_values(["query_id", "d2", "neighbour_id"])
-        return found[found.groupby("query_id").cumcount() < k]
+        return _k_best(queries, base.sort_values("id"), k, unknown, exclude_self)
 
     return best
 
@@ -93,34 +101,93 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return _top(found, k).select("query_id", "neighbour_id", "rank", F.sqrt("d2").alias("distance"), "label")
 
 
-def _lookup(values: dict[int, int], key):
-    return F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), key)
+def _held_search(queries: DataFrame, base: DataFrame, n: int, k: int, unknown: int, exclude_self: bool) -> DataFrame:
+    """Every task holds the whole small base; queries are read once and nothing is shuffled but them."""
+    rows = base.toPandas().sort_values("id")
+    held = base.sparkSession.sparkContext.broadcast(rows)
+    step = max(16, _CELLS // n)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                yield _k_best(pdf.iloc[at : at + step], held.value, k, unknown, exclude_self)
+
+    most = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(most, queries.count() * n // (10 * _CELLS) + 1))
+    return queries.repartition(tasks).mapInPandas(search, _FOUND)
 
 
-def _search(visits, cells, blocks: dict[int, int], k, unknown, exclude_self, chunk_rows) -> DataFrame:
-    """k best base rows per query among the cells it visits.
+def _search(visits: DataFrame, lists: DataFrame, k, unknown, exclude_self, block_rows, chunk_rows) -> DataFrame:
+    """k best base rows per query and pair of block and chunk, among the lists it visits.
 
-    ``blocks`` holds the number of blocks per cell (at most one entry per pivot).
+    ``visits``: (slot, id, hot, numbers) of queries; ``lists``: the same of base rows, with label. The sizes of both
+    sides of a slot are counted and joined to the other side, which is copied once per block or chunk.
     """
-    counts = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    chunks = {c: ceil(n / chunk_rows) for c, n in counts.items()}
-    asked = visits.withColumn("chunk", F.pmod(F.xxhash64("id"), _lookup(chunks, F.col("cell")))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), _lookup(blocks, F.col("cell")).cast("bigint") - 1))
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+    blocks = parts(lists.join(visits.select("slot").distinct(), "slot", "left_semi"), block_rows, "blocks")
+    sizes = stage(blocks.join(parts(visits, chunk_rows, "chunks"), "slot"), "list-sizes")
+    asked = (
+        visits.join(sizes, "slot")
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
     )
-    held = cells.where(F.col("cell").isin(*counts)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), _lookup(chunks, F.col("cell")).cast("bigint") - 1))
+    held = (
+        lists.join(sizes, "slot")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks").cast("bigint") - 1)))
     )
-    unit = ["cell", "block", "chunk"]
+    unit = ["slot", "block", "chunk"]
     return (
         asked.select(*unit, "id", "hot", "numbers")
         .groupBy(*unit)
         .cogroup(held.select(*unit, "id", "hot", "numbers", "label").groupBy(*unit))
-        .applyInPandas(
-            _best_of_block(k, unknown, exclude_self), "query_id long, neighbour_id long, d2 double, label double"
-        )
+        .applyInPandas(_best_of_block(k, unknown, exclude_self), _FOUND)
+    )
+
+
+def _listed_search(
+    queries: DataFrame, base: DataFrame, k: int, unknown: int, exclude_self: bool, block_rows: int, chunk_rows: int
+) -> DataFrame:
+    known = lambda rows: F.filter(rows["hot"], lambda s: s != unknown)
+    lists = base.select(F.explode(known(base)).alias("slot"), "*")
+    sizes = stage(lists.groupBy("slot").agg(F.count(F.lit(1)).alias("n")), "slot-sizes")
+    fewest = base.agg(F.min(F.size(known(base)))).first()[0]
+
+    # A query's slots, shortest list first; a slot that no base row has is an empty list. At most one per column.
+    own = queries.select("id", F.explode_outer(known(queries)).alias("slot")).join(sizes, "slot", "left")
+    one = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "slot")
+    ordered = own.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("slot").isNotNull(), one))).alias("order"))
+    # The shortest lists that hold enough rows together, rows in two lists counted twice: a start, no bound yet.
+    enough = k + int(exclude_self)
+    upto = lambda i: F.aggregate(F.slice("order", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    short = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("order"), F.lit(1))), lambda i: upto(i) < enough))
+    home = F.least(short + 1, F.size("order"))
+    routed = stage(queries.join(ordered, "id").withColumn("home", home), "neighbour-routes")
+    args = (k, unknown, exclude_self, block_rows, chunk_rows)
+    slots = lambda start, length: F.transform(F.slice("order", start, length), lambda x: x["slot"])
+    first = routed.select(F.explode(slots(F.lit(1), F.col("home"))).alias("slot"), "id", "hot", "numbers")
+    found = stage(_top(_search(first, lists, *args).dropDuplicates(["query_id", "neighbour_id"]), k).drop("rank"), "neighbour-found")
+
+    # With fewer than k rows so far a query may have to look anywhere. A row within reach differs from the query in at
+    # most ``reach`` categories, counted on both sides, so they share at least ``need``; of all but need - 1 of the
+    # query's slots it must have one.
+    reach = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d2")).alias("reach"))
+    need = F.ceil((F.size("order") + fewest - F.col("reach") - _SLACK) / 2)
+    bounded = routed.join(reach, routed["id"] == reach["query_id"], "left").withColumn(
+        "open", F.when(need >= 1, F.greatest(F.size("order") - need.cast("int") + 1, F.lit(0)))
     )
+    rest = slots(F.col("home") + 1, F.greatest(F.col("open") - F.col("home"), F.lit(0)))
+    wanted = F.when(F.col("open").isNull(), F.array(F.lit(_EVERYWHERE))).otherwise(rest)
+    further = stage(bounded.select(F.explode(wanted).alias("slot"), "id", "hot", "numbers"), "neighbour-visits")
+    if further.isEmpty():
+        return found
+    anywhere = base.select(F.lit(_EVERYWHERE).alias("slot"), "*")
+    more = _search(further.where(F.col("slot") != _EVERYWHERE), lists, *args)
+    if not further.where(F.col("slot") == _EVERYWHERE).isEmpty():
+        more = more.unionByName(_search(further.where(F.col("slot") == _EVERYWHERE), anywhere, *args))
+    return found.unionByName(more).dropDuplicates(["query_id", "neighbour_id"])
 
 
 def nearest(
@@ -129,15 +196,15 @@ def nearest(
     k: int,
     unknown: int,
     exclude_self: bool = False,
-    seed: int = 0,
     block_rows: int = 2048,
     chunk_rows: int = 2048,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
     """(query_id, neighbour_id, rank, distance, label) of the k nearest base rows.
 
     Both frames need ``id`` (unique bigint), ``hot`` and ``numbers``; ``base`` may
-    carry ``label``. Equal distances rank by id. There are as many pivots as blocks, up to the
-    square root of the base rows.
+    carry ``label``. Equal distances rank by id. A base of up to ``held_rows`` different rows is held by every task, a
+    larger one is searched by lists; the rows found are the same.
     """
     if "label" not in base.columns:
         base = base.withColumn("label", F.lit(None).cast("double"))
@@ -151,79 +218,11 @@ def nearest(
         .drop("_copy"),
         "neighbour-base",
     )
-    queries = stage(queries.select("id", "hot", "numbers"), "neighbour-queries")
     n = base.count()
-    result_schema = "query_id long, neighbour_id long, rank int, distance double, label double"
     if n == 0:
-        return base.sparkSession.createDataFrame([], result_schema)
-
-    wanted = max(1, min(isqrt(n), n // block_rows))
-    pivots = base.orderBy(seeded_key(seed, "id"), "id").limit(wanted).collect()
-    pivot_hot = np.array([p["hot"] for p in pivots], dtype=np.int64).reshape(len(pivots), -1)
-    pivot_num = np.array([p["numbers"] for p in pivots], dtype=float).reshape(len(pivots), -1)
-
-    def to_pivots(pdf):
-        hot, num = _matrix(pdf["hot"], np.int64), _matrix(pdf["numbers"], float)
-        return np.sqrt(squared_distances(hot, num, pivot_hot, pivot_num, unknown))
-
-    def place(batches):
-        for pdf in batches:
-            away = to_pivots(pdf)
-            cell = away.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), away=away[np.arange(len(pdf)), cell])
-
-    placed = stage(
-        base.mapInPandas(
-            place, "id long, hot array<int>, numbers array<double>, label double, cell int, away double"
-        ),
-        "neighbour-cells",
-    )
-    stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("away").alias("near"), F.max("away").alias("far")
-    ).orderBy("cell").collect()
-    blocks = {s["cell"]: ceil(s["n"] / block_rows) for s in stats}
-    cells = placed.withColumn("block", F.pmod(F.xxhash64("id"), _lookup(blocks, F.col("cell"))))
-
-    numbers = np.array([s["cell"] for s in stats])
-    sizes = np.array([s["n"] for s in stats])
-    near, far = np.array([s["near"] for s in stats]), np.array([s["far"] for s in stats])
-    enough = k + int(exclude_self)
-
-    def route(batches):
-        """Home cells of a query: the nearest ones that hold enough rows together."""
-        for pdf in batches:
-            order = to_pivots(pdf)[:, numbers].argsort(axis=1, kind="stable")
-            need = (sizes[order].cumsum(axis=1) < enough).sum(axis=1) + 1
-            yield pdf.assign(home=[numbers[o[:c]].astype("int32").tolist() for o, c in zip(order, need)])
-
-    def reach_out(batches):
-        """The other cells that may hold a row nearer than the k-th found so far."""
-        for pdf in batches:
-            away = to_pivots(pdf)[:, numbers]
-            lower = np.maximum(np.maximum(away - far, near - away), 0.0)
-            open_cells = lower <= pdf["reach"].to_numpy()[:, None] + _SLACK
-            for row, home in enumerate(pdf["home"]):
-                open_cells[row, np.isin(numbers, home)] = False
-            row, at = np.nonzero(open_cells)
-            yield pdf[["id", "hot", "numbers"]].iloc[row].assign(cell=numbers[at].astype("int32"))
-
-    query_schema = "id long, hot array<int>, numbers array<double>"
-    routed = stage(queries.mapInPandas(route, f"{query_schema}, home array<int>"), "neighbour-routes")
-    args = (cells, blocks, k, unknown, exclude_self, chunk_rows)
-    found = _search(routed.withColumn("cell", F.explode("home")).drop("home"), *args)
-    if found is None:
-        return base.sparkSession.createDataFrame([], result_schema)
-    if len(stats) > 1:
-        found = stage(_top(found, k).drop("rank"), "neighbour-found")
-        # A query with fewer than k rows so far may have to look anywhere.
-        reach = found.groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d2"))).alias("reach")
-        )
-        bounded = routed.join(reach, routed["id"] == reach["query_id"], "left").withColumn(
-            "reach", F.coalesce("reach", F.lit(float("inf")))
-        ).select("id", "hot", "numbers", "home", "reach")
-        visits = stage(bounded.mapInPandas(reach_out, f"{query_schema}, cell int"), "neighbour-visits")
-        further = _search(visits, *args)
-        if further is not None:
-            found = found.unionByName(further)
-    return _ranked(found, k)
+        return base.sparkSession.createDataFrame([], "query_id long, neighbour_id long, rank int, distance double, label double")
+    queries = stage(queries.select("id", "hot", "numbers"), "neighbour-queries")
+    if n <= held_rows:
+        # A query meets the whole base in one task, so what it found there is final but for the rank.
+        return _ranked(_held_search(queries, base, n, k, unknown, exclude_self), k)
+    return _ranked(_listed_search(queries, base, k, unknown, exclude_self, block_rows, chunk_rows), k)

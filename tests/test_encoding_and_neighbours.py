@@ -87,10 +87,45 @@ def test_search_equals_brute_force(spark, exclude_self, block_rows):
     assert found == _brute(queries, base, 4, exclude_self)
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+@pytest.mark.parametrize("block_rows, columns", [(20, 2), (100_000, 6)])
+def test_lists_find_what_brute_force_finds(spark, exclude_self, block_rows, columns):
+    """Rows of many columns that agree often, a third of them copies, unknown categories and no category at all."""
+    rng = np.random.default_rng(columns)
+
+    def made(n, start=0):
+        hot = 4 * np.arange(columns) + (rng.integers(0, 4, (n, columns)) * (rng.random((n, columns)) < 0.4)).astype(int)
+        hot[rng.random((n, columns)) < 0.05] = 4 * columns
+        hot[::50] = 4 * columns
+        copies = rng.random(n) < 0.3
+        hot[copies] = 4 * np.arange(columns)
+        numbers = np.round(rng.normal(size=(n, 2)), 1)
+        return [(start + i, sorted(hot[i].tolist()), numbers[i].tolist(), float(i % 2)) for i in range(n)]
+
+    base = made(300)
+    queries = base[:90] if exclude_self else made(90, 1000) + [(5000, [4 * columns] * columns, [0.0, 0.0], 0.0)]
+    schema = "id long, hot array<int>, numbers array<double>, label double"
+    got = nearest(
+        spark.createDataFrame(queries, schema), spark.createDataFrame(base, schema), 3, 4 * columns, exclude_self,
+        block_rows=block_rows, chunk_rows=16, held_rows=0,
+    ).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append((r.neighbour_id, round(r.distance**2, 6)))
+
+    def d2(a, b):
+        x, y = set(a[1]) - {4 * columns}, set(b[1]) - {4 * columns}
+        return round(len(x ^ y) + sum((u - v) ** 2 for u, v in zip(a[2], b[2])), 9)
+
+    for q in queries:
+        want = sorted((d2(q, b), b[0]) for b in base if not (exclude_self and b[0] == q[0]))[:3]
+        assert found[q[0]] == [(i, round(d, 6)) for d, i in want]
+
+
 def test_fewer_base_rows_than_k(spark):
     schema = "id long, hot array<int>, numbers array<double>, label double"
     base = spark.createDataFrame([(1, [0], [0.0], 1.0), (2, [1], [0.0], 0.0)], schema)
-    assert nearest(base, base, 5, 2).count() == 4
+    assert nearest(base, base, 5, 2).count() == nearest(base, base, 5, 2, held_rows=0).count() == 4
     assert nearest(base, base.limit(0), 5, 2).count() == 0
 
 
