@@ -25,7 +25,6 @@ from readsift.session import stage
 
 #: Bytes of a text that are in work at once.
 SLICE = 1 << 20
-_STORE = 1 << 20  # features whose buckets a task remembers
 _SEPARATOR = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
 _FOLDED = bytes(32 if _SEPARATOR.match(bytes([b])) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SKETCH = 2048  # entries of the quantile sketch: ranks are off by about a thousandth
@@ -56,31 +55,19 @@ def feature_lists(text: str | None, max_run: int = 1, piece: int = SLICE) -> Ite
         tail = near[len(near) - max_run + 1 :] if max_run > 1 else []
 
 
-class _Buckets(dict):
-    """Feature to bucket; asks the hash once per feature it has room for."""
-
-    def __init__(self, buckets: int):
-        self._buckets = buckets
-
-    def __missing__(self, feature: bytes) -> int:
-        if len(self) >= _STORE:
-            self.clear()
-        self[feature] = bucket = zlib.crc32(feature) % self._buckets
-        return bucket
-
-    def of(self, features: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, features), np.int64, len(features))
+def _bucket(features: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, features), np.int64, len(features)) % buckets
 
 
 def bucket_counts(df: DataFrame, buckets: int, max_run: int = 1, text_col: str = "text") -> DataFrame:
     """(bucket, n): features of all texts per bucket. A task adds up its rows; one array of it is shuffled."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbered, totals = _Buckets(buckets), np.zeros(buckets, np.int64)
+        totals = np.zeros(buckets, np.int64)
         for batch in batches:
             for text in batch["t"]:
                 for _, features in feature_lists(text, max_run):
-                    totals += np.bincount(numbered.of(features), minlength=buckets)
+                    totals += np.bincount(_bucket(features, buckets), minlength=buckets)
         full = np.flatnonzero(totals)
         yield pd.DataFrame({"bucket": full, "n": totals[full]})
 
@@ -108,12 +95,12 @@ def weigh(docs: DataFrame, gains: np.ndarray, max_run: int = 1, text_col: str =
 
     @F.pandas_udf("n_words long, n_features long, weight long")
     def weighed(texts: pd.Series) -> pd.DataFrame:
-        numbered, rows = _Buckets(len(gains)), []
+        rows = []
         for text in texts:
             n, m, weight = 0, 0, 0
             for words, features in feature_lists(text, max_run):
                 n, m = n + words, m + len(features)
-                weight += int(gains[numbered.of(features)].sum())
+                weight += int(gains[_bucket(features, len(gains))].sum())
             rows.append((n, m, weight))
         return pd.DataFrame(rows, columns=["n_words", "n_features", "weight"])
 
