@@ -34,16 +34,25 @@ UNKNOWN = "und"
 _STORE = 1 << 18  # words whose probabilities a task remembers
 _UNITS = 1_000_000
 _MARK = "▁"
+# Texts within Latin-1 are folded to lower-case letters and spaces by one table; it holds no marks.
+_FOLDED = "".join(c.lower() if c.isalpha() else " " for c in map(chr, range(256))).encode("latin-1")
 _WORD, _NO_LETTER = regex.compile(r"\p{L}[\p{L}\p{M}]*"), regex.compile(r"[^\p{L}\p{M}]")
 
 
+def _words(text: str) -> list[str]:
+    try:
+        return text.encode("latin-1").translate(_FOLDED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(text.lower())
+
+
 def word_lists(text: str | None, piece: int = SLICE) -> Iterator[list[str]]:
     """Words of a text in lists of bounded size; none of null."""
     text, at = text or "", 0
     while at < len(text):
         stop = _NO_LETTER.search(text, at + piece)
         end = stop.start() if stop else len(text)
-        words = _WORD.findall(text[at:end].lower())
+        words = _words(text[at:end])
         if words and max(map(len, words)) > LONGEST:
             words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
         yield words

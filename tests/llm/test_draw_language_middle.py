@@ -209,6 +209,12 @@ def test_words_of_any_piece():
     assert [w for t in (None, "", "12 .") for part in language.word_lists(t) for w in part] == []
 
 
+def test_both_ways_to_split_words_agree():
+    r = random.Random(9)
+    for text in ["", *("".join(map(chr, r.choices(range(256), k=200))) for _ in range(300))]:
+        assert language._words(text) == language._WORD.findall(text.lower()) == language._words(text + " 漢")[: len(language._words(text))]
+
+
 MODEL_FILE = public_tokenizers.path("piece_bpe_32k.model")
 SAID = {"en": "the house and the river of that thing", "de": "der das und nicht ein haus mit der zeit", "fr": "les une que dans la maison avec le temps"}
 
