@@ -13,9 +13,10 @@ from readsift.checks.warehouse_sql import PROBES, context_ctes, warehouse_query
 from readsift.config import Experiment, FeatureSpec
 from readsift.learners import fit, learner
 from readsift.learners.base import scored_columns
+from readsift.learners.calibration import fit_isotonic
 from readsift.learners.spark_ml import tree_nodes
 from readsift.operators import duplicates, folds, metrics
-from readsift.operators.encode import fit_encoding, nonzero_entries, one_hot_long, standardised
+from readsift.operators.encode import categories, fit_encoding, nonzero_entries, one_hot_long, standardised
 from readsift.operators.profile import vocabulary
 from readsift.plans import experiment
 from readsift.plans.frame import experiment_frame
@@ -341,6 +342,131 @@ def tree_node_table(spark, sf_dir):
     return tree_nodes(spark, fit(learner("tree"), train, SPEC, vocabulary_from=df).model)
 
 
+_RAW = " UNION ALL ".join(
+    f"SELECT row_idx, CAST(w + {i} AS INT), CAST({c} AS DOUBLE) FROM frame, width" for i, c in enumerate((*_NUMS, *_BINS))
+)
+_CELLS_OF_ROWS = (
+    "width AS (SELECT count(*) AS w FROM vocabulary)",
+    "hot AS MATERIALIZED (SELECT row_idx, CAST(slot AS INT) AS feature FROM long JOIN vocabulary USING (i, value))",
+    f"dense(row_idx, feature, value) AS MATERIALIZED ({_RAW})",
+    "cell AS MATERIALIZED (SELECT row_idx, feature, CAST(1 AS DOUBLE) AS value FROM hot UNION ALL SELECT * FROM dense)",
+)
+
+
+def _trees_sql(select: str, member: str, depth: int, *more: str) -> str:
+    """``select`` over ``walk``: each row of ``member`` (tree, row_idx, split, label) at every depth of its tree, by a
+    search of all splits of all features at every node, and over ``node``, its class counts and split."""
+    sides = "(n - ones - {0} + {1}) * CAST(n - ones - {0} + {1} AS DOUBLE)"
+    score = (
+        "((l - l1) * CAST(l - l1 AS DOUBLE) + l1 * CAST(l1 AS DOUBLE)) / l + "
+        f"({sides.format('l', 'l1')} + (ones - l1) * CAST(ones - l1 AS DOUBLE)) / (n - l)"
+    )
+    half = "CASE WHEN (value + nxt) / 2 >= nxt THEN value ELSE (value + nxt) / 2 END"
+
+    def best(rows: str) -> str:
+        return (
+            f"tot AS (SELECT tree, node, count(*) AS n, sum(label) AS ones FROM {rows} WHERE split = 'train' GROUP BY tree, node), "
+            "open AS (SELECT * FROM tot WHERE ones > 0 AND ones < n), "
+            f"slots AS (SELECT r.tree, r.node, feature, count(*) AS k, sum(label) AS k1 FROM {rows} r JOIN hot USING (row_idx) WHERE split = 'train' GROUP BY ALL), "
+            f"counted AS (SELECT r.tree, r.node, feature, value, count(*) AS k, sum(label) AS k1 FROM {rows} r JOIN dense USING (row_idx) WHERE split = 'train' GROUP BY ALL), "
+            "along AS (SELECT tree, node, feature, value, sum(k) OVER w AS l, sum(k1) OVER w AS l1, lead(value) OVER (PARTITION BY tree, node, feature ORDER BY value) AS nxt "
+            "FROM counted WINDOW w AS (PARTITION BY tree, node, feature ORDER BY value ROWS UNBOUNDED PRECEDING)), "
+            "choice AS (SELECT tree, node, feature, CAST(0.5 AS DOUBLE) AS threshold, n - k AS l, ones - k1 AS l1, n, ones FROM slots JOIN open USING (tree, node) WHERE k < n "
+            f"UNION ALL SELECT tree, node, feature, {half}, l, l1, n, ones FROM along JOIN open USING (tree, node) WHERE nxt IS NOT NULL), "
+            f"best AS (SELECT tree, node, feature, threshold FROM (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY {score} DESC, feature, threshold) AS nth FROM choice) WHERE nth = 1)"
+        )
+
+    levels = [
+        "walk_0 AS MATERIALIZED (SELECT tree, CAST(1 AS BIGINT) AS node, row_idx, split, CAST(label AS BIGINT) AS label FROM member)"
+    ]
+    for d in range(depth):
+        levels.append(f"best_{d} AS MATERIALIZED (WITH {best(f'walk_{d}')} SELECT * FROM best)")
+        levels.append(
+            f"walk_{d + 1} AS MATERIALIZED (SELECT r.tree, r.node * 2 + CASE WHEN coalesce(c.value, 0) > b.threshold THEN 1 ELSE 0 END AS node, r.row_idx, r.split, r.label "
+            f"FROM walk_{d} r JOIN best_{d} b ON b.tree = r.tree AND b.node = r.node LEFT JOIN cell c ON c.row_idx = r.row_idx AND c.feature = b.feature)"
+        )
+    walk = " UNION ALL ".join(f"SELECT CAST({d} AS INT) AS depth, * FROM walk_{d}" for d in range(depth + 1))
+    split = " UNION ALL ".join(f"SELECT * FROM best_{d}" for d in range(depth)) or "SELECT 0 AS tree, 0 AS node, 0 AS feature, 0.5 AS threshold WHERE FALSE"
+    return _sql(
+        select, _LONG, _VOCABULARY, *_CELLS_OF_ROWS, f"member AS ({member})", *levels, f"walk AS MATERIALIZED ({walk})", f"split AS MATERIALIZED ({split})",
+        "node AS MATERIALIZED (SELECT w.tree, w.node, w.depth, CAST(count(*) - sum(label) AS BIGINT) AS class_0, CAST(sum(label) AS BIGINT) AS class_1, any_value(feature) AS feature, "
+        "any_value(threshold) AS threshold FROM walk w LEFT JOIN split USING (tree, node) WHERE w.split = 'train' GROUP BY w.tree, w.node, w.depth)",
+        *more,
+    )
+
+
+_HOLDOUT = f"SELECT 0 AS tree, row_idx, CASE WHEN row_idx < {_TRAIN} THEN 'train' ELSE 'test' END AS split, Status AS label FROM frame, size"
+
+
+@query(_trees_sql("SELECT node, depth, class_0, class_1, feature, threshold FROM node", _HOLDOUT, 20))
+def exact_tree_nodes(spark, sf_dir):
+    """Every node of the exact tree of depth 20 over the train rows, with its class counts and split."""
+    df, _, train, _ = _split(spark, sf_dir)
+    return fit(learner("exact_tree"), train, SPEC, vocabulary_from=df).model.nodes.drop("tree")
+
+
+@query(
+    _trees_sql(
+        "SELECT row_idx, CAST(label AS INT) AS label, CASE WHEN class_1 > class_0 THEN 1 ELSE 0 END AS prediction, CAST(class_1 AS DOUBLE) / (class_0 + class_1) AS p1 FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY depth DESC) AS nth FROM walk WHERE split = 'test') JOIN node USING (tree, node) WHERE nth = 1",
+        _HOLDOUT, 20,
+    )
+)
+def exact_tree_predictions(spark, sf_dir):
+    """Hold-out rows scored by the exact tree of depth 20."""
+    df, _, train, test = _split(spark, sf_dir)
+    _, scored = experiment.holdout_test(train, test, learner("exact_tree"), SPEC, vocabulary_from=df)
+    return scored.select("row_idx", "label", "prediction", "p1")
+
+
+_DEALT = (
+    "SELECT f AS tree, row_idx, CASE WHEN d <> f THEN 'train' ELSE 'test' END AS split, Status AS label FROM (SELECT row_idx, Status, "
+    "(row_number() OVER (PARTITION BY Status ORDER BY md5(concat('0', ':', CAST(row_idx AS VARCHAR))), row_idx) - 1) % 10 AS d FROM frame), range(10) g(f)"
+)
+_EXPANDING = (
+    "SELECT f AS tree, row_idx, CASE WHEN row_idx < n - (10 - f) * (n // 11) THEN 'train' ELSE 'test' END AS split, Status AS label "
+    "FROM frame, size, range(10) g(f) WHERE row_idx < n - (9 - f) * (n // 11)"
+)
+
+
+def _cut_sql(select: str, member: str, depth: int) -> str:
+    """``select`` over ``cut``: (d, tree, split, value), the accuracy of each tree cut at depths 1 to ``depth``."""
+    return _trees_sql(
+        select, member, depth,
+        "ends AS MATERIALIZED (SELECT w.tree, row_idx, split, label, w.depth, CASE WHEN class_1 > class_0 THEN 1 ELSE 0 END AS said, feature IS NULL AS leaf FROM walk w JOIN node USING (tree, node)), "
+        f"cut AS (SELECT d, tree, split, avg(CASE WHEN said = label THEN 1.0 ELSE 0.0 END) AS value FROM ends, range(1, {depth + 1}) g(d) "
+        "WHERE depth = d OR (leaf AND depth < d) GROUP BY d, tree, split)",
+    )
+
+
+@query(
+    _cut_sql("SELECT CAST(d AS INT) AS max_depth, CAST(tree AS INT) AS fold, split, value FROM cut", _DEALT, 20),
+    rounded=("value",),
+)
+def tree_depth_sweep(spark, sf_dir):
+    """Accuracy of exact trees of depth 1 to 20 on each of 10 stratified folds."""
+    df = frame(spark, sf_dir)
+    dealt = stage(folds.stratified_fold_column(df, config.TARGET_COLUMN, 10, 0), "dealt")
+    found = experiment.depth_sweep(dealt, folds.folds_of_column(10), range(1, 21), SPEC)
+    return found.select(F.col("params")["max_depth"].cast("int").alias("max_depth"), "fold", "split", "value")
+
+
+@query(
+    _sql(
+        "SELECT score, max(low) AS value, any_value(n) AS n FROM (SELECT b.i, b.score, b.n, min((b.t1 - a.t1 + a.k1) / (b.t - a.t + a.n)) "
+        "OVER (PARTITION BY a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM point a JOIN point b ON b.i >= a.i) GROUP BY i, score",
+        "point AS MATERIALIZED (SELECT *, row_number() OVER w AS i, CAST(sum(n) OVER w AS DOUBLE) AS t, CAST(sum(k1) OVER w AS DOUBLE) AS t1 FROM "
+        "(SELECT READ_VALUE AS score, CAST(count(*) AS BIGINT) AS n, sum(Status) AS k1 FROM frame GROUP BY READ_VALUE) WINDOW w AS (ORDER BY score ROWS UNBOUNDED PRECEDING))",
+    ),
+    rounded=("value",),
+)
+def isotonic_fit(spark, sf_dir):
+    """Isotonic regression of the label on the read value, at every read value."""
+    scored = stage(frame(spark, sf_dir).select(F.col("READ_VALUE").alias("score"), F.col("Status").alias("label")), "scored")
+    rows = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    return fit_isotonic(scored).apply(rows).select("score", F.col("_cal").alias("value"), "n")
+
+
 def _calibration(method):
     def run(spark, sf_dir):
         df, n, train, _ = _split(spark, sf_dir)
@@ -380,28 +506,31 @@ def cross_dataset_scores(spark, sf_dir):
 
 @query()
 def grid_search_summary(spark, sf_dir):
-    """Best setting per classifier over stratified folds."""
+    """Best setting per classifier over 10 stratified folds: the declared grids of neighbours, tree depths 1 to 20 and logit."""
     df = frame(spark, sf_dir)
-    dealt = stage(folds.stratified_fold_column(df, config.TARGET_COLUMN, 3, 0), "dealt")
-    cuts = folds.folds_of_column(3)
-    found = experiment.grid_search(
-        dealt, cuts, lambda **s: learner("logit", **s), experiment.TUNING_GRIDS["logit"], SPEC, vocabulary_from=df
-    ).unionByName(
-        experiment.grid_search(
-            dealt, cuts, lambda **s: learner("tree", **s), experiment.grid(max_depth=[1, 2, 5]), SPEC, vocabulary_from=df
-        )
-    )
+    dealt = stage(folds.stratified_fold_column(df, config.TARGET_COLUMN, 10, 0), "dealt")
+    cuts, known = folds.folds_of_column(10), categories(df, SPEC)
+    found = experiment.depth_sweep(dealt, cuts, range(1, 21), SPEC, vocabulary_from=known, train_scores=False)
+    for name in ("neighbours", "logit"):
+        found = found.unionByName(experiment.grid_search(
+            dealt, cuts, lambda name=name, **s: learner(name, **s), experiment.TUNING_GRIDS[name], SPEC, vocabulary_from=known, train_scores=False
+        ))
     return experiment.best_settings(found)
 
 
-@query()
+@query(
+    _cut_sql(
+        "SELECT 'exact_tree' AS classifier, concat('{\"max_depth\":\"', CAST(d AS VARCHAR), '\"}') AS params, split, 'accuracy' AS metric, avg(value) AS mean, stddev_pop(value) AS std "
+        "FROM cut GROUP BY d, split",
+        _EXPANDING, 50,
+    ),
+    rounded=("mean", "std"),
+)
 def validation_curve_of_depth(spark, sf_dir):
+    """Exact trees of every depth from 1 to 50 over 10 expanding folds."""
     df = frame(spark, sf_dir)
-    cuts = folds.expanding_folds(df.count(), 2)
-    found = experiment.validation_curve(
-        df, cuts, lambda **s: learner("tree", **s), "max_depth", [1, 2, 4, 8], SPEC, vocabulary_from=df
-    )
-    return experiment.summary(found)
+    parameter, depths = experiment.VALIDATION_RANGES["exact_tree"]
+    return experiment.summary(experiment.depth_sweep(df, folds.expanding_folds(df.count(), 10), depths, SPEC))
 
 
 @query()

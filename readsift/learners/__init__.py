@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from readsift.learners.base import Fitted, fit
+from readsift.learners.exact_tree import ExactTree
 from readsift.learners.neighbour_vote import Neighbours
 from readsift.learners.online import linear_svm, passive_aggressive, perceptron
 from readsift.learners.simple import Dummy, NaiveBayes
@@ -11,6 +12,7 @@ from readsift.learners.spark_ml import Logit, Network, Tree
 LEARNERS = {
     "dummy": Dummy,
     "tree": Tree,
+    "exact_tree": ExactTree,
     "logit": Logit,
     "bayes": NaiveBayes,
     "neighbours": Neighbours,

@@ -7,24 +7,16 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from readsift.config import FeatureSpec
 from readsift.learners.base import Fitted, Learner, fit, labelled
+from readsift.learners.isotonic import IsotonicSteps, isotonic_blocks
 from readsift.operators.encode import Categories, known_categories
 from readsift.operators.folds import INDEX, Fold, folds_of_column, stratified_fold_column
 from readsift.session import in_threads, stage
 
 
-@dataclass(frozen=True)
-class _Isotonic:
-    fitted: object
-
-    def apply(self, df: DataFrame) -> DataFrame:
-        return self.fitted.transform(df)
-
-
 @dataclass(frozen=True)
 class _Sigmoid:
     fitted: object
@@ -35,16 +27,9 @@ class _Sigmoid:
         return out.withColumn("_cal", F.get(vector_to_array("_prob"), F.lit(1))).drop("_score", "_raw", "_prob", "_pred")
 
 
-def fit_isotonic(scored: DataFrame) -> _Isotonic:
-    """Monotone step fit; equal scores are merged first, so its input has one row
-    per distinct score."""
-    merged = scored.groupBy("score").agg(
-        F.avg(F.col("label").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    regression = IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", predictionCol="_cal"
-    )
-    return _Isotonic(regression.fit(merged))
+def fit_isotonic(scored: DataFrame) -> IsotonicSteps:
+    """Monotone step fit of the labels by score."""
+    return IsotonicSteps.of(isotonic_blocks(scored))
 
 
 def fit_sigmoid(scored: DataFrame) -> _Sigmoid:

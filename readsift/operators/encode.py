@@ -7,7 +7,7 @@ from itertools import groupby
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, OneHotEncoder, SQLTransformer, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from readsift.config import FeatureSpec
@@ -44,6 +44,11 @@ def _number(column: str) -> str:
     return f"COALESCE(CAST(`{column}` AS DOUBLE), CAST(raise_error('column {column} holds NULL') AS DOUBLE))"
 
 
+def raw_numbers(spec: FeatureSpec) -> Column:
+    """The numeric and passed-through columns as they are, in the order of ``numbers``."""
+    return F.array(*[F.expr(_number(c)) for c in (*spec.numerical, *spec.passthrough)]).cast("array<double>")
+
+
 def _token(position: int) -> str:
     """Prefix that keeps equal values of different columns apart."""
     return f"{position}="

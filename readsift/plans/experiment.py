@@ -14,11 +14,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from readsift.config import Experiment, FeatureSpec
-from readsift.learners.base import Fitted, Learner, fit, scored_columns
+from readsift.learners.base import Fitted, Learner, fit, labelled, scored_columns
 from readsift.learners.calibration import fit_calibrated
+from readsift.learners.exact_tree import cut_scores, grow, tree_rows
 from readsift.operators import folds as fold_ops, metrics as metric_ops
 from readsift.operators.folds import INDEX, Fold
-from readsift.operators.encode import Categories, known_categories
+from readsift.operators.encode import Categories, fit_encoding, known_categories
 from readsift.operators.rank import seeded_rank
 from readsift.plans.features import align_to
 from readsift.session import in_threads, stage
@@ -150,11 +151,12 @@ def grid(**choices: Iterable) -> list[dict]:
     return [dict(zip(names, values)) for values in itertools.product(*(list(choices[n]) for n in names))]
 
 
-# Parameter ranges declared per learner. Trees end at depth 30 here,
+# Parameter ranges declared per learner. The tree of pyspark.ml ends at depth 30,
 # and a logistic penalty of c = 0 does not exist.
 TUNING_GRIDS = {
     "neighbours": grid(k=[5]),
     "tree": grid(max_depth=range(1, 21)),
+    "exact_tree": grid(max_depth=range(1, 21)),
     "logit": grid(c=[1.0]),
     "perceptron": grid(
         penalty=["l1", "l2"],
@@ -168,6 +170,7 @@ TUNING_GRIDS = {
 VALIDATION_RANGES = {
     "neighbours": ("k", list(range(1, 11))),
     "tree": ("max_depth", list(range(1, 31))),
+    "exact_tree": ("max_depth", list(range(1, 51))),
     "perceptron": ("max_rounds", list(range(500, 10000, 500))),
     "logit": ("c", [0.1 * i for i in range(1, 11)]),
 }
@@ -209,6 +212,39 @@ def validation_curve(df, folds, make, parameter: str, values, spec, **options) -
     return grid_search(df, folds, make, grid(**{parameter: values}), spec, **options)
 
 
+def depth_sweep(
+    df: DataFrame,
+    folds: Sequence[Fold],
+    depths: Sequence[int],
+    spec: FeatureSpec,
+    metrics: Sequence[str] = ("accuracy",),
+    train_scores: bool = True,
+    vocabulary_from: DataFrame | Categories | None = None,
+    local_rows: int | None = None,
+) -> DataFrame:
+    """Scores of exact trees of every depth on every fold, as :func:`grid_search` gives them.
+
+    One tree a fold is grown, all folds' trees together, and cut at every depth. ``fit_seconds`` is a fold's share of
+    the growing.
+    """
+    known = known_categories(vocabulary_from if vocabulary_from is not None else df, spec)
+    encoding, depths = fit_encoding(df, spec, known), list(depths)
+    parts = [F.struct(F.lit(f.number).alias("tree"), F.when(f.train, "train").when(f.test, "test").alias("split")) for f in folds]
+    mine = labelled(tree_rows(encoding.transform(df), spec), spec).withColumn("_part", F.explode(F.filter(F.array(*parts), lambda p: p["split"].isNotNull())))
+    rows = stage(mine.select("_part.*", "hot", "numbers", "label"), "sweep-rows")
+    began = time.monotonic()
+    options = {} if local_rows is None else {"local_rows": local_rows}
+    nodes = grow(rows.where("split = 'train'"), encoding.width_hot, max(depths), **options)
+    seconds = (time.monotonic() - began) / max(len(folds), 1)
+    wanted = rows if train_scores else rows.where("split = 'test'")
+    found = metric_ops.scores(cut_scores(wanted, nodes, encoding.width_hot, depths), metrics, ["tree", "split", "depth"]).collect()
+    made = [
+        ("exact_tree", {"max_depth": str(r["depth"])}, None, r["tree"], r["split"], m, float(r[m]), seconds, depths.index(r["depth"]))
+        for r in found for m in metrics
+    ]
+    return df.sparkSession.createDataFrame(made, RESULT_SCHEMA)
+
+
 def learning_curve(
     df: DataFrame,
     folds: Sequence[Fold],
