@@ -18,7 +18,7 @@ from readsift.learners.spark_ml import tree_nodes
 from readsift.operators import duplicates, folds, metrics
 from readsift.operators.encode import categories, fit_encoding, nonzero_entries, one_hot_long, standardised
 from readsift.operators.profile import vocabulary
-from readsift.plans import experiment
+from readsift.plans import experiment, run
 from readsift.plans.frame import experiment_frame
 from readsift.session import stage
 from readsift.sources.derived import SINCE, derived_warehouse
@@ -107,6 +107,9 @@ class _BetweenNeighbours:
     def fit(self, encoded, encoding):
         return self
 
+    def prefix_scorers(self, encoded, encoding, stops, index):
+        yield stops, self.transform
+
     def transform(self, df):
         inside = F.col("READ_VALUE").between(F.col("PREV_READ"), F.col("NEXT_READ_VALUE"))
         answer = inside.cast("int")
@@ -137,8 +140,8 @@ def _split(spark, sf_dir, setting=_ORDERED):
 def cross_validation_of_rule(spark, sf_dir):
     """Expanding-window scores of a fixed rule, fold by fold."""
     df = frame(spark, sf_dir)
-    cuts = folds.expanding_folds(df.count(), 10)
-    return experiment.cross_validate(df, cuts, _BetweenNeighbours(), SPEC).select("fold", "split", "value")
+    parts = [(None, *bounds) for bounds in folds.expanding_bounds(df.count(), 10)]
+    return experiment.prefix_validate(df, parts, _BetweenNeighbours(), SPEC).select("fold", "split", "value")
 
 
 _SEEDED = "row_number() OVER (PARTITION BY Status ORDER BY md5(concat('0', ':', CAST(row_idx AS VARCHAR))), row_idx) - 1"
@@ -543,17 +546,32 @@ def learning_curve_shuffled(spark, sf_dir):
     return experiment.curve_summary(found)
 
 
+_CURVE_SQL = (
+    "(SELECT CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) AS size, CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) + 1 AS m "
+    "FROM size, range(1, 21) h(k))"
+)
+
+
 @query(
     _sql(
         f"SELECT CAST(size AS BIGINT) AS size, split, avg(value) AS mean, stddev_pop(value) AS std FROM (SELECT size, i, "
-        f"CASE WHEN row_idx < m - (5 - i) * (m // 6) THEN 'train' ELSE 'test' END AS split, {_HIT} AS value "
-        "FROM (SELECT (n * k) // 5 AS size, (n * k) // 5 + 1 AS m FROM size, range(1, 5) h(k)) s, frame, range(5) g(i) "
-        "WHERE row_idx < m - (4 - i) * (m // 6) GROUP BY ALL) GROUP BY 1, 2"
+        f"CASE WHEN row_idx < m - (10 - i) * (m // 11) THEN 'train' ELSE 'test' END AS split, {_HIT} AS value "
+        f"FROM {_CURVE_SQL} s, frame, range(10) g(i) WHERE row_idx < m - (9 - i) * (m // 11) GROUP BY ALL) GROUP BY 1, 2"
     ),
     rounded=('mean', 'std'),
 )
 def learning_curve_expanding_of_rule(spark, sf_dir):
+    """All 20 sizes of 10 expanding folds each, in one pass."""
     df = frame(spark, sf_dir)
-    n = df.count()
-    found = experiment.expanding_learning_curve(df, [n * k // 5 for k in range(1, 5)], 5, _BetweenNeighbours(), SPEC)
+    found = experiment.expanding_learning_curve(df, run.curve_sizes(df.count(), 20), 10, _BetweenNeighbours(), SPEC)
     return experiment.curve_summary(found).select("size", "split", "mean", "std")
+
+
+@query()
+def learning_curve_expanding(spark, sf_dir):
+    """Naive Bayes on all 20 sizes of 10 expanding folds each, every metric."""
+    df = frame(spark, sf_dir)
+    found = experiment.expanding_learning_curve(
+        df, run.curve_sizes(df.count(), 20), 10, learner("bayes"), SPEC, ("accuracy", "precision", "recall")
+    )
+    return experiment.curve_summary(found)

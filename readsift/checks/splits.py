@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from readsift.checks.registering import Book
 from readsift.operators import folds
 from readsift.operators.rank import row_index, seeded_rank
+from readsift.plans.run import curve_sizes
 from readsift.sources.given import given
 
 BOOK = Book()
@@ -179,12 +180,12 @@ def seeded_shuffle(spark, sf_dir):
 @query(
     _sql(
         "SELECT CAST(s.size AS BIGINT) AS size, CAST(i AS INT) AS fold, CASE WHEN row_idx < m - (10 - i) * (m // 11) THEN 'train' ELSE 'test' END AS role, "
-        "CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT (n * k) // 20 AS size, (n * k) // 20 + 1 AS m FROM size, range(1, 20) h(k)) s, "
+        "CAST(count(*) AS BIGINT) AS n_rows FROM (SELECT CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) AS size, "
+        "CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) + 1 AS m FROM size, range(1, 21) h(k)) s, "
         "indexed, range(10) g(i) WHERE row_idx < m - (9 - i) * (m // 11) GROUP BY ALL"
     )
 )
 def learning_curve_sizes(spark, sf_dir):
     """Expanding folds inside growing prefixes: size + 1 rows each, as the curve uses."""
     df = indexed(spark, sf_dir)
-    n = df.count()
-    return folds.expanding_fold_sizes(df, [n * k // 20 for k in range(1, 20)], 10)
+    return folds.expanding_fold_sizes(df, curve_sizes(df.count(), 20), 10)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import groupby, islice
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from readsift.learners.base import table_sum
+from readsift.operators.encode import raw_numbers
+from readsift.operators.exact import Total, binned_sums
 from readsift.operators.rank import seeded_key
+from readsift.session import stage
 
 
 def class_counts(df: DataFrame) -> dict[int, int]:
@@ -74,6 +82,69 @@ class BayesModel:
         return df.withColumn("p1", p1).withColumns({"score": F.col("p1"), "prediction": (F.col("p1") > 0.5).cast("int")})
 
 
+def bayes_tables(
+    sizes: dict[int, int], hits: dict[int, np.ndarray], numbers: dict[int, list[tuple[float, float]]], smoothing: float
+) -> BayesModel:
+    """The model from rows per class, hits per class and slot, and (mean, variance) per class and number."""
+    n, cells = sum(sizes.values()), range(len(next(iter(numbers.values()))))
+
+    def overall_variance(i: int) -> float:
+        mean = sum(sizes[c] * numbers[c][i][0] for c in sizes) / n
+        return sum(sizes[c] * (numbers[c][i][1] + (numbers[c][i][0] - mean) ** 2) for c in sizes) / n
+
+    share = sum(hits[c] for c in sizes) / n
+    floor = smoothing * max([float((share * (1 - share)).max(initial=0.0))] + [overall_variance(i) for i in cells])
+    constant, change, stats = {}, {}, {}
+    for c, size in sizes.items():
+        p = hits[c] / size
+        v = p * (1 - p) + floor
+        stats[c] = [(mean, variance + floor) for mean, variance in numbers[c]]
+        constant[c] = math.log(size / n) + float((-0.5 * np.log(2 * math.pi * v) - p * p / (2 * v)).sum()) + sum(
+            -0.5 * math.log(2 * math.pi * v) for _, v in stats[c]
+        )
+        # An unknown value has no slot.
+        change[c] = [*((p * p - (1 - p) * (1 - p)) / (2 * v)).tolist(), 0.0]
+    return BayesModel(constant, change, stats)
+
+
+#: Weights of prefix models that one job scores by.
+PREFIX_CELLS = 2_000_000
+_NEVER = -1e300  # log probability of a class that a prefix has not seen
+
+
+def _constant(values: list, kind: str = "double"):
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _score_prefixes(df: DataFrame, models: list, spec, slots: int) -> DataFrame:
+    """``df`` with the prediction of the model that ``_at`` names, over slots and unscaled numbers."""
+    raw, totals = raw_numbers(spec), []
+    numbers = len(spec.numerical) + len(spec.passthrough)
+    for c in (0, 1):
+        constant, change, mean, spread = [], [], [], []
+        for m in models:
+            if isinstance(m, BayesModel):
+                constant.append(m.constant[c])
+                change += m.slot_change[c]
+                mean += [x for x, _ in m.number_stats[c]]
+                spread += [2 * v for _, v in m.number_stats[c]]
+            else:
+                constant.append(0.0 if m.prior == c else _NEVER)
+                change += [0.0] * slots
+                mean += [0.0] * numbers
+                spread += [1e300] * numbers
+        change, mean, spread = map(_constant, (change, mean, spread))
+        at = F.col("_at")
+        total = F.get(_constant(constant), at) + F.aggregate(
+            F.transform("hot", lambda s: F.get(change, at * slots + s)), F.lit(0.0), lambda a, x: a + x
+        )
+        if numbers:
+            gap = lambda x, i: (x - F.get(mean, at * numbers + i)) * (x - F.get(mean, at * numbers + i)) / F.get(spread, at * numbers + i)
+            total = total - F.aggregate(F.transform(raw, gap), F.lit(0.0), lambda a, x: a + x)
+        totals.append(total)
+    return df.withColumn("prediction", (totals[1] > totals[0]).cast("int"))
+
+
 @dataclass(frozen=True)
 class NaiveBayes:
     """Gaussian per class and encoded feature, variances from one aggregation.
@@ -86,6 +157,15 @@ class NaiveBayes:
     smoothing: float = 1e-9
     name: str = "bayes"
 
+    def prefix_scorers(self, encoded: DataFrame, encoding, stops: list[int], index: str) -> Iterator[tuple[list[int], Callable]]:
+        """Groups of prefixes and what scores rows by them, so many at once as ``PREFIX_CELLS`` weights allow."""
+        room = max(1, PREFIX_CELLS // (2 * (encoding.width_hot + 1)))
+        models = self.fit_prefixes(encoded, encoding, stops, index)
+        while group := list(islice(models, room)):
+            yield [stop for stop, _ in group], partial(
+                _score_prefixes, models=[m for _, m in group], spec=encoding.spec, slots=encoding.width_hot + 1
+            )
+
     def fit(self, encoded: DataFrame, encoding) -> BayesModel:
         cells = range(encoding.width_numbers)
         number = [F.get("numbers", F.lit(i)) for i in cells]
@@ -99,35 +179,66 @@ class NaiveBayes:
         }
         if not per_class:
             raise ValueError("no training rows")
-        counts = {c: r["rows"] for c, r in per_class.items()}
-        n = sum(counts.values())
-        hits = {
-            (r["label"], r["slot"]): r["n"]
-            for r in encoded.select("label", F.explode("hot").alias("slot"))
+        hits = {c: np.zeros(encoding.width_hot) for c in per_class}
+        for r in (
+            encoded.select("label", F.explode("hot").alias("slot")).where(F.col("slot") < encoding.width_hot)
             .groupBy("label", "slot").agg(F.count(F.lit(1)).alias("n")).collect()
-        }
-
-        def overall_variance(i: int) -> float:
-            mean = sum(counts[c] * per_class[c][f"m{i}"] for c in counts) / n
-            return sum(counts[c] * (per_class[c][f"v{i}"] + (per_class[c][f"m{i}"] - mean) ** 2) for c in counts) / n
-
-        slots = range(encoding.width_hot)
-        overall_share = [sum(hits.get((c, s), 0) for c in counts) / n for s in slots]
-        largest = max(
-            [p * (1 - p) for p in overall_share] + [overall_variance(i) for i in cells], default=0.0
+        ):
+            hits[r["label"]][r["slot"]] = r["n"]
+        numbers = {c: [(r[f"m{i}"], r[f"v{i}"]) for i in cells] for c, r in per_class.items()}
+        return bayes_tables({c: r["rows"] for c, r in per_class.items()}, hits, numbers, self.smoothing)
+
+    def fit_prefixes(self, encoded: DataFrame, encoding, stops: list[int], index: str) -> Iterator[tuple[int, BayesModel | DummyModel]]:
+        """(stop, model of the rows before it) for rising stops, from one pass of sums per window between two stops.
+
+        Running totals of the windows are those of every prefix. Each model scales numbers by its own rows, as a fit of
+        them alone would. The driver holds one window's counts at a time.
+        """
+        columns = [f"_x{i}" for i in range(encoding.width_numbers)]
+        raw, scaled = raw_numbers(encoding.spec), len(encoding.spec.numerical)
+        window = F.size(F.filter(F.array(*map(F.lit, stops)), lambda s: s <= F.col(index))).alias("window")
+        rows = stage(
+            encoded.where(F.col(index) < max(stops)).select(window, "label", "hot", *[F.get(raw, F.lit(i)).alias(c) for i, c in enumerate(columns)]),
+            "windows",
         )
-        floor = self.smoothing * largest
-
-        constant, change, stats = {}, {}, {}
-        for c, size in counts.items():
-            absent, total = [], math.log(size / n)
-            for s in slots:
-                p = hits.get((c, s), 0) / size
-                v = p * (1 - p) + floor
-                total += -0.5 * math.log(2 * math.pi * v) - p * p / (2 * v)
-                absent.append((p * p - (1 - p) * (1 - p)) / (2 * v))
-            stats[c] = [(per_class[c][f"m{i}"], per_class[c][f"v{i}"] + floor) for i in cells]
-            total += sum(-0.5 * math.log(2 * math.pi * v) for _, v in stats[c])
-            constant[c] = total
-            change[c] = absent + [0.0]  # an unknown value has no slot
-        return BayesModel(constant, change, stats)
+        sums: dict[int, dict] = {}
+        for r in binned_sums(rows, columns, ["window", "label"]).collect():
+            sums.setdefault(r["window"], {}).setdefault(r["label"], {}).setdefault(r["column"], Total()).add(r)
+        counts: dict[int, dict[int, int]] = {}
+        for r in rows.groupBy("window", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r["window"], {})[r["label"]] = r["n"]
+        slots = rows.select("window", "label", F.explode("hot").alias("slot")).where(F.col("slot") < encoding.width_hot)
+        # As many groups as the windows have different slots; read back window by window.
+        held = stage(slots.groupBy("window", "label", "slot").agg(F.count(F.lit(1)).alias("n")).orderBy("window"), "window-slots")
+        sizes: dict[int, int] = {}
+        hits: dict[int, np.ndarray] = {}
+        totals: dict[int, dict[str, Total]] = {}
+        by_window = groupby(held.orderBy("window").toLocalIterator(), key=lambda r: r["window"])
+        waiting = next(by_window, None)
+        for at, stop in enumerate(stops):
+            for c, n in counts.get(at, {}).items():
+                sizes[c] = sizes.get(c, 0) + n
+                hits.setdefault(c, np.zeros(encoding.width_hot))
+                own = totals.setdefault(c, {x: Total() for x in columns})
+                for x, total in sums.get(at, {}).get(c, {}).items():
+                    own[x] = own[x] + total
+            if waiting and waiting[0] == at:
+                for r in waiting[1]:
+                    hits[r["label"]][r["slot"]] += r["n"]
+                waiting = next(by_window, None)
+            if len(sizes) == 1:
+                yield stop, DummyModel("most_frequent", float(next(iter(sizes))), 0, "")
+            elif sizes:
+                yield stop, self._prefix_model(dict(sizes), {c: h.copy() for c, h in hits.items()}, totals, columns, scaled)
+
+    def _prefix_model(self, sizes, hits, totals, columns, scaled) -> BayesModel:
+        whole = {x: sum((totals[c][x] for c in sizes), Total()) for x in columns}
+        shift = {x: (whole[x].mean, whole[x].deviation or 1.0) if i < scaled else (0.0, 1.0) for i, x in enumerate(columns)}
+        numbers = {
+            c: [((totals[c][x].mean - shift[x][0]) / shift[x][1], (totals[c][x].deviation / shift[x][1]) ** 2) for x in columns] for c in sizes
+        }
+        model = bayes_tables(sizes, hits, numbers, self.smoothing)
+        # The same densities on the numbers as they are, whose differences are larger by the scale.
+        for c, stats in model.number_stats.items():
+            model.number_stats[c] = [(m * shift[x][1] + shift[x][0], v * shift[x][1] ** 2) for x, (m, v) in zip(columns, stats)]
+        return model

@@ -76,13 +76,17 @@ def sliding_folds(n: int, folds: int, share: float, index: str = INDEX) -> list[
     ]
 
 
-def expanding_folds(n: int, folds: int, index: str = INDEX) -> list[Fold]:
-    """Equal test windows at the end; each trains on everything before it."""
+def expanding_bounds(n: int, folds: int) -> list[tuple[int, int, int]]:
+    """(fold, stop, end): fold trains on the rows before ``stop`` and tests on those from there to ``end``."""
     if folds + 1 > n:
         raise ValueError(f"{folds} folds need more than {folds} rows, got {n}")
     width = n // (folds + 1)
-    starts = [n - (folds - i) * width for i in range(folds)]
-    return [Fold(i, F.col(index) < s, _between(index, s, s + width)) for i, s in enumerate(starts)]
+    return [(i, n - (folds - i) * width, n - (folds - i - 1) * width) for i in range(folds)]
+
+
+def expanding_folds(n: int, folds: int, index: str = INDEX) -> list[Fold]:
+    """Equal test windows at the end; each trains on everything before it."""
+    return [Fold(i, F.col(index) < stop, _between(index, stop, end)) for i, stop, end in expanding_bounds(n, folds)]
 
 
 def stratified_fold_column(

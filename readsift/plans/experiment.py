@@ -71,6 +71,50 @@ def cross_validate(
     return _run(tasks, df.sparkSession, parallelism)
 
 
+def prefix_validate(
+    df: DataFrame,
+    parts: Sequence[tuple[int | None, int, int, int]],
+    learner: Learner,
+    spec: FeatureSpec,
+    metrics: Sequence[str] = ("accuracy",),
+    train_scores: bool = True,
+    vocabulary_from: DataFrame | Categories | None = None,
+    index: str = INDEX,
+) -> DataFrame:
+    """Scores of a learner trained on prefixes: parts (size, fold, stop, end) train on the rows before ``stop`` and test on
+    those from there to ``end``.
+
+    The learner has ``prefix_scorers``: all prefixes are fitted from one pass of sums per window between two stops, and
+    a row is scored for all its parts in one pass a group of them. Scores are those of a fit per part; ``fit_seconds``
+    is a part's share. A part whose train rows are none is left out. Categories are those of ``vocabulary_from``, or
+    of all rows: a value that a prefix lacks has no weight there either way.
+    """
+    known = known_categories(vocabulary_from if vocabulary_from is not None else df, spec)
+    encoding = fit_encoding(df, spec, known)
+    encoded = labelled(encoding.transform(df), spec)
+    stops, began, rows = sorted({stop for _, _, stop, _ in parts}), time.monotonic(), []
+    for group, score in learner.prefix_scorers(encoded, encoding, stops, index):
+        mine = [p for p in parts if p[2] in group]
+        constants = {k: F.array(*map(F.lit, v)) for k, v in {
+            "stop": [p[2] for p in mine], "end": [p[3] for p in mine], "at": [group.index(p[2]) for p in mine]
+        }.items()}
+
+        def role(i, constants=constants):
+            before = F.when(F.col(index) < F.get(constants["stop"], i), "train")
+            return F.struct(i.alias("part"), before.when(F.col(index) < F.get(constants["end"], i), "test").alias("split"))
+
+        roles = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(mine) - 1)), lambda i: role(i)), lambda r: r["split"].isNotNull())
+        if not train_scores:
+            roles = F.filter(roles, lambda r: r["split"] == "test")
+        dealt = encoded.where(F.col(index) < max(p[3] for p in mine)).withColumn("_role", F.explode(roles))
+        scored = score(dealt.select("*", "_role.part", "_role.split").withColumn("_at", F.get(constants["at"], F.col("part"))))
+        for r in metric_ops.scores(scored, metrics, ["part", "split"]).collect():
+            size, fold, _, _ = mine[r["part"]]
+            rows += [(learner.name, {}, size, fold, r["split"], m, float(r[m]), 0.0, 0) for m in metrics]
+    share = (time.monotonic() - began) / max(len(parts), 1)
+    return df.sparkSession.createDataFrame([(*r[:7], share, r[8]) for r in rows], RESULT_SCHEMA)
+
+
 def summary(results: DataFrame, by: Sequence[str] = ("classifier", "params", "split", "metric")) -> DataFrame:
     """Mean and population deviation over folds. A map column groups by its text."""
     shown = results.withColumn("params", F.to_json("params")) if "params" in by else results
@@ -289,7 +333,12 @@ def expanding_learning_curve(
     index: str = INDEX,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Expanding-window validation on growing prefixes; a size of s takes s + 1 rows."""
+    """Expanding-window validation on growing prefixes; a size of s takes s + 1 rows.
+
+    A learner that can fit all prefixes together does so (:func:`prefix_validate`), others are fitted once a part."""
+    if hasattr(learner, "prefix_scorers"):
+        parts = [(size, *bounds) for size in sizes for bounds in fold_ops.expanding_bounds(size + 1, folds)]
+        return prefix_validate(df, parts, learner, spec, metrics, True, vocabulary_from, index)
     vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []
     for size in sizes:
