@@ -140,8 +140,7 @@ def _split(spark, sf_dir, setting=_ORDERED):
 def cross_validation_of_rule(spark, sf_dir):
     """Expanding-window scores of a fixed rule, fold by fold."""
     df = frame(spark, sf_dir)
-    parts = [(None, *bounds) for bounds in folds.expanding_bounds(df.count(), 10)]
-    return experiment.prefix_validate(df, parts, _BetweenNeighbours(), SPEC).select("fold", "split", "value")
+    return experiment.prefix_validate(df, experiment.expanding_parts(df.count(), 10), _BetweenNeighbours(), SPEC).select("fold", "split", "value")
 
 
 _SEEDED = "row_number() OVER (PARTITION BY Status ORDER BY md5(concat('0', ':', CAST(row_idx AS VARCHAR))), row_idx) - 1"
@@ -475,7 +474,7 @@ def _calibration(method):
         df, n, train, _ = _split(spark, sf_dir)
         size = folds.ordered_train_size(n, _ORDERED.train_share)
         inner_train, inner_test = experiment.holdout(train, size, _ORDERED)
-        cuts = folds.expanding_folds(folds.ordered_train_size(size, _ORDERED.train_share), 5)
+        cuts = folds.expanding_folds(folds.ordered_train_size(size, _ORDERED.train_share), _ORDERED.folds)
         scored = experiment.calibration_test(inner_train, inner_test, learner("bayes"), cuts, SPEC, method, df)
         return metrics.compare_models(scored)
 
@@ -538,11 +537,11 @@ def validation_curve_of_depth(spark, sf_dir):
 
 @query()
 def learning_curve_shuffled(spark, sf_dir):
+    """Naive Bayes on 5 to 95 per cent of each of 10 stratified folds' train rows."""
     df = frame(spark, sf_dir)
-    dealt = stage(folds.stratified_fold_column(df, config.TARGET_COLUMN, 2, 0), "dealt")
-    found = experiment.learning_curve(
-        dealt, folds.folds_of_column(2), learner("bayes"), [0.25, 0.5, 1.0], SPEC, vocabulary_from=df
-    )
+    dealt = stage(folds.stratified_fold_column(df, config.TARGET_COLUMN, 10, 0), "dealt")
+    shares = run.curve_fractions(_SHUFFLED)
+    found = experiment.learning_curve(dealt, folds.folds_of_column(10), learner("bayes"), shares, SPEC, vocabulary_from=df)
     return experiment.curve_summary(found)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import time
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -71,9 +72,24 @@ def cross_validate(
     return _run(tasks, df.sparkSession, parallelism)
 
 
+@dataclass(frozen=True)
+class PrefixPart:
+    """Train on the rows before ``stop``, test on those from ``start`` to ``end``; ``size`` and ``fold`` are labels."""
+
+    size: int | None
+    fold: int
+    stop: int
+    start: int
+    end: int
+
+
+def expanding_parts(n: int, folds: int, size: int | None = None) -> list[PrefixPart]:
+    return [PrefixPart(size, fold, stop, stop, end) for fold, stop, end in fold_ops.expanding_bounds(n, folds)]
+
+
 def prefix_validate(
     df: DataFrame,
-    parts: Sequence[tuple[int | None, int, int, int]],
+    parts: Sequence[PrefixPart],
     learner: Learner,
     spec: FeatureSpec,
     metrics: Sequence[str] = ("accuracy",),
@@ -81,8 +97,7 @@ def prefix_validate(
     vocabulary_from: DataFrame | Categories | None = None,
     index: str = INDEX,
 ) -> DataFrame:
-    """Scores of a learner trained on prefixes: parts (size, fold, stop, end) train on the rows before ``stop`` and test on
-    those from there to ``end``.
+    """Scores of a learner trained on prefixes of the order of ``index``.
 
     The learner has ``prefix_scorers``: all prefixes are fitted from one pass of sums per window between two stops, and
     a row is scored for all its parts in one pass a group of them. Scores are those of a fit per part; ``fit_seconds``
@@ -92,25 +107,25 @@ def prefix_validate(
     known = known_categories(vocabulary_from if vocabulary_from is not None else df, spec)
     encoding = fit_encoding(df, spec, known)
     encoded = labelled(encoding.transform(df), spec)
-    stops, began, rows = sorted({stop for _, _, stop, _ in parts}), time.monotonic(), []
+    stops, began, rows = sorted({p.stop for p in parts}), time.monotonic(), []
     for group, score in learner.prefix_scorers(encoded, encoding, stops, index):
-        mine = [p for p in parts if p[2] in group]
-        constants = {k: F.array(*map(F.lit, v)) for k, v in {
-            "stop": [p[2] for p in mine], "end": [p[3] for p in mine], "at": [group.index(p[2]) for p in mine]
-        }.items()}
+        mine = [p for p in parts if p.stop in group]
+        constants = {k: F.array(*[F.lit(getattr(p, k)) for p in mine]) for k in ("stop", "start", "end")}
+        constants["at"] = F.array(*[F.lit(group.index(p.stop)) for p in mine])
 
         def role(i, constants=constants):
-            before = F.when(F.col(index) < F.get(constants["stop"], i), "train")
-            return F.struct(i.alias("part"), before.when(F.col(index) < F.get(constants["end"], i), "test").alias("split"))
+            at, bound = F.col(index), {k: F.get(constants[k], i) for k in ("stop", "start", "end")}
+            tested = (at >= bound["start"]) & (at < bound["end"])
+            return F.struct(i.alias("part"), F.when(at < bound["stop"], "train").when(tested, "test").alias("split"))
 
         roles = F.filter(F.transform(F.sequence(F.lit(0), F.lit(len(mine) - 1)), lambda i: role(i)), lambda r: r["split"].isNotNull())
         if not train_scores:
             roles = F.filter(roles, lambda r: r["split"] == "test")
-        dealt = encoded.where(F.col(index) < max(p[3] for p in mine)).withColumn("_role", F.explode(roles))
+        dealt = encoded.where(F.col(index) < max(p.end for p in mine)).withColumn("_role", F.explode(roles))
         scored = score(dealt.select("*", "_role.part", "_role.split").withColumn("_at", F.get(constants["at"], F.col("part"))))
         for r in metric_ops.scores(scored, metrics, ["part", "split"]).collect():
-            size, fold, _, _ = mine[r["part"]]
-            rows += [(learner.name, {}, size, fold, r["split"], m, float(r[m]), 0.0, 0) for m in metrics]
+            part = mine[r["part"]]
+            rows += [(learner.name, {}, part.size, part.fold, r["split"], m, float(r[m]), 0.0, 0) for m in metrics]
     share = (time.monotonic() - began) / max(len(parts), 1)
     return df.sparkSession.createDataFrame([(*r[:7], share, r[8]) for r in rows], RESULT_SCHEMA)
 
@@ -303,12 +318,25 @@ def learning_curve(
 ) -> DataFrame:
     """Scores after training on growing shares of each fold's train rows, taken in
     seeded random order; ``size`` is the number of rows trained on. All folds use the sizes
-    that the smallest one allows, so a size's mean is over every fold."""
+    that the smallest one allows, so a size's mean is over every fold. A learner that can fit all prefixes together
+    does so, fold by fold."""
     vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []
     ranks = [stage(seeded_rank(df.where(f.train).select(index), index, seed, (), "_rank"), "curve-ranks") for f in folds]
     n = min(r.count() for r in ranks)
     sizes = sorted({max(1, int(share * n)) for share in fractions})
+    if hasattr(learner, "prefix_scorers"):
+        known = vocabulary_from if vocabulary_from is not None else known_categories(df, spec)
+
+        def one(f: Fold, ranked: DataFrame) -> DataFrame:
+            # Test rows stand behind all train rows, at one place.
+            behind = ranked.count()
+            ordered = stage(df.where(f.train | f.test).join(ranked, index, "left").withColumn("_rank", F.coalesce("_rank", F.lit(behind))), "curve-rows")
+            parts = [PrefixPart(size, f.number, size, behind, behind + 1) for size in sizes]
+            return prefix_validate(ordered, parts, learner, spec, metrics, True, known, "_rank")
+
+        tasks = [lambda f=f, r=r: one(f, r) for f, r in zip(folds, ranks)]
+        return reduce(DataFrame.unionByName, in_threads(tasks, df.sparkSession, parallelism))
     for f, ranked in zip(folds, ranks):
         # Read by every size of the fold, so the join is done once.
         shuffled = stage(df.join(ranked, index, "left"), "curve-rows")
@@ -337,7 +365,7 @@ def expanding_learning_curve(
 
     A learner that can fit all prefixes together does so (:func:`prefix_validate`), others are fitted once a part."""
     if hasattr(learner, "prefix_scorers"):
-        parts = [(size, *bounds) for size in sizes for bounds in fold_ops.expanding_bounds(size + 1, folds)]
+        parts = [p for size in sizes for p in expanding_parts(size + 1, folds, size)]
         return prefix_validate(df, parts, learner, spec, metrics, True, vocabulary_from, index)
     vocabulary_from = known_categories(vocabulary_from, spec)
     tasks = []

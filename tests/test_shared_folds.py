@@ -62,8 +62,23 @@ def test_prefix_models_equal_single_models(rows):
 
 
 def test_test_scores_alone(rows):
-    parts = [(None, *b) for b in folds.expanding_bounds(400, 4)]
-    found = experiment.prefix_validate(rows, parts, learner("bayes"), SPEC, train_scores=False)
+    found = experiment.prefix_validate(rows, experiment.expanding_parts(400, 4), learner("bayes"), SPEC, train_scores=False)
     assert {(r.fold, r.split) for r in found.collect()} == {(i, "test") for i in range(4)}
     with pytest.raises(ValueError):
         folds.expanding_bounds(3, 3)
+
+
+def test_shuffled_curves_are_those_of_single_fits(rows):
+    dealt = folds.stratified_fold_column(rows, "y", 3, 0)
+    cuts = folds.folds_of_column(3)
+
+    class Alone:
+        """The same learner without a way to fit prefixes together."""
+
+        def __init__(self):
+            self.fit, self.name = learner("bayes").fit, "bayes"
+
+    shared, alone = (
+        _by_part(experiment.learning_curve(dealt, cuts, one, [0.3, 1.0], SPEC, vocabulary_from=rows)) for one in (learner("bayes"), Alone())
+    )
+    assert shared == alone and len(shared) == 2 * 3 * 2
