@@ -334,7 +334,7 @@ def bayes_predictions(spark, sf_dir):
     return scored.select("row_idx", "label", "prediction")
 
 
-for _name in ("tree", "logit", "network", "perceptron", "passive_aggressive", "linear_svm"):
+for _name in ("tree", "logit", "network", "rectified_network", "perceptron", "passive_aggressive", "linear_svm"):
     query()(_holdout_scores(_name))
 
 

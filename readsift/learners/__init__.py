@@ -6,6 +6,7 @@ from readsift.learners.base import Fitted, fit
 from readsift.learners.exact_tree import ExactTree
 from readsift.learners.neighbour_vote import Neighbours
 from readsift.learners.online import linear_svm, passive_aggressive, perceptron
+from readsift.learners.rectified import RectifiedNetwork
 from readsift.learners.simple import Dummy, NaiveBayes
 from readsift.learners.spark_ml import Logit, Network, Tree
 
@@ -17,6 +18,7 @@ LEARNERS = {
     "bayes": NaiveBayes,
     "neighbours": Neighbours,
     "network": Network,
+    "rectified_network": RectifiedNetwork,
     "perceptron": perceptron,
     "passive_aggressive": passive_aggressive,
     "linear_svm": linear_svm,
