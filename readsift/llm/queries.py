@@ -127,10 +127,10 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 @_query
 def op2_positional_decontamination(spark, sf_dir):
-    """Hits of all benchmark items in every document."""
+    """Hits of all benchmark items in every document, and items of which 4 rare words stand in 26 words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontaminate.contamination(docs, items).drop("_hash")
+    return decontaminate.contamination(docs, items, near=(13, 4)).drop("_hash")
 
 
 ORACLES["op2_positional_decontamination"] = """
@@ -154,10 +154,22 @@ hit AS (
   FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM (SELECT DISTINCT doc_id, s, k FROM found)) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id),
+item_words AS (SELECT item_id, w AS whole, k, unnest(w) AS t, unnest(range(0, len(w))) AS p, len(w) AS n FROM items),
+doc_words AS (SELECT id AS doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS pos FROM split WHERE is_item = 0),
+seen AS (SELECT t, count(*) AS f FROM doc_words WHERE t IN (SELECT t FROM item_words) GROUP BY t),
+rare AS (
+  SELECT DISTINCT item_id, t FROM (
+    SELECT item_id, t, row_number() OVER (PARTITION BY item_id, whole, s ORDER BY f, p) AS nth
+    FROM (SELECT item_id, whole, t, p, unnest(range(greatest(p - k + 1, 0), least(p, n - k) + 1)) AS s FROM item_words) JOIN seen USING (t)) WHERE nth <= 2),
+close AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT doc_id, item_id, b FROM (SELECT doc_id, t, unnest([pos // 13 - 1, pos // 13]) AS b FROM doc_words) JOIN rare USING (t)
+    GROUP BY doc_id, item_id, b HAVING count(DISTINCT t) >= 4) GROUP BY doc_id)
 SELECT s.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM split s LEFT JOIN hit h ON h.doc_id = s.id LEFT JOIN named n ON n.doc_id = s.id WHERE is_item = 0
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0) AS n_near
+FROM split s LEFT JOIN hit h ON h.doc_id = s.id LEFT JOIN named n ON n.doc_id = s.id LEFT JOIN close c ON c.doc_id = s.id WHERE is_item = 0
 """
 
 

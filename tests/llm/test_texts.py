@@ -245,3 +245,39 @@ def test_reworded_items_are_near_words(spark):
         known = sorted((w for w in text.split() if counts[w]), key=lambda w: (sum(x.count(w) for x in split.values()), text.split().index(w)))
         expected |= {(d, str(i)) for d, words in split.items() if len(set(known[:2]) & set(words)) >= 2}
     assert {(r.doc_id, r["item"]) for r in found} == expected and len(expected) >= 4
+
+
+def test_items_of_many_words(spark):
+    pick = random.Random(21)
+    words = [f"w{pick.randrange(20_000)}" for _ in range(50_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(["no", *words[700:730], "yes"])), (3, " ".join(words[::2]))]
+    items = [(7, " ".join(words))]
+    found = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    ).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in found} == {1: (50_000, 50_000, 1), 2: (32, 30, 1), 3: (25_000, 0, 0)}
+
+
+@pytest.mark.parametrize("near", [(13, 4), (5, 2)])
+def test_items_near_by_every_stretch(spark, benchmarked, near):
+    docs, items = benchmarked
+    docs = [*docs, (20, " ".join(reversed(items[0][1].split()))), (21, None)]
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    # A document is counted once however often its row is repeated only if the rows are read again; counts see all rows.
+    counts = Counter(w for _, t in docs for w in split(t))
+    rare = {}
+    for item, text in items:
+        w = split(text)
+        for s in range(max(len(w) - 12, 1)) if item is not None and w else ():
+            known = sorted((counts[t], p, t) for p, t in enumerate(w) if s <= p < s + 13 and counts[t])
+            rare.setdefault(str(item), set()).update(t for _, _, t in known[:2])
+    within, at_least = near
+    expected = Counter()
+    for doc, text in docs:
+        w = split(text)
+        blocks = [set(w[max(b * within, 0) : (b + 2) * within]) for b in range(-1, len(w) // within + 1)]
+        expected[doc, sum(any(len(terms & held) >= at_least for held in blocks) for terms in rare.values())] += 1
+    found = decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), near=near
+    ).collect()
+    assert Counter((r.doc_id, r.n_near) for r in found) == expected and max(n for _, n in expected) > 0
