@@ -547,7 +547,7 @@ def learning_curve_shuffled(spark, sf_dir):
 
 _CURVE_SQL = (
     "(SELECT CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) AS size, CAST(floor(CAST(0.9 AS DOUBLE) * n * k / 20) AS BIGINT) + 1 AS m "
-    "FROM size, range(1, 21) h(k))"
+    "FROM size, range(1, 21) h(k) WHERE floor(CAST(0.9 AS DOUBLE) * n * k / 20) >= 10)"
 )
 
 
@@ -560,9 +560,9 @@ _CURVE_SQL = (
     rounded=('mean', 'std'),
 )
 def learning_curve_expanding_of_rule(spark, sf_dir):
-    """All 20 sizes of 10 expanding folds each, in one pass."""
+    """All 20 sizes of 10 expanding folds each, in one pass; a prefix of fewer than 11 rows has no 10 folds."""
     df = frame(spark, sf_dir)
-    found = experiment.expanding_learning_curve(df, run.curve_sizes(df.count(), 20), 10, _BetweenNeighbours(), SPEC)
+    found = experiment.expanding_learning_curve(df, run.curve_sizes(df.count(), 20, 10), 10, _BetweenNeighbours(), SPEC)
     return experiment.curve_summary(found).select("size", "split", "mean", "std")
 
 
@@ -571,6 +571,6 @@ def learning_curve_expanding(spark, sf_dir):
     """Naive Bayes on all 20 sizes of 10 expanding folds each, every metric."""
     df = frame(spark, sf_dir)
     found = experiment.expanding_learning_curve(
-        df, run.curve_sizes(df.count(), 20), 10, learner("bayes"), SPEC, ("accuracy", "precision", "recall")
+        df, run.curve_sizes(df.count(), 20, 10), 10, learner("bayes"), SPEC, ("accuracy", "precision", "recall")
     )
     return experiment.curve_summary(found)

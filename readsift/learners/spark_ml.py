@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -14,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from readsift.learners.simple import DummyModel, class_counts
-from readsift.session import staging_root
+from readsift.session import staged_path
 
 _DEEPEST_TREE = 30  # Limit of the tree learner in pyspark.ml.
 
@@ -102,7 +101,7 @@ def tree_nodes(spark, model: MlModel) -> DataFrame:
 
     Reads the table that saving the model writes.
     """
-    path = f"{staging_root(spark)}/readsift/tree-{uuid.uuid4().hex}"
+    path = staged_path(spark, "tree")
     model.fitted.save(path)
     counts = F.col("impurityStats")
     leaf = F.col("leftChild") < 0

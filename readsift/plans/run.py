@@ -23,9 +23,10 @@ from readsift.session import stage
 _LARGEST_PREFIX = 0.9
 
 
-def curve_sizes(n: int, steps: int) -> list[int]:
-    """Prefix sizes of the expanding learning curve: equal steps up to nine tenths."""
-    return [int(_LARGEST_PREFIX * n * i / steps) for i in range(1, steps + 1)]
+def curve_sizes(n: int, steps: int, folds: int = 0) -> list[int]:
+    """Prefix sizes of the expanding learning curve: equal steps up to nine tenths. Prefixes too short for that many
+    ``folds`` are left out."""
+    return [size for i in range(1, steps + 1) if (size := int(_LARGEST_PREFIX * n * i / steps)) >= folds]
 
 
 def curve_fractions(settings: Experiment) -> list[float]:
