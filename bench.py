@@ -27,7 +27,7 @@ HEADLINE = (
     "confusion_matrix", "calibration_curve", "model_comparison", "encoded_vectors",
     "neighbour_predictions", "near_duplicates", "bayes_predictions", "tree_predictions",
     "perceptron_predictions", "cross_validation_of_rule",
-    "exact_tree_predictions", "validation_curve_of_depth", "learning_curve_expanding_of_rule",
+    "exact_tree_predictions", "learning_curve_expanding_of_rule",
 )
 
 
