@@ -5,7 +5,9 @@ instant before it and the first one after it, per key. A key's timeline is cut
 into slices of calendar time, so no key, however long its history, has to fit in
 one task:
 
-1. copies of an instant collapse before the first shuffle;
+1. all rows are partitioned once, by key and slice; collapsing the copies of an
+   instant, the window inside a slice and the slice summaries all use that one
+   exchange, and a hot key still spreads over as many tasks as it has slices;
 2. inside a slice, ``lag``/``lead`` over distinct instants answer most probes;
 3. each slice is summarised in one row (first, last, second-last instant), the
    summaries are carried over slice borders, and join back to the probes.
@@ -44,16 +46,17 @@ def neighbour_instants(
     keys = [*by, on]
     # Both branches below read the same columns of the sliced timeline and, with
     # the NULL tests stated here, push the same filters down: they share its exchange.
+    sliced = [*by, "_slice"]
     timeline = (
         base.select(*keys, F.lit(_BASE).alias("_role"))
         .unionByName(probes.select(*keys, F.lit(_PROBE).alias("_role")))
-        .groupBy(*keys)
-        .agg(F.bit_or("_role").alias("_role"))
         .withColumn("_slice", slice_of(F.col(on)))
         .where(reduce(and_, [F.col(c).isNotNull() for c in (*keys, "_slice")]))
+        .repartition(*sliced)
+        .groupBy(*sliced, on)
+        .agg(F.bit_or("_role").alias("_role"))
         .withColumn("_at", F.when(F.col("_role").bitwiseAND(_BASE) > 0, F.col(on)))
     )
-    sliced = [*by, "_slice"]
     located = timeline.select(
         "*",
         _over("lag(_at, 1)", sliced, on).alias("_prev"),

@@ -58,6 +58,23 @@ def test_coarser_slices_give_the_same_answer(spark):
     assert {tuple(r) for r in monthly.collect()} == {tuple(r) for r in neighbour_instants(*args).collect()}
 
 
+def test_timeline_is_exchanged_once(spark):
+    rows = [(1, START + timedelta(days=i), i) for i in range(5)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = neighbour_instants(_frame(spark, rows), _frame(spark, rows), ["k"], "t")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    exchanges = [line.split("- ")[-1] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    made = [line for line in exchanges if not line.startswith("ReusedExchange")]
+    # The rows move once, by key and slice, and are used twice; no exchange is by instant.
+    of_rows = [line for line in made if "REPARTITION" in line]
+    assert len(of_rows) == 1 and "_slice" in of_rows[0] and plan.count("ReusedExchange") == 1
+    assert not any(" t#" in line.partition(")")[0] for line in made)
+
+
 def test_copies_of_the_neighbour_fan_out(spark):
     base = [(1, START, 10), (1, START, 11), (1, START - timedelta(days=2), 12)]
     probes = _frame(spark, [(1, START + timedelta(hours=1), 0)]).drop("v")
