@@ -152,6 +152,52 @@ def test_templates_nest_classes(spark):
     assert items.tokens == ["html>body>ul>li"] and (items.n_low, items.n_high) == (1, 4) and items.parent == frame["class"]
 
 
+def _site(spark, bodies, host="http://n.org"):
+    rows = [(i, f"{host}/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def test_template_decides_where_the_markup_says_nothing(spark):
+    menu = '<div class="c1"><ul><li>Home</li><li>Products</li></ul></div>'
+    story = '<div class="c2"><p>Story {0} begins.</p><h2>Background</h2><p>More of {0}.</p></div>'
+    foot = '<div class="c3"><p>All rights reserved.</p></div>'
+    found = _site(spark, [menu + story.format(i) + foot for i in range(8)])
+    assert found == {i: f"Story {i} begins.\n\nBackground\n\nMore of {i}." for i in range(8)}
+    # The open page's item of the menu is marked, equal pages count once, and markup may be flat.
+    active = [menu.replace("<li>Home", '<li class="on">Home') if i == 3 else menu for i in range(8)]
+    found = _site(spark, [m + story.format(i) + foot for i, m in enumerate(active)] + [menu + story.format(0) + foot] * 20)
+    assert found[3].startswith("Story 3") and found[27] == found[0] and found[0].startswith("Story 0")
+    found = _site(spark, [f"<p>Home<p>About<p>Text {i}<p>Contents<p>End {i}<p>All rights reserved" for i in range(4)])
+    assert found == {i: f"Text {i}\n\nContents\n\nEnd {i}" for i in range(4)}
+
+
+def test_template_is_not_guessed(spark):
+    # Two pages are too few, and of pages that are copies of each other nothing is dropped.
+    two = _site(spark, ["<div><p>Same</p></div><div><p>Own a</p></div>", "<div><p>Same</p></div><div><p>Own b</p></div>"])
+    assert two == {0: "Same\n\nOwn a", 1: "Same\n\nOwn b"}
+    copies = _site(spark, [f"<div data-n={i}><p>One text</p><p>of all pages</p></div>" for i in range(5)])
+    assert set(copies.values()) == {"One text\n\nof all pages"}
+    # What an article element holds stays, however many pages have it.
+    shared = _site(spark, [f"<article><h1>Report</h1><p>Own {i}</p><p>Sources: none</p></article>" for i in range(5)])
+    assert shared == {i: f"Report\n\nOwn {i}\n\nSources: none" for i in range(5)}
+
+
+def test_articles_of_readers_are_not_the_story(spark):
+    story = '<div class="c2"><p>The story {0}.</p></div>'
+    marked = "".join(f'<article class="comment">Reader {i}</article>' for i in range(3))
+    assert html_text.main_text(f"<body>{story.format(1)}{marked}</body>", set()) == "The story 1."
+    held = '<div id="comments"><article>Reader</article><article>Reader too</article></div>'
+    assert html_text.main_text(f"<body>{story.format(1)}{held}</body>", set()) == "The story 1."
+    # Without such names the site tells: some pages have several of these articles, so on none are they the story.
+    found = _site(spark, [story.format(i) + "".join(f"<section><article>Voice {i} {j}</article></section>" for j in range(i)) for i in range(5)])
+    assert all(text.startswith(f"The story {i}.") for i, text in found.items())
+
+
+def test_formulas_and_sections_of_the_article_stay():
+    body = '<article><p>Let <math><mi>x</mi></math> be.</p><section id="search">How to search</section></article>'
+    assert html_text.main_text(f"<body>{body}</body>", set()).split() == "Let x be. How to search".split()
+
+
 def test_page_rows_are_kept(spark):
     rows = [(1, "http://a.org/", PAGE, "k"), (1, "http://a.org/", PAGE, "k"), (2, None, None, "k"), (None, "", "", "k"), (3, "http://b.org", "<p>x" * 3000, "k")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
