@@ -267,9 +267,10 @@ def tokens(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return found.withColumn("shape", F.xxhash64("shape")).distinct()
 
 
-def sited(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``site``: the host, or for hosts of one page the set of tokens."""
-    size = counts.groupBy("host").agg(F.min("page").alias("_a"), F.max("page").alias("_b"))
+def sited(counts: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``counts`` with ``site``: the host, or for hosts of one page the set of tokens. ``places`` has host and page of all
+    pages that are not blank, where they can be had without reading tokens."""
+    size = (counts if places is None else places).groupBy("host").agg(F.min("page").alias("_a"), F.max("page").alias("_b"))
     single = stage(size.where("_a = _b").select("host", F.lit(True).alias("_single")), "single-hosts")
     shape = F.concat(F.lit("shape:"), F.col("shape"))
     return counts.join(if_small(single, SMALL_ROWS), "host", "left").select(
@@ -310,7 +311,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", name: str =
     empty table gives no rows.
     """
     kept = pages.drop(name)
-    counts = stage(sited(tokens(kept, url, page)), "page-tokens")
+    places = kept.where(F.length(F.trim(F.col(page))) > 0).select(_host(F.col(url)).alias("host"), _page_key(url, page).alias("page"))
+    counts = stage(sited(tokens(kept, url, page), places), "page-tokens")
     found = stage(templates(counts), "templates")
     token = F.col("token")
     parts = found.select("site", F.explode("tokens").alias("token"), F.expr("n_low = 1 AND n_high = 1 AND share = 1").alias("once"))
