@@ -285,12 +285,15 @@ def templates(counts: DataFrame, frequent: float = FREQUENT) -> DataFrame:
     A site is only ever a key of sums that are combined before the shuffle: a vector is kept as a sum of one hash
     per page, so equal hashes stand for equal vectors."""
     totals = counts.select("site", "page").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("_pages"))
+    totals = if_small(stage(totals, "site-sizes"), SMALL_ROWS)
     vectors = counts.groupBy("site", "token").agg(
         F.count(F.lit(1)).alias("support"), F.expr("bit_xor(xxhash64(page, n))").alias("class"),
         F.min("n").alias("n_low"), F.max("n").alias("n_high"),
     )
-    held = vectors.join(totals, "site").where(F.col("support") >= frequent * F.col("_pages"))
-    held = held.where(~F.col("token").rlike(_TEXT) | (F.col("_pages") >= MIN_PAGES))
+    # Blocks of too few pages for the smallest site that has template blocks, most of all blocks, go before the join.
+    is_text = F.col("token").rlike(_TEXT)
+    held = vectors.where(~is_text | (F.col("support") >= frequent * MIN_PAGES)).join(totals, "site")
+    held = held.where((F.col("support") >= frequent * F.col("_pages")) & (~is_text | (F.col("_pages") >= MIN_PAGES)))
     # What stands around a token is its path without the last element. It is in every page that the token is in, so
     # support never grows inwards, and a token nests if the one around it is frequent too (or there is none).
     around = F.regexp_replace("token", r">?[^>]*$", "")
