@@ -3,8 +3,10 @@
 Only texts trusted to be good are labelled; the rest of the web is a mix. The non-negative PU risk
 ``p * E_P[loss(g, +1)] + max(0, E_U[loss(g, -1)] - p * E_P[loss(g, -1)])`` is an unbiased estimate of the
 risk with both labels, kept from falling below zero (where it would only over-fit the positives). p is the class
-prior, estimated from the labelled training rows. The model is linear over thresholds of surface features, so
-scoring is one pass without a shuffle.
+prior, estimated from trusted positives and unlabelled texts alone: no row labelled bad is ever used. A first model
+ranks the texts, and the share of unlabelled texts above a score divided by the share of positives above it cannot be
+less than p; where the best texts are all good it comes down to p (best bin estimation). The model is linear over
+thresholds of surface features, so scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from readsift.llm.common import if_small
 from readsift.session import stage
 
-#: Rows of each kind that the fit reads, about: a hash of doc_id draws them. Raising it only costs driver memory.
+#: Rows of each kind that the fit reads at most: a hash of doc_id and text draws them. Raising it only costs driver memory.
 MAX_TRAIN = 20_000
 FOLDS = 5
+_SURE = 0.1  # how often the bounds of the prior may fail
 _CUTS = 9  # thresholds per feature, at even quantiles of the unlabelled sample
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -98,40 +101,66 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _drawn(df: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` of the rows, drawn by a hash of doc_id; all of them if there are no more."""
-    share = min(1.0, rows / max(df.count(), 1))
-    return df.where(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-
-
-def _matrix(df: DataFrame) -> np.ndarray:
-    """Features of a bounded sample, on the driver."""
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 2, parts: int = 5) -> float:
+    """Share of good texts among the unlabelled ones, by best bin estimation.
+
+    Each of ``parts`` of both samples is ranked by a model fitted to the others. Of all scores the one is taken at which the
+    ratio of the tails, with an allowance for the samples' size, is least. Every ranking bounds the share from above, so the
+    least ratio of all rounds holds, and the next round's models are fitted with it. Too few rows to tell give 0.5."""
+    if min(len(positive), len(unlabelled)) < parts:
+        return 0.5
+    allowance = np.sqrt(np.log(4 / _SURE) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    in_p, in_u = np.arange(len(positive)) % parts, np.arange(len(unlabelled)) % parts
+    prior, found = 0.5, []
+    for _ in range(rounds):
+        p, u = np.empty(len(positive)), np.empty(len(unlabelled))
+        for part in range(parts):
+            ranks = fit(positive[in_p != part], unlabelled[in_u != part], prior)
+            p[in_p == part], u[in_u == part] = ranks.score(positive[in_p == part]), ranks.score(unlabelled[in_u == part])
+        cuts, p, u = np.unique(p), np.sort(p), np.sort(u)
+        above_p = 1 - np.searchsorted(p, cuts) / len(p)
+        above_u = 1 - np.searchsorted(u, cuts) / len(u)
+        best = np.argmin((above_u + allowance) / above_p)
+        found.append(above_u[best] / above_p[best])
+        prior = float(np.clip(min(found), 0.01, 0.99))
+    return prior
+
+
+def _draw(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` with ``_h``, a hash of ``by``: somewhat more than ``rows`` of its different hashes, or all if there are no more."""
+    hashed = df.withColumn("_h", F.xxhash64(F.lit("draw"), *by))
+    different = hashed.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
+    share = min(1.0, 1.2 * rows / max(different, 1))
+    return hashed if share == 1.0 else hashed.where(F.shiftrightunsigned("_h", 11) < int(share * 2**53))
+
+
+def _matrix(df: DataFrame, rows: int) -> np.ndarray:
+    """Features of at most ``rows`` different (doc_id, text), those with the least hashes, on the driver."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"x": [features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"h": batch["_h"], "x": [features(t) for t in batch["text"]]})
 
-    rows = df.select("text").mapInPandas(made, "x array<double>").toPandas()["x"]
-    return np.asarray(rows.tolist(), np.float64).reshape(-1, len(FEATURES))
+    drawn = _draw(df, rows, "doc_id", "text").select("_h", "text").mapInPandas(made, "h bigint, x array<double>")
+    least = drawn.dropDuplicates(["h"]).orderBy(F.shiftrightunsigned("h", 11), "h").limit(rows)
+    return np.asarray(least.toPandas()["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
-    """Fit on the training folds. ``labels`` has doc_id and quality; ids labelled both ways say nothing. Without a
-    trusted positive there is no model."""
+    """Fit on the training folds. ``labels`` has doc_id and quality; only those labelled 1 and never otherwise are used, as
+    trusted positives. Without one there is no model. Rows equal in id and text are drawn once, null ids like others;
+    either draw has at most ``max_train`` rows, the same whatever the partitioning."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
-        F.min("quality").alias("_low"), F.max("quality").alias("quality")
+        F.min("quality").alias("_low"), F.max("quality").alias("_high")
     )
-    known = stage(known.where((F.col("_low") == F.col("quality")) & ~held_out(F.col("doc_id"))).drop("_low"), "labels")
-    prior = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    trusted = _drawn(known.where("quality = 1").select("doc_id"), max_train)
-    if prior is None or trusted.isEmpty():
-        return None
+    known = known.where((F.col("_low") == 1) & (F.col("_high") == 1) & ~held_out(F.col("doc_id"))).select("doc_id")
+    trusted = stage(_draw(stage(known, "trusted"), max_train, "doc_id").drop("_h"), "drawn-trusted")
     fold = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    positive = _matrix(fold.join(if_small(stage(trusted, "trusted"), 2 * max_train), "doc_id", "left_semi"))
-    unlabelled = _matrix(_drawn(fold, max_train))
-    if not len(positive) or not len(unlabelled):
+    positive = _matrix(fold.join(if_small(trusted, 2 * max_train), "doc_id", "left_semi"), max_train)
+    if not len(positive):
         return None
-    return fit(positive, unlabelled, float(prior))
+    unlabelled = _matrix(fold, max_train)
+    return fit(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
