@@ -38,55 +38,6 @@ def test_no_label_of_the_held_out_fold_is_read(spark):
     assert np.array_equal(a.weights, b.weights) and np.array_equal(a.cuts, b.cuts)
 
 
-@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
-def test_prior_from_positives_and_unlabelled(share):
-    rng = np.random.default_rng(int(share * 100))
-    width = len(quality.FEATURES)
-    good, mixed = rng.normal(1, 1, (4000, width)), rng.normal(1, 1, (4000, width))
-    bad = np.arange(4000) >= share * 4000
-    mixed[bad] -= 2
-    rng.shuffle(mixed)
-    assert abs(quality.class_prior(good, mixed) - share) < 0.08
-    assert quality.class_prior(good[:3], mixed) == 0.5
-
-
-def test_labels_of_bad_texts_are_not_used(spark):
-    docs = spark.createDataFrame([(i, f"good text here, number {i}. " * (i % 7 + 1) if i % 3 else f"### $$$ {i} ### !!") for i in range(200)], "doc_id bigint, text string")
-    made = [(i, int(i % 3 > 0)) for i in range(200)]
-    a, b = (quality.train(docs, spark.createDataFrame(rows, "doc_id bigint, quality int")) for rows in (made, [r for r in made if r[1]]))
-    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.cuts, b.cuts)
-
-
-def test_draws_are_bounded_and_the_same_for_any_partitioning(spark):
-    rows = [(None, f"text {'a ' * (i % 50)}{i}") for i in range(3000)] + [(7, "the same text")] * 2000
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    a, b = (quality._matrix(docs.repartition(n), 100) for n in (2, 9))
-    assert a.shape == (100, len(quality.FEATURES)) and np.array_equal(a, b)
-    assert len(quality._matrix(docs, 10_000)) == 3001
-
-
-def test_risk_of_the_negatives_counts_as_zero_below_zero():
-    rng = np.random.default_rng(5)
-    width = len(quality.FEATURES)
-    positive, unlabelled = rng.normal(1, 1, (300, width)), rng.normal(0, 1, (300, width))
-    found = quality.fit(positive, unlabelled, 0.9, steps=40)
-    p, u = found.design(positive).astype(float), found.design(unlabelled).astype(float)
-    w, speed, below = np.zeros(p.shape[1]), np.zeros(p.shape[1]), 0
-
-    def plain_risk(w):
-        loss = lambda z: np.log1p(np.exp(-z))
-        rest = loss(-(u @ w)).mean() - 0.9 * loss(-(p @ w)).mean()
-        return 0.9 * loss(p @ w).mean() + max(0.0, rest) + 1e-4 * w @ w, rest
-
-    for _ in range(40):
-        below += plain_risk(w)[1] <= 0
-        slope = np.array([(plain_risk(w + e)[0] - plain_risk(w - e)[0]) / 2e-6 for e in np.eye(len(w)) * 1e-6])
-        speed = 0.9 * speed - 0.5 * slope
-        w = w + speed
-    assert below > 0
-    np.testing.assert_allclose(found.weights, w, atol=0.02)
-
-
 def test_quality_of_hard_rows(spark):
     rows = [(1, None, 7.0), (1, None, 7.0), (None, "", 7.0), (3, "x" * 200_000, 7.0), (4, "one two", 7.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
