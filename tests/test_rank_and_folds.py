@@ -105,3 +105,16 @@ def test_scheme_follows_the_settings(spark):
         if not setting.time_series:
             tested = marked.select(*[F.sum(F.when(f.test, 1).otherwise(0)) for f in cuts]).first()
             assert sum(tested) == 60 * (count // 4)
+
+
+def test_seeded_rank_moves_numbers_and_sends_the_starts(spark):
+    from readsift.session import stage
+
+    df = stage(_numbers(spark, 300), "numbers")
+    ranked = seeded_rank(df, "row_idx", 4, ["y"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # One shuffle, of the digest as numbers; the starts of the slices are broadcast.
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "_digest" not in plan
+    for digits in (1, 6):
+        same = {r.row_idx: r["rank"] for r in seeded_rank(df, "row_idx", 4, ["y"], hex_digits=digits).collect()}
+        assert same == {r.row_idx: r["rank"] for r in ranked.collect()}
