@@ -53,6 +53,17 @@ class Words(dict):
         return ids
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that a byte-level vocabulary writes bytes as, where they differ from the bytes' numbers."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_LETTERS = _byte_letters()
+#: Letters below are letters in every version of Unicode.
+_SETTLED = "\u0250"
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -67,12 +78,22 @@ class Encoder:
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
-        self._spaced, self._bare = Words(self._whole, " ", kept), Words(self._whole, "", kept // 4)
+        self._model = self._library.model
+        self._spaced, self._bare = Words(self._word, " ", kept), Words(self._word, "", kept // 4)
         self._line_end = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _word(self, text: str) -> bytes:
+        """Ids of one word with what stands before it. Letters alone are one word to the library too, so they go to its
+        merges at once."""
+        word = text[1:] if text[:1] == " " else text
+        if not (word.isalpha() and (word.isascii() or max(word) < _SETTLED)):
+            return self._whole(text)
+        written = text.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        return np.asarray([t.id for t in self._model.tokenize(written)], dtype="<u4").tobytes()
+
     def _line(self, line: str) -> bytes:
         first, *rest = line.split(" ")
         return self._bare[first] + b"".join(map(self._spaced.__getitem__, rest))

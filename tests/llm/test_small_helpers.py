@@ -210,3 +210,15 @@ def test_words_longer_than_a_slice_have_one_hash(monkeypatch):
         assert all(np.array_equal(a, b) for a, b in zip(whole, sliced))
     monkeypatch.undo()
     assert [len(s) for s in shingles.shingle_sets(["w" * (6 << 20)], 5)] == [1]
+
+
+def test_words_of_letters_skip_the_splitting_of_the_library():
+    made = packing.Encoder(BYTES)
+    asked = []
+    whole = made._whole
+    made._whole = lambda text: asked.append(text) or whole(text)
+    words = ["Zebra", "straße", "Ærø", "naïve", "ªº", "don't", "x9", "\u0431\u044b\u043b", "a", "\u01c5", "e\u0301"]
+    for word in words:
+        for text in (word, " " + word):
+            assert made._word(text) == whole(text), text
+    assert {t.strip() for t in asked} == {"don't", "x9", "\u0431\u044b\u043b", "e\u0301"}
