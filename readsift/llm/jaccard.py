@@ -78,10 +78,12 @@ def _counts(docs: DataFrame, size: int) -> DataFrame:
     def each_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.unique(_top(s)) for s in shingles.shingle_sets(batch["text"], size)]
-            yield pd.DataFrame({"token": _signed(np.concatenate(found) if found else np.zeros(0, np.uint32))})
+            tokens, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
+            yield pd.DataFrame({"token": _signed(tokens), "n": n})
 
-    each = docs.select("text").mapInPandas(each_once, "token int")
-    return each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # Counted per batch: most shingles are in one document, so a table of them per task would only take memory.
+    each = docs.select("text").mapInPandas(each_once, "token int, n bigint").repartition("token")
+    return each.groupBy("token").agg(F.sum("n").alias("n")).where("n >= 2")
 
 
 def _common(counts: DataFrame) -> np.ndarray:
@@ -166,9 +168,11 @@ def _pair(x, y) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, texts: DataFrame | None = None) -> DataFrame:
     """Links between documents whose sets differ: enough rows (a, b), a < b, to connect every two documents that a
-    chain of similar pairs connects. ``docs`` has doc_id and text, one row for each set."""
+    chain of similar pairs connects. ``docs`` has doc_id and text, one row for each set. Pairs read their texts from
+    ``texts``, if given: it holds all rows of ``docs`` and may hold more."""
+    texts = docs if texts is None else texts
     counts = stage(_counts(docs, size), "shingle-counts")
     prefixes = stage(_prefixes(docs, _common(counts), size, percent), "prefixes")
     postings = prefixes.select("doc_id", "n", F.posexplode("first").alias("_pos", "token"))
@@ -194,7 +198,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         pairs = stage(pairs, "star-pairs")
         if pairs.isEmpty():
             break
-        found = _verified(pairs, prefixes, docs, size, percent)
+        found = _verified(pairs, prefixes, texts, size, percent)
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
 
@@ -216,7 +220,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         rest = rest.join(tried, ["a", "b"], "left_anti")
     rest = stage(rest, "rest-pairs")
     if not rest.isEmpty():
-        found = _verified(rest, prefixes, docs, size, percent)
+        found = _verified(rest, prefixes, texts, size, percent)
         links = found if links is None else links.unionByName(found)
     return links if links is not None else rest
 
@@ -237,7 +241,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     single = docs.where("doc_id IS NOT NULL").join(
         if_small(copies.select("doc_id", "_hash"), SMALL_ROWS), ["doc_id", "_hash"], "left_anti"
     )
-    links = similar_sets(single, size, percent)
+    # A copy's text links its document to what the first one links to, which changes no component; taking the texts
+    # from all rows spares the join that leaves the copies out, in every comparison.
+    links = similar_sets(single, size, percent, docs)
     edges = links.unionByName(copies.select(F.col("_first").alias("a"), F.col("doc_id").alias("b")))
     labels = components(edges).withColumnRenamed("node", "doc_id")
     return sets.join(labels, "doc_id", "left").select(

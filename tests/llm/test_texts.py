@@ -281,3 +281,23 @@ def test_items_near_by_every_stretch(spark, benchmarked, near):
         spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), near=near
     ).collect()
     assert Counter((r.doc_id, r.n_near) for r in found) == expected and max(n for _, n in expected) > 0
+
+
+def test_jaccard_compares_texts_of_all_rows_and_counts_per_batch(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    near = [*words[:59], "other"]
+    other = [f"u{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (2, " ".join(other)), (3, " ".join(other[:39])), (4, " ".join(near)), (5, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plans, whole = [], jaccard._verified
+    monkeypatch.setattr(
+        jaccard, "_verified",
+        lambda pairs, prefixes, docs, *rest: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or whole(pairs, prefixes, docs, *rest),
+    )
+    found = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    assert plans and not any("LeftAnti" in plan for plan in plans)
+    counts = jaccard._counts(df, 5)
+    assert {r.n for r in counts.collect()} == {2, 3}
+    plan = counts._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange"):]
