@@ -82,3 +82,32 @@ def test_shuffled_curves_are_those_of_single_fits(rows):
         _by_part(experiment.learning_curve(dealt, cuts, one, [0.3, 1.0], SPEC, vocabulary_from=rows)) for one in (learner("bayes"), Alone())
     )
     assert shared == alone and len(shared) == 2 * 3 * 2
+
+
+def test_prefix_scores_count_rows_and_never_copy_them_per_part(rows, monkeypatch):
+    seen = []
+    whole = experiment.metric_ops.scores
+    monkeypatch.setattr(experiment.metric_ops, "scores", lambda df, metrics, by, count=None: seen.append((count, df.count())) or whole(df, metrics, by, count))
+    experiment.expanding_learning_curve(rows, [199, 399], 3, learner("bayes"), SPEC, ("accuracy",), rows)
+    ((count, cells),) = seen
+    # Two splits of six parts with four cells at most, of every batch.
+    assert count == "n" and cells <= 48 * rows.rdd.getNumPartitions()
+
+
+def test_encodings_of_folds_are_those_of_single_fits(rows, monkeypatch):
+    from readsift.operators import encode
+
+    monkeypatch.setattr(encode, "TOGETHER", 3)
+    dealt = folds.stratified_fold_column(rows, "y", 5, 0)
+    cuts = folds.folds_of_column(5)
+    passes = []
+    whole = encode.binned_sums
+    monkeypatch.setattr(encode, "binned_sums", lambda *args: passes.append(1) or whole(*args))
+    for room in (50_000, 4):
+        shared = encode.fit_encodings(dealt, [f.train for f in cuts], SPEC, looked_up=room)
+        for f, found in zip(cuts, shared):
+            alone = encode.fit_encoding(dealt.where(f.train), SPEC)
+            assert found.stats == alone.stats and found.categories.sizes == alone.categories.sizes
+            if room > 4:
+                assert found.labels == alone.labels
+    assert len(passes) == 4
