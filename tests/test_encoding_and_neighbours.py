@@ -10,6 +10,7 @@ from readsift.config import FeatureSpec
 from readsift.learners import fit, learner
 from readsift.operators.duplicates import near_duplicate_rate
 from readsift.operators.encode import categories, fit_encoding, nonzero_entries
+from readsift.operators import neighbours
 from readsift.operators.neighbours import nearest
 
 SPEC = FeatureSpec(("c", "m"), ("x",), ("b",), "y")
@@ -122,6 +123,55 @@ def test_lists_find_what_brute_force_finds(spark, exclude_self, block_rows, colu
         assert found[q[0]] == [(i, round(d, 6)) for d, i in want]
 
 
+def test_levels_find_what_brute_force_finds(spark):
+    """Columns enough for several levels, some undecided by others, odd rows and numbers too large for single precision."""
+    rng = np.random.default_rng(3)
+    n, columns = 700, 12
+    hot = 10 * np.arange(columns) + rng.integers(0, 10, (n, columns)) * (rng.random((n, columns)) < 0.5)
+    hot[:, 1] = hot[:, 0] + 10
+    numbers = np.round(rng.normal(size=(n, 2)), 1)
+    hot[::90, 3], numbers[5::200] = 999, [1e30, 0.0]
+    numbers[3::200] = [-4000.5, 70.0]
+    schema = "id long, hot array<int>, numbers array<double>, label double"
+    rows = [(i, sorted(hot[i].tolist()), numbers[i].tolist(), 0.0) for i in range(n)]
+    df = spark.createDataFrame(rows, schema)
+    sets = [set(r[1]) - {999} for r in rows]
+    d2 = np.array([[len(a ^ b) for b in sets] for a in sets], float)
+    for j in range(2):
+        d2 += (numbers[:, j][:, None] - numbers[:, j][None, :]) ** 2
+    d2 = np.round(d2, 9)
+    np.fill_diagonal(d2, np.inf)
+    for k, within in ((3, None), (1, 2.5)):
+        want = {}
+        for i in range(n):
+            near = [j for j in np.lexsort((np.arange(n), d2[i])) if j != i and (within is None or math.sqrt(d2[i, j]) <= within)]
+            want[i] = near[:k]
+        got = {i: [] for i in range(n)}
+        for r in sorted(nearest(df, df, k, 999, True, held_rows=0, within=within, copy_pairs=0).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got[r.query_id].append(r.neighbour_id)
+        assert got == want
+        assert nearest(df, df, k, 999, True, within=within).count() == sum(map(len, want.values()))
+
+
+def test_only_what_lies_within_is_searched(spark, monkeypatch):
+    """Near duplicates are looked up where classes of columns agree, not among all rows."""
+    rng = np.random.default_rng(4)
+    hot = 20 * np.arange(14) + rng.integers(0, 20, (600, 14))
+    hot[300:] = hot[:300]
+    hot[300:, 5] = 100 + (hot[:300, 5] - 99) % 20
+    df = spark.createDataFrame([(i, hot[i].tolist(), [0.0]) for i in range(600)], "row_idx long, hot array<int>, numbers array<double>")
+    monkeypatch.setattr(neighbours, "UNIT_ROWS", 10)
+    met, search = [], neighbours._search
+
+    def counted(visits, lists, *args):
+        met.append(visits.groupBy("unit").count().join(lists.groupBy("unit").agg(F.count(F.lit(1)).alias("n")), "unit").agg(F.sum(F.col("count") * F.col("n"))).first()[0])
+        return search(visits, lists, *args)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    found = neighbours.nearest(df.withColumnRenamed("row_idx", "id"), df.withColumnRenamed("row_idx", "id"), 1, 999, True, held_rows=0, within=2.0, copy_pairs=0)
+    assert found.count() == 600 and sum(met) < 600 * 600 * 0.8
+
+
 def test_fewer_base_rows_than_k(spark):
     schema = "id long, hot array<int>, numbers array<double>, label double"
     base = spark.createDataFrame([(1, [0], [0.0], 1.0), (2, [1], [0.0], 0.0)], schema)
