@@ -3,6 +3,7 @@
 import random
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,14 @@ def test_cut_trees_are_trees_of_that_depth(frame):
     distributed = experiment.depth_sweep(dealt, cuts, [0, 1, 3, 9], SPEC, ("accuracy", "recall"), local_rows=0)
     assert {key(r): r.value for r in distributed.collect()} == swept
     assert len(experiment.VALIDATION_RANGES["exact_tree"][1]) == 50
+
+
+def test_rows_carry_the_slices_of_their_numbers(spark):
+    """Slices follow the place of a value among all columns' distinct ones, so levels need no table of all values."""
+    rng = np.random.default_rng(8)
+    numbers = np.column_stack([rng.integers(-40, 40, 300) / 2, rng.integers(0, 2, 300)]).astype(float)
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers.tolist())], "id long, numbers array<double>")
+    ranks = [np.unique(numbers[:, j], return_inverse=True)[1] for j in range(2)]
+    n = int(ranks[0].max()) + 1
+    for r in exact_tree._sliced(rows, 4).collect():
+        assert r.slices == [ranks[0][r.id] // 4 + 1, (n + ranks[1][r.id]) // 4 - n // 4 + 1]
