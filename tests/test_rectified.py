@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,23 @@ def test_held_out_loss_stops_it(rows):
     assert model.rounds < 60 and model.held_loss is not None
     full = fit(_net(max_rounds=4, validation_share=0.0), rows, SPEC).model
     assert full.rounds == 4 and full.held_loss is None
+
+
+def test_a_slice_of_weights_is_mixed_exactly_in_any_order():
+    w = [np.array([1e16, 0.1]), np.array([1.0, 0.2]), np.array([-1e16, math.inf])]
+    parts = pd.DataFrame({"slice": 4, "w": [x.tobytes() for x in w], "n": [1.0, 3.0, 1.0], "held": 2.0, "held_loss": [1e16, 1.0, -1e16]})
+    for order in ([0, 1, 2], [2, 0, 1]):
+        row = rectified._mix(parts.iloc[order]).iloc[0]
+        assert (row.slice, row.n, row.held, row.held_loss) == (4, 5.0, 6.0, 1.0)
+        found = np.frombuffer(row.w, float)
+        assert found[0] == 3.0 and math.isnan(found[1])
+
+
+def test_a_shard_leaves_its_task_in_slices(rows):
+    wide = Shape(4, 3, 200)
+    state = np.concatenate([wide.start(0), np.zeros(2 * wide.size)])
+    train = rows.selectExpr("array(0, 3) AS hot", "array(x, z, CAST(b AS DOUBLE)) AS numbers", "y AS label", "row_idx < 50 AS held_out", "0 AS shard")
+    task = rectified._round(state, 0, wide, rectified.RectifiedNetwork(hidden=200))
+    parts = train.coalesce(1).mapInArrow(task, rectified._PART_SCHEMA).toPandas()
+    assert len(parts) > 1 and max(map(len, parts["w"])) <= 8 * rectified.SLICE
+    assert sum(map(len, parts["w"])) == 8 * len(state) and set(parts["n"]) == {450.0} and set(parts["held"]) == {50.0}
