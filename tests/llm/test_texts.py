@@ -301,3 +301,17 @@ def test_jaccard_compares_texts_of_all_rows_and_counts_per_batch(spark, monkeypa
     assert {r.n for r in counts.collect()} == {2, 3}
     plan = counts._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_band_rows_carry_a_digest_only_where_the_band_is_none(spark):
+    text = " ".join(f"w{i * i % 97}x{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    found = substrings.bands(docs, where=True).toPandas()
+    anchors, paragraphs = found[found["digest"].isna()], found[found["digest"].notna()]
+    hashes, borders = substrings.shingles.word_hashes([text])
+    starts = substrings.paragraph_starts(hashes, borders, substrings.ANCHOR, substrings.ANCHOR_REACH)
+    runs = substrings.shingles.rolling(hashes, substrings.ANCHOR).view("int64")
+    assert sorted(zip(anchors["pos"], anchors["band"])) == [(p, runs[p]) for p in starts.tolist()]
+    assert len(paragraphs) == substrings.BANDS * paragraphs["pos"].nunique() > 0
+    halves = substrings.bands(docs, where=False).toPandas()["half"]
+    assert sorted(halves) == sorted(int(b) >> 32 for b in found["band"])
