@@ -15,6 +15,10 @@ the result: any order is exact.
 Equal sets are one node throughout. Lists are first linked to one of their documents each, the links
 found make components, and only lists that still span several components are then paired out, and only
 across components; a group of near copies thus costs links in its size, not in its square.
+
+Documents of long lists that are like one of their group, its centre, but not all linked with it, are paired by what the centre
+lacks: if x does not link with the centre and y is no smaller than it, then x and y are only similar if they share a shingle
+outside of the centre, as what they share inside is no more than x and the centre do. See :func:`_around_centres`.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ COMMON = 16
 MAX_COMMON = 500_000
 _ORDERS = (np.uint64(0x51ED2701A3C5E98B), np.uint64(0xD6E8FEB86659FD93))  # seeds of the further orders
 STAR_ROUNDS = 3
+#: A list that still spans several components is long from so many documents on.
+LONG_LIST = 64
 
 
 def _needed(n: int, percent: int) -> int:
@@ -92,6 +98,15 @@ def _common(counts: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int32).view(np.uint32))
 
 
+def _common_last(found: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Shingles in the first order: the common ones last, else by hash."""
+    if not len(often) or not len(found):
+        return found
+    top = _top(found)
+    is_common = often[np.minimum(np.searchsorted(often, top), len(often) - 1)] == top
+    return np.concatenate([found[~is_common], found[is_common]])
+
+
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
     """Rows (doc_id, n, first array<bigint>, further array<array<int>>): prefixes under all orders."""
     sent = docs.sparkSession.sparkContext.broadcast(common)
@@ -105,11 +120,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> D
                 if not n:
                     continue
                 length = n - _needed(n, percent) + 1
-                is_common = np.zeros(n, bool)
-                if len(often):
-                    top = _top(found)
-                    is_common = often[np.minimum(np.searchsorted(often, top), len(often) - 1)] == top
-                first = np.concatenate([found[~is_common], found[is_common]])[:length]
+                first = _common_last(found, often)[:length]
                 further = [_signed(_top(np.sort(shingles.mix(found ^ seed))[:length])) for seed in _ORDERS]
                 rows.append((doc, n, first.view(np.int64), further))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "first", "further"])
@@ -168,13 +179,88 @@ def _pair(x, y) -> tuple:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _centres(open_lists: DataFrame, links: DataFrame, long_list: int) -> DataFrame:
+    """Rows (doc_id, centre) for documents of long lists: of the lists' documents with the most links so far, the one that
+    most of a document's long lists name."""
+    long = open_lists.groupBy("token").agg(F.count(F.lit(1)).alias("_in")).where(F.col("_in") >= long_list).select("token")
+    entries = stage(open_lists.select("token", "doc_id").join(long, "token", "left_semi"), "long-lists")
+    ends = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id")))
+    degrees = ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_links"))
+    rated = entries.join(degrees, "doc_id", "left").withColumn("_links", F.coalesce("_links", F.lit(0)))
+    best = rated.groupBy("token").agg(F.max(F.struct("_links", "doc_id")).alias("_best")).select("token", F.col("_best.doc_id").alias("centre"))
+    votes = entries.join(best, "token").groupBy("doc_id", "centre").agg(F.count(F.lit(1)).alias("_n"))
+    return votes.groupBy("doc_id").agg(F.max(F.struct("_n", "centre")).alias("_best")).select("doc_id", F.col("_best.centre").alias("centre"))
+
+
+def _around_centres(centres: DataFrame, texts: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Rows (doc_id, centre, n, linked, outside array<bigint>) for the documents of ``centres`` that are no smaller than their
+    centre and at least half as similar to it as asked for. ``linked`` says whether they link with it; ``outside`` is a prefix
+    of the shingles that the centre h lacks.
+
+    Let x and y be two of them, x not linked with h, and f = percent / (100 + percent). If they link, they share f (n_x + n_y)
+    shingles, of which at most c_x, those that x shares with h, are in h, and c_x < f (n_x + n_h). So outside of h they share more than
+    f (n_y - n_h), which is not negative, and at least f (n_x + n_h) - c_x, as n_y is n_h or more. Of so many shared shingles one is in the prefix of
+    either under any order. Documents of several texts are left out.
+    """
+    sent = centres.sparkSession.sparkContext.broadcast(common)
+    columns = ["doc_id", "centre", "n", "linked", "outside"]
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = sent.value
+        for batch in batches:
+            rows = []
+            own, kept = (shingles.shingle_sets(batch[c], size) for c in ("text", "centre_text"))
+            for doc, centre, x, h in zip(batch["doc_id"], batch["centre"], own, kept):
+                n, both = len(x), len(np.intersect1d(x, h, assume_unique=True))
+                if n < len(h) or 200 * both < percent * (n + len(h) - both):
+                    continue
+                linked = 100 * both >= percent * (n + len(h) - both)
+                shared = percent * (n - len(h)) // (100 + percent) + 1 if linked else -(-percent * (n + len(h)) // (100 + percent)) - both
+                outside = _common_last(np.setdiff1d(x, h, assume_unique=True), often)
+                rows.append((doc, centre, n, linked, outside[: max(len(outside) - shared + 1, 0)].view(np.int64)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    named = stage(centres.select("doc_id").union(centres.select("centre")).distinct(), "grouped")
+    read = texts.select("doc_id", "text").join(if_small(named, SMALL_ROWS), "doc_id", "left_semi")
+    read = read.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("text").alias("_last")).where("text = _last").drop("_last")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    both = centres.join(read, "doc_id").join(read.withColumnsRenamed({"doc_id": "centre", "text": "centre_text"}), "centre")
+    return both.mapInPandas(compared, f"doc_id {kind}, centre {kind}, n int, linked boolean, outside array<bigint>")
+
+
+def _merged(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with the components that more ``links`` between its documents join."""
+    labels = stage(lists.select("doc_id", "component").distinct(), "labels")
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("doc_id").alias(side), F.col("component").alias(f"_{side}")), side)
+    roots = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(
+        F.col("node").alias("component"), F.col("component").alias("_root")
+    )
+    joined = lists.join(roots, "component", "left")
+    return stage(joined.withColumn("component", F.coalesce("_root", "component")).drop("_root"), "lists-now")
+
+
+def _across(lists: DataFrame, keys: list[str], same: str, alike) -> DataFrame:
+    """Pairs (a, b) of the rows of each list, named by ``keys``, that lie in several classes (``same``) and components and
+    are ``alike``, a condition on the columns of both (those of one begin with ``x_``). The largest class of a list is only
+    met by the others."""
+    size_of = lists.groupBy(*keys, same).agg(F.count(F.lit(1)).alias("_in"))
+    largest = size_of.groupBy(*keys).agg(F.max(F.struct("_in", same)).alias("_largest"))
+    side = lists.join(largest, keys).where(F.col(same) != F.col(f"_largest.{same}")).drop("_largest")
+    side = side.withColumnsRenamed({c: f"x_{c}" for c in lists.columns if c not in keys})
+    apart = (F.col("component") != F.col("x_component")) & (F.col(same) != F.col(f"x_{same}"))
+    return lists.join(side, keys).where(alike & apart).select(*_pair("doc_id", "x_doc_id")).distinct()
+
+
 def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, texts: DataFrame | None = None) -> DataFrame:
     """Links between documents whose sets differ: enough rows (a, b), a < b, to connect every two documents that a
     chain of similar pairs connects. ``docs`` has doc_id and text, one row for each set. Pairs read their texts from
     ``texts``, if given: it holds all rows of ``docs`` and may hold more."""
     texts = docs if texts is None else texts
     counts = stage(_counts(docs, size), "shingle-counts")
-    prefixes = stage(_prefixes(docs, _common(counts), size, percent), "prefixes")
+    common = _common(counts)
+    prefixes = stage(_prefixes(docs, common, size, percent), "prefixes")
     postings = prefixes.select("doc_id", "n", F.posexplode("first").alias("_pos", "token"))
     as_smaller = F.col("_pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
     # A shingle that one document holds has no list.
@@ -203,19 +289,33 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, t
         tried = pairs if tried is None else tried.unionByName(pairs)
 
     now = stage(_components_of(links, lists), "lists-now")
-    open_lists = now.join(_open_lists(now).select("token"), "token", "left_semi")
-    size_of = open_lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("_in"))
-    largest = size_of.groupBy("token").agg(F.max(F.struct("_in", "component")).alias("_largest"))
-    few = stage(open_lists, "open-lists")
-    side = few.join(largest, "token").where("component <> _largest.component")
-    side = side.select(
-        "token", F.col("doc_id").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"), F.col("early").alias("x_early")
-    )
+    few = stage(now.join(_open_lists(now).select("token"), "token", "left_semi"), "open-lists")
+    grouped = None
+    if links is not None:
+        centres = stage(_centres(few, links, LONG_LIST), "centres")
+        if not centres.isEmpty():
+            grouped = stage(_around_centres(centres, texts, common, size, percent), "around-centres")
+            met = stage(grouped.where("doc_id <> centre").select(*_pair("doc_id", "centre"), "linked").distinct(), "centre-pairs")
+            links, tried = links.unionByName(met.where("linked").select("a", "b")), tried.unionByName(met.select("a", "b"))
+            few = _merged(few, met.where("linked"))
+            few = stage(few.join(_open_lists(few).select("token"), "token", "left_semi"), "open-lists")
+
     # Sizes of similar sets differ by the threshold at most, and the smaller set has a shared shingle early.
+    alike = 100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")
     early = F.when(F.col("n") < F.col("x_n"), F.col("early")).when(F.col("n") > F.col("x_n"), F.col("x_early"))
-    alike = (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")) & (F.col("component") != F.col("x_component"))
-    alike = alike & F.coalesce(early, F.col("early") | F.col("x_early"))
-    rest = few.join(side, "token").where(alike).select(*_pair("doc_id", "x")).distinct()
+    in_prefix = alike & F.coalesce(early, F.col("early") | F.col("x_early"))
+    if grouped is None:
+        rest = _across(few, ["token"], "component", in_prefix)
+    else:
+        # Two documents of one centre meet by what it lacks; all others by their prefixes.
+        classed = few.join(grouped.select("doc_id", "centre"), "doc_id", "left").withColumn(
+            "class", F.struct(F.col("centre").isNotNull().alias("grouped"), F.coalesce("centre", "component").alias("of"))
+        )
+        labels = few.select("doc_id", "component").distinct()
+        outside = grouped.join(labels, "doc_id").select("doc_id", "centre", "n", "component", F.explode("outside").alias("token"))
+        rest = _across(stage(classed.drop("centre"), "classed-lists"), ["token"], "class", in_prefix).unionByName(
+            _across(stage(outside, "outside-lists"), ["centre", "token"], "component", alike)
+        ).distinct()
     if tried is not None:
         rest = rest.join(tried, ["a", "b"], "left_anti")
     rest = stage(rest, "rest-pairs")

@@ -110,6 +110,38 @@ def test_one_of_each_stays(spark, copies):
     assert jaccard.keep_one_each(df.limit(0)).count() == 0
 
 
+def near_group(pick, n, edits, first=100):
+    """A text and ``n`` copies of it with so many words changed, cut or added, in places drawn at random."""
+    base = prose(pick, 150).split()
+    rows = [(first, " ".join(base))]
+    for i in range(1, n + 1):
+        words = list(base)
+        for _ in range(pick.randint(*edits)):
+            at = pick.randrange(len(words))
+            kind = pick.random()
+            words[at : at + (kind < 0.9)] = [f"new{pick.randrange(10**6)}"] * (kind > 0.1)
+        rows.append((first + i, " ".join(words)))
+    return rows
+
+
+def test_near_copies_short_of_the_threshold_are_not_paired_with_each_other(spark, monkeypatch):
+    pick = random.Random(21)
+    rows = near_group(pick, 160, (1, 14)) + near_group(pick, 20, (3, 12), 1000)
+    # Not linked with the first text, but with each other; a text of several rows; a shorter one.
+    twin = rows[70][1].split()
+    rows += [(300, " ".join([*twin[:-1], "end"])), (302, " ".join(twin[5:])), (303, rows[0][1])]
+    expected, _ = plain_components(rows)
+    one, other = expected[rows[3][0]], expected[rows[170][0]]
+    expected = {d: min(one, other) if c in (one, other) else c for d, c in expected.items()} | {3000: min(one, other)}
+    rows += [(3000, rows[3][1]), (3000, rows[170][1])]
+    monkeypatch.setattr(jaccard, "LONG_LIST", 8, raising=False)
+    compared, whole = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: compared.append(pairs.count()) or whole(pairs, *more))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+    assert len(set(expected.values())) > 40 and sum(compared) < 700
+
+
 def passages(pick):
     shared, short = prose(pick, 70), prose(pick, 30)
     rows = [(i, f"{prose(pick, pick.randint(5, 60))}{pick.choice([' ', chr(10)])}{shared} {prose(pick, 40)}") for i in range(1, 9)]
