@@ -347,3 +347,39 @@ def test_band_rows_carry_a_digest_only_where_the_band_is_none(spark):
     assert len(paragraphs) == substrings.BANDS * paragraphs["pos"].nunique() > 0
     halves = substrings.bands(docs, where=False).toPandas()["half"]
     assert sorted(halves) == sorted(int(b) >> 32 for b in found["band"])
+
+
+@pytest.mark.parametrize("paired", [1, 64])
+def test_all_paragraphs_of_a_band_are_compared(spark, monkeypatch, paired):
+    pick = random.Random(31)
+    # Sixteen shingles, of which all texts share thirteen: bands of many texts, of which only two each are similar.
+    common, texts = prose(pick, 17), []
+    for i in range(60):
+        texts += [f"{common} u{i} v{i} w{i}", f"{common} u{i} v{i} x{i}"]
+    # Runs that repeat make sets of fewer shingles, which are similar across sizes.
+    for i, n in enumerate([3, 13] * 5):
+        rest = prose(pick, 13 if n == 3 else 5)
+        texts += [f"{' '.join(['again'] * k)} {rest} {prose(pick, 20 - k - len(rest.split()))}".strip() for k in (5, 5, 6, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(substrings, "PAIRED", paired, raising=False)
+    links, joined = [], substrings.components
+    monkeypatch.setattr(substrings, "components", lambda edges: links.extend(edges.select("a", "b").collect()) or joined(edges))
+    substrings.matched_paragraphs(docs).count()
+
+    found = substrings.bands(docs, where=True).where("digest IS NOT NULL").collect()
+    sets = {r.digest: {tuple(texts[r.doc_id].split()[r.pos :][i : i + 5]) for i in range(16)} for r in found}
+    bands = defaultdict(set)
+    for r in found:
+        bands[r.band].add(r.digest)
+    similar = {(a, b) for ds in bands.values() for a in ds for b in ds if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert {tuple(sorted(link)) for link in links} <= similar
+    assert len({(len(sets[a]), len(sets[b])) for a, b in similar}) > 4 and max(map(len, bands.values())) > 50
+
+    def parts(edges):
+        root = {d: d for d in sets}
+        for a, b in edges:
+            old, new = sorted((root[a], root[b]), reverse=True)
+            root = {d: new if r == old else r for d, r in root.items()}
+        return root
+
+    assert parts(links) == parts(similar)
