@@ -129,7 +129,8 @@ def top_k(
                                F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")), "va-queries")
     groups = max(1, min(data.count(), tasks_for(data)))
     spread = lambda d: d.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    everywhere = lambda d: d.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Merged: the planner takes the copies for one table as small as a single one, and a broadcast would hold all of them on the driver.
+    everywhere = lambda d: d.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).hint("merge")
 
     def lower_bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = _Best(k)

@@ -63,6 +63,18 @@ def test_search_with_ties_bad_vectors_and_few_rows(spark):
     assert va_file.top_k(df.limit(0), df, 3).count() == 0 and va_file.top_k(df.where("vec_id = 0"), df.limit(0), 3).count() == 0
 
 
+def test_copies_of_the_queries_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, [float((i * 7 + j) % 11) for j in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    plans, whole = [], va_file.stage
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(va_file, "stage", lambda d, name: plans.append(plan(d)) or whole(d, name))
+    found = va_file.top_k(df.where("vec_id % 50 = 0"), df, k=5, block_rows=16)
+    copied = [p for p in (*plans, plan(found)) if "explode" in p]
+    assert len(copied) == 2 and found.count() == 20
+    assert all("SortMergeJoin [dim" in p and "BroadcastHashJoin [dim" not in p for p in copied)
+
+
 def test_search_over_many_blocks(spark):
     pick = np.random.default_rng(4)
     vectors = pick.normal(0, 0.3, (300, 8)).astype(np.float32)
