@@ -128,3 +128,29 @@ def test_rows_carry_the_slices_of_their_numbers(spark):
     n = int(ranks[0].max()) + 1
     for r in exact_tree._sliced(rows, 4).collect():
         assert r.slices == [ranks[0][r.id] // 4 + 1, (n + ranks[1][r.id]) // 4 - n // 4 + 1]
+
+
+@pytest.mark.parametrize("local_rows", [0, 60, 10_000])
+def test_test_rows_walk_down_and_shape_no_tree(spark, local_rows):
+    rows = _rows(5, 260)
+    # A tree of test rows alone has no nodes.
+    marked = [(*r, r[4] % 3 > 0) for r in rows] + [(7, *rows[0][1:], False)]
+    nodes = exact_tree.grow(spark.createDataFrame(marked, f"{SCHEMA}, _fits boolean"), WIDTH, 5, local_rows, slice_values=4).collect()
+    trained = _plain([r[:5] for r in marked if r[5]], 5)
+    assert {(n.tree, n.node): (n.depth, n.class_0, n.class_1, n.feature, n.threshold) for n in nodes} == trained
+    seen = {(n.tree, n.node): [0, 0] for n in nodes}
+    for tree, hot, numbers, label, _, fits in marked:
+        node = 1
+        while not fits and (tree, node) in trained:
+            seen[tree, node][label] += 1
+            feature, threshold = trained[tree, node][3:]
+            if feature is None:
+                break
+            node = 2 * node + int((float(feature in hot) if feature < WIDTH else numbers[feature - WIDTH]) > threshold)
+    assert {(n.tree, n.node): [n.test_0, n.test_1] for n in nodes} == seen
+
+
+def test_a_depth_sweep_holds_no_tree_on_the_driver(frame, monkeypatch):
+    monkeypatch.setattr(exact_tree.Walk, "of", lambda *a: pytest.fail("nodes were collected"))
+    dealt = folds.stratified_fold_column(frame, "y", 3, 0)
+    assert experiment.depth_sweep(dealt, folds.folds_of_column(3), [1, 4], SPEC).count() == 2 * 3 * 2
