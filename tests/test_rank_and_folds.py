@@ -118,3 +118,8 @@ def test_seeded_rank_moves_numbers_and_sends_the_starts(spark):
     for digits in (1, 6):
         same = {r.row_idx: r["rank"] for r in seeded_rank(df, "row_idx", 4, ["y"], hex_digits=digits).collect()}
         assert same == {r.row_idx: r["rank"] for r in ranked.collect()}
+
+
+def test_ranks_sort_the_bytes_of_the_digest_by_slice_first(spark):
+    plan = seeded_rank(_numbers(spark, 50), "row_idx", 4, ["y"])._jdf.queryExecution().executedPlan().toString()
+    assert "conv(" not in plan and "Sort [_slice" in plan
