@@ -123,3 +123,17 @@ def test_seeded_rank_moves_numbers_and_sends_the_starts(spark):
 def test_ranks_sort_the_bytes_of_the_digest_by_slice_first(spark):
     plan = seeded_rank(_numbers(spark, 50), "row_idx", 4, ["y"])._jdf.queryExecution().executedPlan().toString()
     assert "conv(" not in plan and "Sort [_slice" in plan
+
+
+def test_ranks_of_many_members_come_from_one_shuffle(spark):
+    df = _numbers(spark, 400).withColumn("fold", (F.col("row_idx") % 3).cast("int"))
+    members = [F.col("fold") != i for i in range(3)]
+    from readsift.operators.rank import seeded_ranks
+
+    ranked = seeded_ranks(df, "row_idx", 4, members, "ranks")
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {r.row_idx: r.ranks for r in ranked.collect()}
+    for i, member in enumerate(members):
+        alone = {r.row_idx: r["rank"] for r in seeded_rank(df.where(member), "row_idx", 4).collect()}
+        assert {k: ranks[i] for k, ranks in got.items() if ranks[i] is not None} == alone
+    assert len(got) == 400
